@@ -100,12 +100,7 @@ class Words:
         if len(self.start):
             kept = data[~gap]
             size = self.end - self.start
-            begin = np.cumsum(size) - size
-            at = np.arange(len(kept)) - np.repeat(begin, size)
-            terms = (_FOLD[kept] if fold else kept).astype(np.uint64)
-            terms += _U(1)
-            terms *= powers(int(size.max()))[at]
-            self.hash = mix(np.add.reduceat(terms, begin) + size.astype(np.uint64) * _MULT)
+            self.hash = run_hashes(_FOLD[kept] if fold else kept, np.cumsum(size) - size)
         else:
             self.hash = np.empty(0, np.uint64)
 
@@ -153,3 +148,66 @@ def distinct(value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
     keep = np.ones(len(value), dtype=bool)
     keep[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
     return value[keep], doc[keep]
+
+
+class HashTable:
+    """Open addressing from uint64 keys (never 0) to int32 values, looked up and filled many at a time."""
+
+    PROBES = 16
+
+    def __init__(self, bits: int = 18):
+        self.bits, self.used = bits, 0
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.values = np.zeros(1 << bits, np.int32)
+
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        return (((keys >> _U(64 - self.bits)).astype(np.int64)) + probe) & ((1 << self.bits) - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 where a key is missing."""
+        at = self._slot(keys, 0)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], np.int32(-1))
+        left = np.flatnonzero((found != keys) & (found != 0))
+        for probe in range(1, self.PROBES):
+            if not len(left):
+                break
+            at = self._slot(keys[left], probe)
+            found = self.keys[at]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            left = left[~hit & (found != 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds keys that are distinct and not yet present."""
+        while (self.used + len(keys)) * 2 > 1 << self.bits or not self._try(keys, values):
+            old = self.keys != 0
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            keys, at = np.unique(keys, return_index=True)
+            self.__init__(self.bits + 1)
+            values = values[at]
+
+    def _try(self, keys, values) -> bool:
+        left = np.arange(len(keys))
+        for probe in range(self.PROBES):
+            at = self._slot(keys[left], probe)
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[left[free]]
+            mine = free & (self.keys[at] == keys[left])
+            self.values[at[mine]] = values[left[mine]]
+            self.used += int(mine.sum())
+            left = left[~mine]
+            if not len(left):
+                return True
+        return False
+
+
+def run_hashes(kept: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of `kept` that start at `begin` (uint8, runs tile the array), as Words has them."""
+    size = np.diff(np.append(begin, len(kept)))
+    at = np.arange(len(kept)) - np.repeat(begin, size)
+    terms = kept.astype(np.uint64)
+    terms += _U(1)
+    terms *= powers(int(size.max()))[at]
+    return mix(np.add.reduceat(terms, begin) + size.astype(np.uint64) * _MULT)
