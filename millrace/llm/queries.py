@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import lm_score, ngram_join, packing, sharding
+
+WORD_BPE = "word_bpe_49k.json"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +20,23 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_docs(spark, sf_dir), n=4, threshold=Fraction(85, 100))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_docs(spark, sf_dir), public_tokenizers.path(WORD_BPE))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_docs(spark, sf_dir))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(_docs(spark, sf_dir), weights=[1.0] * 16, grown=[1.0] * 17)
+
+
+QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
+    "op6_packing": op6_packing,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_sharding": op9_sharding,
+}
 
 ORACLE_SQL: dict[str, str] = {}
