@@ -7,7 +7,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_score, ngram_join, packing, sharding
+from . import embed_dedup, lm_score, ngram_join, packing, sharding
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -20,6 +20,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_docs(spark, sf_dir), n=4, threshold=Fraction(85, 100))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
@@ -34,6 +38,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op6_packing": op6_packing,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_sharding": op9_sharding,
