@@ -7,7 +7,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, lm_score, ngram_join, packing, sharding
+from . import embed_dedup, lm_score, ngram_join, packing, sharding, substring_dedup
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -28,6 +28,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_docs(spark, sf_dir))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(_docs(spark, sf_dir))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op6_packing": op6_packing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_sharding": op9_sharding,
 }
