@@ -7,7 +7,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, lm_score, ngram_join, packing, sharding, substring_dedup
+from . import decontaminate, embed_dedup, lm_score, ngram_join, packing, sharding, substring_dedup
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -24,6 +24,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
@@ -43,6 +47,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_lm_scoring": op8_lm_scoring,
