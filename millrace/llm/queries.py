@@ -7,7 +7,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, lm_score, ngram_join, packing, sharding, substring_dedup
+from . import decontaminate, embed_dedup, lm_score, ngram_join, packing, sharding, substring_dedup, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -44,6 +44,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_docs(spark, sf_dir), weights=[1.0] * 16, grown=[1.0] * 17)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op4_embedding_dedup": op4_embedding_dedup,
@@ -52,6 +56,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
