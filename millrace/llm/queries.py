@@ -7,7 +7,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, lm_score, ngram_join, packing, quality, sharding, substring_dedup, toxicity
+from . import decontaminate, embed_dedup, lm_score, ngram_join, packing, pii, quality, sharding, substring_dedup, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -20,6 +20,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_docs(spark, sf_dir), n=4, threshold=Fraction(85, 100))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_docs(spark, sf_dir)))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_docs(spark, sf_dir))
 
@@ -54,6 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_pii": op2_pii,
     "op3_quality": op3_quality,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_decontamination": op5_decontamination,
