@@ -207,6 +207,59 @@ def _found(scan: DataFrame, extra: list[str]) -> DataFrame:
     return joined.select(*extra, "base", "base_sha256", every.alias("all"))
 
 
+def redacted(documents: DataFrame, columns: tuple[str, ...], text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
+    """documents with every span replaced by its kind; length_column follows the text; null texts stay null.
+
+    Texts are read a second time rather than moved: only the few spans found by context
+    travel, and base spans are found again where they are.
+    """
+    scan = settle(_scan(documents.select(F.col(text_column).cast("string").alias("text")), []), "scan")
+    known = confident_patterns(scan.select(F.explode("found").alias("f")).select("f.*"))
+    # Confident patterns are backed by SUPPORT seeds each; up to SEND_PATTERNS of them are sent to the texts.
+    rows = known.orderBy(F.desc("score"), "pattern", "kind").limit(SEND_PATTERNS + 1).collect()
+    if len(rows) > SEND_PATTERNS:
+        return _redacted_by_join(documents, columns, text_column, length_column, known)
+    names = documents.sparkSession.sparkContext.broadcast({(r["pattern"], r["kind"]): r["score"] for r in rows})
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
+
+    def run(batch):
+        texts = batch.column(batch.schema.get_field_index(text_column)).to_pylist()
+        out = [None if t is None else redact(t, _with_context(t, names.value)) for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text_column else pa.array([None if t is None else len(t) for t in out], pa.int64()) if c == length_column else batch.column(batch.schema.get_field_index(c)) for c in columns], list(columns))
+
+    return per_batch(documents.select(*columns), ", ".join(f"{c} {'bigint' if c == length_column else kinds[c]}" for c in columns), run)
+
+
+SEND_PATTERNS = 200_000
+
+
+def _with_context(text: str, names: dict) -> list[tuple[int, int, int]]:
+    base = base_spans(text)
+    if not names:
+        return base
+    out = list(base)
+    for s, e in _candidates(text, base):
+        best = max(((names[p, k], -k) for p in contexts(text, s, e) for k in fits(text[s:e]) if (p, k) in names), default=None)
+        if best:
+            out.append((-best[1], s, e))
+    return out
+
+
+def _redacted_by_join(documents: DataFrame, columns, text_column: str, length_column: str, known: DataFrame) -> DataFrame:
+    rows = settle(documents.select(*columns, F.monotonically_increasing_id().alias("_row")), "rows")
+    scan = settle(_scan(rows.select(F.col("_row").alias("row"), F.col(text_column).cast("string").alias("text")), ["row"]), "scan")
+    spans = _found(scan, ["row"]).select(F.col("row").alias("_row"), F.col("all").alias("_all"))
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
+
+    def run(batch):
+        at = batch.schema.get_field_index
+        texts, found = batch.column(at(text_column)).to_pylist(), batch.column(at("_all")).to_pylist()
+        out = [None if t is None else redact(t, [(x["kind"], x["start"], x["end"]) for x in f]) for t, f in zip(texts, found, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text_column else pa.array([None if t is None else len(t) for t in out], pa.int64()) if c == length_column else batch.column(at(c)) for c in columns], list(columns))
+
+    return per_batch(rows.join(spans, "_row"), ", ".join(f"{c} {'bigint' if c == length_column else kinds[c]}" for c in columns), run)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The counts and span strings of find()."""
     names = F.array(*(F.lit(k) for k in KINDS))
