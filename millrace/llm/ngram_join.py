@@ -8,12 +8,17 @@ two classes that link share at least MATCHES of them.
 * Index-level skipping: a list is kept in blocks of equal position range, ordered by
   set size.  A block pair whose positions leave too little room for the required
   overlap is skipped whole, and sizes out of range are passed over by binary search.
-* Answer-level skipping: in a first round every class is compared only with its
-  lists' smallest class (its centre), which joins groups of near copies by as many
-  comparisons as members.  In the second round only pairs that are not yet known to
-  be connected remain; their overlap is bounded from the overlap of their centres
-  and the differences to them (|A n B| lies within |CA n CB| -/+ the differences),
-  and a set is read only where the bounds do not decide.
+* Answer-level skipping: in each of a few first rounds every class is compared with the
+  few classes that most of its lists propose among those it is not yet connected to,
+  which joins groups of near copies by about as many comparisons as members.
+  In the last round only pairs that are not known to be connected remain, and all of
+  them are decided: their overlap is bounded from the overlap of their centres and the
+  differences to them (|A n B| lies within |CA n CB| -/+ the differences), and a set is
+  read only where the bounds do not decide.
+
+Before that, a pair must pass the size filter, the position filter and a histogram
+filter: sets whose bucket histograms differ by more than the symmetric difference that
+the threshold allows cannot link.  All filters are exact.
 
 Null ids keep their row, link with nothing and get a null component.  Null, empty and
 blank texts have n_shingles 0 and are their own component.  Rows that share an id are
@@ -27,6 +32,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -39,6 +45,18 @@ MATCHES = 3
 #: Lists up to this length are paired in one vectorised step, longer ones block by block.
 SHORT_LIST = 24
 POSITION_BLOCK = 16
+#: Buckets of a set's histogram, four bits each, and its bytes.
+HISTOGRAM_BITS = 7
+BUCKETS = 1 << HISTOGRAM_BITS
+HISTOGRAM = BUCKETS // 2
+#: Comparisons for each class in each round before the last, which decides all that is left.
+CENTRE_ROUNDS = (1, 4, 4)
+#: Members of a centre that one task group holds at most.
+STAR = 1000
+#: The centre rounds look at one list in this many; the last round looks at all.
+PROPOSE_LISTS = 4
+#: Ids up to this many are sent to the texts; more are joined by a shuffle.
+SEND_IDS = 2_000_000
 
 
 def need(size_a: np.ndarray, size_b: np.ndarray, t: Fraction) -> np.ndarray:
@@ -53,7 +71,7 @@ def prefix_length(size: np.ndarray, t: Fraction) -> np.ndarray:
 
 
 def _sets(batch: pa.RecordBatch, n: int):
-    """(index of the first row, sorted distinct n-gram hashes, first, sizes) per chunk; columns: id, text."""
+    """(index of the first row, rows, sorted distinct n-gram hashes, their rows, first) per chunk; columns: id, text."""
     for at, raws in W.chunks(batch.column(1).to_pylist()):
         value, doc, _ = W.grams(W.Words(raws), n, True)
         value, doc = W.distinct(value, doc)
@@ -69,20 +87,27 @@ def _signatures(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return sums[0], sums[1]
 
 
+def _histograms(value: np.ndarray, doc: np.ndarray, count: int) -> np.ndarray:
+    """Per set, how many n-grams fall into each bucket, modulo 16, two buckets to a byte."""
+    slot = doc * BUCKETS + (W.mix(value ^ np.uint64(0x632BE59BD9B4E019)) >> np.uint64(64 - HISTOGRAM_BITS)).astype(np.int64)
+    own = (np.bincount(slot, minlength=count * BUCKETS) & 15).astype(np.uint8).reshape(count, HISTOGRAM, 2)
+    return own[:, :, 0] | (own[:, :, 1] << 4)
+
+
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, size, s1, s2) and, with doc_id null and size -1 - k, the k-th slice of a task's sketch."""
+    """Rows (doc_id, size, s1, s2, histogram) and, with doc_id null and size -1 - k, the k-th slice of a task's sketch."""
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for at, count, value, _, first in _sets(batch, n):
+            for at, count, value, doc, first in _sets(batch, n):
                 s1, s2 = _signatures(value, first)
                 np.add.at(sketch, (value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                yield record(doc_id=batch.column(0).slice(at, count), size=np.diff(first), s1=s1, s2=s2, sketch=pa.nulls(count, pa.binary()))
+                yield record(doc_id=batch.column(0).slice(at, count), size=np.diff(first), s1=s1, s2=s2, bytes=packed(_histograms(value, doc, count).reshape(-1), np.arange(count + 1) * HISTOGRAM))
         slices = sketch.astype(np.uint32).reshape(SKETCH_SLICES, -1)
-        yield record(doc_id=pa.nulls(SKETCH_SLICES, pa.int64()), size=-1 - np.arange(SKETCH_SLICES), s1=np.zeros(SKETCH_SLICES, np.int64), s2=np.zeros(SKETCH_SLICES, np.int64), sketch=pa.array([x.tobytes() for x in slices], pa.binary()))
+        yield record(doc_id=pa.nulls(SKETCH_SLICES, pa.int64()), size=-1 - np.arange(SKETCH_SLICES), s1=np.zeros(SKETCH_SLICES, np.int64), s2=np.zeros(SKETCH_SLICES, np.int64), bytes=pa.array([x.tobytes() for x in slices], pa.binary()))
 
-    return per_task(docs, "doc_id long, size long, s1 long, s2 long, sketch binary", run)
+    return per_task(docs, "doc_id long, size long, s1 long, s2 long, bytes binary", run)
 
 
 SKETCH_SLICES = 8
@@ -99,7 +124,7 @@ def _sketch(profile: DataFrame) -> np.ndarray:
         for k, x in sums.items():
             yield record(k=pa.array([k], pa.int32()), sketch=pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary()))
 
-    parts = profile.where("size < 0").select((-1 - F.col("size")).cast("int").alias("k"), "sketch")
+    parts = profile.where("size < 0").select((-1 - F.col("size")).cast("int").alias("k"), "bytes")
     rows = per_task(exchange(parts, "k", SKETCH_SLICES), "k int, sketch binary", add).collect()
     out = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), np.uint32)
     for k, raw in rows:
@@ -107,38 +132,48 @@ def _sketch(profile: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _index(reps: DataFrame, n: int, t: Fraction, sketch, width: int) -> DataFrame:
-    """Byte-packed prefix entries by hash range: rows (part, node ids, sizes, entries)."""
-    entry = np.dtype([("h", np.uint64), ("d", np.uint32), ("p", np.uint32)])
+def _index(docs: DataFrame, n: int, t: Fraction, sketch, width: int) -> DataFrame:
+    """Byte-packed prefix entries by hash range: rows (part, class signatures, sizes, entries)."""
 
     def run(batch):
         heat = sketch.value
-        for at, count, value, doc, first in _sets(batch, n):
+        for _, count, value, doc, first in _sets(batch, n):
             size = np.diff(first)
+            names, _ = _signatures(value, first)
+            # One row of each class in a chunk speaks for all of them.
+            speaks = np.zeros(count, bool)
+            speaks[np.unique(names, return_index=True)[1]] = True
+            speaks &= size >= smallest(t)
+            on = speaks[doc]
+            value, doc = value[on], doc[on]
+            if not len(value):
+                continue
+            begin = np.searchsorted(doc, np.arange(count))
             order = np.lexsort((value, heat[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], doc))
-            position = np.arange(len(value)) - first[doc]
-            keep = (position < prefix_length(size, t)[doc]) & (size[doc] >= smallest(t))
+            position = np.arange(len(value)) - begin[doc]
+            keep = position < prefix_length(size, t)[doc]
             value, position, doc = value[order][keep], position[keep], doc[keep]
             part = (value % np.uint64(width)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            rows = np.empty(len(value), entry)
+            rows = np.empty(len(value), ENTRY)
             rows["h"], rows["d"], rows["p"] = value[order], doc[order], position[order]
             counts = np.bincount(part, minlength=width)
             used = np.flatnonzero(counts)
-            if not len(used):
-                continue
-            ids = longs(batch.column(0).slice(at, count))
-            # Only the ids that a part refers to travel with it.
+            # Only the classes that a part refers to travel with it.
             ends = np.concatenate([[0], np.cumsum(counts)])
-            names, sizes = [], []
+            own_names, sizes = [], []
             for k in used:
                 own, inv = np.unique(rows["d"][ends[k] : ends[k + 1]], return_inverse=True)
                 rows["d"][ends[k] : ends[k + 1]] = inv
-                names.append(ids[own].tobytes())
+                own_names.append(names[own].tobytes())
                 sizes.append(size[own].astype(np.uint32).tobytes())
-            yield record(part=pa.array(used, pa.int32()), names=pa.array(names, pa.binary()), sizes=pa.array(sizes, pa.binary()), entries=packed(rows, np.concatenate([[0], np.cumsum(counts[used])])))
+            yield record(part=pa.array(used, pa.int32()), names=pa.array(own_names, pa.binary()), sizes=pa.array(sizes, pa.binary()), entries=packed(rows, np.concatenate([[0], np.cumsum(counts[used])])))
+
+    return exchange(per_batch(docs, "part int, names binary, sizes binary, entries binary", run), "part", width)
 
-    return exchange(per_batch(reps, "part int, names binary, sizes binary, entries binary", run), "part", width)
+
+#: An n-gram of a chunk's class; `d` counts the classes of a part, at most those of a chunk.
+ENTRY = np.dtype([("h", np.uint64), ("d", np.uint32), ("p", np.uint32)])
 
 
 def smallest(t: Fraction) -> int:
@@ -148,19 +183,21 @@ def smallest(t: Fraction) -> int:
 
 def _shared(index: DataFrame) -> DataFrame:
     """Entries (h, node, size, pos) of lists with at least two classes."""
-    entry = np.dtype([("h", np.uint64), ("d", np.uint32), ("p", np.uint32)])
 
     def run(batches):
         hs, ids, sizes, ps = [], [], [], []
         for batch in batches:
             for _, names, size, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows, names, size = np.frombuffer(rows, entry), np.frombuffer(names, np.int64), np.frombuffer(size, np.uint32)
+                rows, names, size = np.frombuffer(rows, ENTRY), np.frombuffer(names, np.int64), np.frombuffer(size, np.uint32)
                 hs.append(rows["h"].copy()), ids.append(names[rows["d"]]), sizes.append(size[rows["d"]]), ps.append(rows["p"].copy())
         if not hs:
             return
         h, node, size, pos = map(np.concatenate, (hs, ids, sizes, ps))
-        order = np.argsort(h, kind="stable")
+        order = np.lexsort((node, h))
         h, node, size, pos = h[order], node[order], size[order], pos[order]
+        # Rows of one class from several chunks are one entry.
+        own = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])
+        h, node, size, pos = h[own], node[own], size[own], pos[own]
         fresh = np.concatenate([[True], h[1:] != h[:-1]])
         many = np.bincount(np.cumsum(fresh) - 1)[np.cumsum(fresh) - 1] > 1
         for k in range(0, int(many.sum()), 1 << 18):
@@ -196,31 +233,68 @@ def _counted(batches_of_pairs):
 PAIRS = "a long, b long, sa int, sb int, times int"
 
 
-def _candidates(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("a", "b").agg(F.first("sa").alias("sa"), F.first("sb").alias("sb"), F.sum("times").alias("times")).where(F.col("times") >= MATCHES).select("a", "b", "sa", "sb")
+def _read_lists(batches):
+    """h, node, size, pos, label and histograms of a task's entries."""
+    held = []
+    for b in batches:
+        own = [c.to_numpy(zero_copy_only=False) for c in b.columns[:5]]
+        own.append(np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, HISTOGRAM))
+        held.append(own)
+    if not held:
+        return None
+    h, node, size, pos, label, histogram = (np.concatenate(x) for x in zip(*held, strict=True))
+    return h, node, size.astype(np.int64), pos.astype(np.int64), label, histogram
 
 
-def _read_lists(batches):
-    columns = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-    return [np.concatenate(x) for x in zip(*columns, strict=True)] if columns else None
+def _alike(histogram, size, i, j, t: Fraction) -> np.ndarray:
+    """Whether the histograms of entries i and j leave room for the overlap they need."""
+    out = np.empty(len(i), bool)
+    for k in range(0, len(i), 1 << 16):
+        x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+        p, q = histogram[x], histogram[y]
+        low, high = (p - q) & 15, ((p >> 4) - (q >> 4)) & 15
+        apart = (np.minimum(low, 16 - low) + np.minimum(high, 16 - high)).sum(axis=1, dtype=np.int64)
+        out[k : k + (1 << 16)] = apart <= size[x] + size[y] - 2 * need(size[x], size[y], t)
+    return out
 
 
-def _to_centres(lists: DataFrame, t: Fraction) -> DataFrame:
-    """Each list's entries against the list's smallest class."""
+def _proposals(lists: DataFrame, t: Fraction, most: int) -> DataFrame:
+    """For each class the `most` partners of another label that most of its lists propose.
+
+    A list proposes to an entry its smallest class of another label and the next two
+    classes, so proposals are as many as entries, whatever the list's length.
+    """
 
     def run(batches):
         got = _read_lists(batches)
         if got is None:
             return
-        h, node, size, pos = got
+        h, node, size, pos, label, histogram = got
         order = np.lexsort((node, h))
-        h, node, size, pos = h[order], node[order], size[order].astype(np.int64), pos[order].astype(np.int64)
+        h, label = h[order], label[order]
         fresh = np.concatenate([[True], h[1:] != h[:-1]])
-        head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        keep = (node != node[head]) & _fits(size, pos, size[head], pos[head], t)
-        yield from _counted([(node[keep], node[head][keep], size[keep], size[head][keep])])
-
-    return _candidates(per_task(lists, PAIRS, run))
+        which = np.cumsum(fresh) - 1
+        head = np.flatnonzero(fresh)
+        other = label != label[head][which]
+        second = np.full(len(head), -1)
+        at = np.flatnonzero(other)
+        lists_at, first_at = np.unique(which[at], return_index=True)
+        second[lists_at] = at[first_at]
+        partner = np.where(other, head[which], second[which])
+        left, right = [np.flatnonzero(partner >= 0)], [partner[partner >= 0]]
+        for step in (1, 2):
+            near = np.flatnonzero((which[step:] == which[: len(which) - step]) & (label[step:] != label[: len(label) - step])) if len(which) > step else np.empty(0, np.int64)
+            left.append(near), right.append(near + step)
+        i, j = order[np.concatenate(left)], order[np.concatenate(right)]
+        on = _fits(size[i], pos[i], size[j], pos[j], t)
+        i, j = i[on], j[on]
+        on = _alike(histogram, size, i, j, t)
+        i, j = i[on], j[on]
+        yield from _counted([(node[i], node[j], size[i], size[j])])
+
+    every = per_task(lists, PAIRS, run).groupBy("a", "b").agg(F.first("sa").alias("sa"), F.first("sb").alias("sb"), F.sum("times").alias("times"))
+    best = every.withColumn("_rn", F.row_number().over(Win.partitionBy("a").orderBy(F.desc("times"), "b"))).where(F.col("_rn") <= most)
+    return best.groupBy(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).agg(F.first(F.when(F.col("a") > F.col("b"), F.col("sa")).otherwise(F.col("sb"))).alias("sa"), F.first(F.when(F.col("a") > F.col("b"), F.col("sb")).otherwise(F.col("sa"))).alias("sb")).select(F.col("x").alias("a"), F.col("y").alias("b"), "sa", "sb")
 
 
 def _long_list(size, pos, label, t: Fraction):
@@ -252,16 +326,15 @@ def _long_list(size, pos, label, t: Fraction):
 
 
 def _across(lists: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs of a list that are not known to be connected; columns h, node, size, pos, label."""
+    """All pairs of a list that are not known to be connected and that may link."""
 
     def run(batches):
         got = _read_lists(batches)
         if got is None:
             return
-        h, node, size, pos, label = got
-        size, pos = size.astype(np.int64), pos.astype(np.int64)
+        h, node, size, pos, label, histogram = got
         order = np.lexsort((size, pos // POSITION_BLOCK, h))
-        h, node, size, pos, label = (x[order] for x in (h, node, size, pos, label))
+        h, node, size, pos, label, histogram = (x[order] for x in (h, node, size, pos, label, histogram))
         fresh = np.concatenate([[True], h[1:] != h[:-1]])
         head = np.flatnonzero(fresh)
         length = np.diff(np.append(head, len(h)))
@@ -270,10 +343,10 @@ def _across(lists: DataFrame, t: Fraction) -> DataFrame:
         held = []
 
         def take(i, j):
+            on = _alike(histogram, size, i, j, t)
+            i, j = i[on], j[on]
             swap = node[i] < node[j]
             a, b = np.where(swap, j, i), np.where(swap, i, j)
-            keep = node[a] != node[b]
-            a, b = a[keep], b[keep]
             held.append((node[a], node[b], size[a], size[b]))
 
         short = np.flatnonzero(mixed & (length <= SHORT_LIST))
@@ -297,19 +370,52 @@ def _across(lists: DataFrame, t: Fraction) -> DataFrame:
                     held.clear()
         yield from _counted(held)
 
-    return _candidates(per_task(lists, PAIRS, run))
+    every = per_task(lists, PAIRS, run).groupBy("a", "b").agg(F.first("sa").alias("sa"), F.first("sb").alias("sb"), F.sum("times").alias("times"))
+    return every.where(F.col("times") >= MATCHES).select("a", "b", "sa", "sb")
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs with `overlap`, by reading both sets."""
+def _overlaps(pairs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """pairs (a, b, sa, sb) with `overlap`.
 
-    def run(batch):
-        a, b = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("set_a", "set_b"))
-        out = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)] + [pa.array(out, pa.int32())], ["a", "b", "sa", "sb", "overlap"])
+    A set travels once for each pair it is the first of, to groups of at most STAR pairs of
+    one second; the second's set comes once for each group and is met as a stream.
+    """
+    count = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("groups"))
+    dealt = settle(pairs.join(count, "b").withColumn("g", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int")), "dealt")
+    # The pairs go to the sets while they are few, so that only sets that are compared move.
+    few = dealt.count() <= SEND_IDS
+    send = F.broadcast if few else lambda df: df
+    members = sets.select(F.col("node").alias("a"), "grams").join(send(dealt), "a").select("b", "g", "a", "sa", "sb", "grams")
+    centres = sets.select(F.col("node").alias("b"), "grams").join(send(dealt.select("b", "g").distinct()), "b")
+    centres = centres.select("b", "g", F.lit(None).cast("long").alias("a"), F.lit(None).cast("int").alias("sa"), F.lit(None).cast("int").alias("sb"), "grams")
+    part = F.pmod(F.xxhash64("b", "g"), F.lit(width)).cast("int")
+    rows = exchange(members.union(centres).withColumn("part", part), "part", width).sortWithinPartitions("b", "g", F.col("a").asc_nulls_first())
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("set_b")), "b")
-    return per_batch(both.select("a", "b", "sa", "sb", "set_a", "set_b"), "a long, b long, sa int, sb int, overlap int", run)
+    def run(batches):
+        key, centre = None, None
+        for batch in batches:
+            out = []
+            for b, g, a, sa, sb, grams, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(grams, np.uint64)
+                if a is None:
+                    key, centre = (b, g), own
+                elif key == (b, g):
+                    at = np.searchsorted(centre, own)
+                    at[at == len(centre)] = 0
+                    out.append((a, b, sa, sb, int((centre[at] == own).sum()) if len(centre) else 0))
+            if out:
+                a, b, sa, sb, o = zip(*out, strict=True)
+                yield record(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()), sa=pa.array(sa, pa.int32()), sb=pa.array(sb, pa.int32()), overlap=pa.array(o, pa.int32()))
+
+    return per_task(rows, "a long, b long, sa int, sb int, overlap int", run)
+
+
+def _distinct_nodes(pairs: DataFrame, *columns: str) -> DataFrame:
+    """The classes that the columns name; each column is reduced on its own before they meet."""
+    out = pairs.select(F.col(columns[0]).alias("node")).distinct()
+    for c in columns[1:]:
+        out = out.union(pairs.select(F.col(c).alias("node")).distinct())
+    return out.distinct()
 
 
 def _links(t: Fraction):
@@ -317,12 +423,20 @@ def _links(t: Fraction):
 
 
 def _set_table(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, grams) of the classes in nodes (node, rep), read from the texts of their representatives."""
+
     def run(batch):
         for at, count, value, _, first in _sets(batch, n):
-            yield record(node=batch.column(0).slice(at, count), grams=packed(value, first))
+            node = batch.column(2).slice(at, count)
+            # Rows that share an id may hold other sets; only the class asked for counts.
+            own = pa.array(_signatures(value, first)[0] == longs(node))
+            yield record(node=node, grams=packed(value, first)).filter(own)
 
-    wanted = docs.join(nodes, docs.doc_id == nodes.node, "left_semi")
-    return per_batch(wanted, "node long, grams binary", run)
+    nodes = settle(nodes, "nodes")
+    # Ids are sent to the texts only while they are few; beyond that both sides are shuffled.
+    wanted = F.broadcast(nodes) if nodes.count() <= SEND_IDS else nodes
+    chosen = docs.join(wanted, docs.doc_id == wanted.rep).select("doc_id", "text", "node")
+    return per_batch(chosen, "node long, grams binary", run)
 
 
 def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = 4, threshold: Fraction | str | float = Fraction(85, 100)) -> DataFrame:
@@ -340,30 +454,50 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     sketch = spark.sparkContext.broadcast(_sketch(profile))
     rows = profile.where("size >= 0").select("doc_id", "size", "s1", "s2")
     # The classes: grouped minima, combined before the shuffle, so a class of any size is one row.
-    classes = settle(rows.where("size > 0 and doc_id is not null").groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("node"), F.count("*").alias("class_size")), "classes")
-    reps = classes.where(F.col("size") >= smallest(t)).select("node")
-    chosen = docs.where("doc_id is not null").join(reps, docs.doc_id == reps.node, "left_semi")
-    lists = settle(_shared(_index(chosen, n, t, sketch, width)), "lists")
-
-    def by_list(df: DataFrame) -> DataFrame:
-        return exchange(df.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(width)).cast("int")), "part", width).drop("part")
-
-    to_centre = settle(_to_centres(by_list(lists), t), "to_centre")
-    nodes = to_centre.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = settle(_set_table(docs, nodes, n), "sets")
-    near = settle(_overlaps(to_centre, sets).where(_links(t)), "near")
-    # Every class's best centre, and with it a label: equal labels are connected.
-    centre = settle(near.groupBy("a").agg(F.min(F.struct("b", "sb", "overlap", "sa")).alias("m")).select(F.col("a").alias("node"), F.col("m.b").alias("centre"), F.col("m.sb").alias("centre_size"), F.col("m.overlap").alias("shared")), "centre")
-    label = centre.select("node", F.col("centre").alias("label"))
-    up = label.select(F.col("node").alias("label"), F.col("label").alias("above"))
-    label = label.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
-    labelled = lists.join(label, "node", "left").select("h", "node", "size", "pos", F.coalesce("label", "node").alias("label"))
-    rest = settle(_across(by_list(labelled), t).join(to_centre.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    far = settle(_derived(rest, centre, docs, sets, n, t), "far")
+    classes = settle(profile.where("size > 0 and doc_id is not null").groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("bytes").alias("histogram")), "classes")
+    known = docs.where("doc_id is not null")
+    lists = settle(_shared(_index(known, n, t, sketch, width)), "lists")
+    about = classes.select(F.col("s1").alias("node"), "rep", "histogram")
+    listed = about.join(lists.select("node").distinct(), "node", "left_semi")
+    listed = settle(listed, "listed")
+
+    few = listed.count() <= SEND_IDS
+
+    def labelled(label: DataFrame | None, one_in: int = 1) -> DataFrame:
+        own = listed if label is None else listed.join(label, "node", "left")
+        own = own.select("node", F.col("node").alias("label") if label is None else F.coalesce("label", "node").alias("label"), "histogram")
+        # The classes go to the lists while they are few; beyond that both sides are shuffled.
+        chosen = lists.where(F.pmod("h", F.lit(one_in)) == 0) if one_in > 1 else lists
+        both = chosen.join(F.broadcast(own) if few else own, "node").select("h", "node", "size", "pos", "label", "histogram", F.pmod(F.xxhash64("h"), F.lit(width)).cast("int").alias("part"))
+        return exchange(both, "part", width).drop("part")
+
+    near, sets, label, used = None, None, None, [lists, listed]
+    for most in CENTRE_ROUNDS:
+        pairs = settle(_proposals(labelled(label, PROPOSE_LISTS), t, most), "proposals")
+        nodes = _distinct_nodes(pairs, "a", "b")
+        if sets is not None:
+            nodes = nodes.join(sets.select("node"), "node", "left_anti")
+        more = settle(_set_table(docs, listed.join(nodes, "node", "left_semi").select("node", "rep"), n), "sets")
+        sets = more if sets is None else sets.union(more)
+        found = settle(_overlaps(pairs, sets, width).where(_links(t)), "near")
+        used += [pairs, more, found]
+        if found.isEmpty():
+            break
+        near = found if near is None else near.union(found)
+        label = settle(components(near.select(F.col("a").alias("u"), F.col("b").alias("v"))).select("node", F.col("component").alias("label")), "label")
+        used.append(label)
+    rest = settle(_across(labelled(label), t), "rest")
+    if near is None:
+        near = spark.createDataFrame([], "a long, b long, sa int, sb int, overlap int")
+    centre = near.groupBy("a").agg(F.min(F.struct("b", "sb", "overlap", "sa")).alias("m")).select(F.col("a").alias("node"), F.col("m.b").alias("centre"), F.col("m.sb").alias("centre_size"), F.col("m.overlap").alias("shared"))
+    far = settle(_derived(rest, centre, docs, listed, sets, n, t, width), "far")
     graph = near.select(F.col("a").alias("u"), F.col("b").alias("v")).union(far.select(F.col("a").alias("u"), F.col("b").alias("v")))
     found = components(graph)
-    member = classes.select("s1", "s2", "size", "node", "class_size").join(found, "node", "left").select("s1", "s2", "size", F.col("node").alias("class_id"), "class_size", F.coalesce("component", "node").alias("component_id"))
-    for old in (lists, to_centre, sets, near, centre, rest, far):
+    own = classes.select("s1", "s2", "size", "rep", "class_size").join(found.select(F.col("node").alias("s1"), "component"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
+    low = own.groupBy("component").agg(F.min("rep").alias("component_id"))
+    member = own.join(low, "component").select("s1", "s2", "size", F.col("rep").alias("class_id"), "class_size", "component_id")
+    member = settle(member, "member")
+    for old in (*used, rest, far):
         forget(old)
     out = rows.join(member, ["s1", "s2", "size"], "left")
     return out.select(
@@ -375,7 +509,7 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     )
 
 
-def _derived(rest: DataFrame, centre: DataFrame, docs: DataFrame, sets: DataFrame, n: int, t: Fraction) -> DataFrame:
+def _derived(rest: DataFrame, centre: DataFrame, docs: DataFrame, listed: DataFrame, sets: DataFrame | None, n: int, t: Fraction, width: int) -> DataFrame:
     """The links among `rest`, decided from their centres' overlap where its bounds allow."""
     side = lambda x: centre.select(F.col("node").alias(x), F.col("centre").alias(f"c{x}"), F.col("centre_size").alias(f"z{x}"), F.col("shared").alias(f"k{x}"))
     own = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").select(
@@ -387,15 +521,17 @@ def _derived(rest: DataFrame, centre: DataFrame, docs: DataFrame, sets: DataFram
     own = settle(own, "own")
     first = own.where("ca <> cb").groupBy("ca", "cb").agg(F.first("za").alias("za"), F.first("zb").alias("zb")).select(F.col("ca").alias("a"), F.col("cb").alias("b"), F.col("za").alias("sa"), F.col("zb").alias("sb"))
     first = settle(first, "centre_pairs")
-    nodes = own.select(F.explode(F.array("a", "b", "ca", "cb")).alias("node")).distinct()
-    more = settle(_set_table(docs, nodes.join(sets.select("node"), "node", "left_anti"), n), "more_sets")
-    every = sets.union(more)
-    known = settle(_overlaps(first, every), "centre_overlaps")
+    nodes = _distinct_nodes(own, "a", "b", "ca", "cb")
+    if sets is not None:
+        nodes = nodes.join(sets.select("node"), "node", "left_anti")
+    more = settle(_set_table(docs, listed.join(nodes, "node", "left_semi").select("node", "rep"), n), "more_sets")
+    every = more if sets is None else sets.union(more)
+    known = settle(_overlaps(first, every, width), "centre_overlaps")
     bound = own.join(known.select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("overlap").alias("o")), ["ca", "cb"], "left")
     bound = bound.withColumn("o", F.coalesce("o", "za"))
     up = F.col("o") + (F.col("sa") - F.col("ka")) + (F.col("sb") - F.col("kb"))
     down = F.col("o") - (F.col("za") - F.col("ka")) - (F.col("zb") - F.col("kb"))
     goal = lambda x: x * F.lit(t.numerator + t.denominator) >= (F.col("sa") + F.col("sb")) * F.lit(t.numerator)
     bound = settle(bound.where(goal(up)).withColumn("sure", goal(down)).select("a", "b", "sa", "sb", "sure"), "bounded")
-    read = _overlaps(bound.where("not sure").select("a", "b", "sa", "sb"), every).where(_links(t)).select("a", "b")
+    read = _overlaps(bound.where("not sure").select("a", "b", "sa", "sb"), every, width).where(_links(t)).select("a", "b")
     return bound.where("sure").select("a", "b").union(read)
