@@ -79,7 +79,11 @@ def anchors(shingles: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tupl
     for d in np.flatnonzero((starts > 0) & ~long_texts):
         own = shingles[first[d] : first[d] + starts[d]]
         found.append(first[d] + np.flatnonzero(own == own.min()))
-    at = np.concatenate(found) if found else np.empty(0, np.int64)
+    at = np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
+    if len(at):
+        # Words that repeat tie everywhere; of anchors that follow closely with an equal hash the first stands for all.
+        again = (shingles[at[1:]] == shingles[at[:-1]]) & (at[1:] - at[:-1] < ANCHOR_GAP)
+        at = at[np.concatenate([[True], ~again])]
     short = np.flatnonzero((counts >= MIN_WORDS) & (starts == 0))
     return np.concatenate([at, first[short]]), np.concatenate([np.full(len(at), PARAGRAPH), counts[short]])
 
@@ -190,20 +194,27 @@ def _buckets(banded: DataFrame) -> DataFrame:
         classes = np.bincount(bucket)
         first = np.cumsum(classes) - classes
         whole = e["whole"][head].copy()
-        many = classes[bucket] > 1
-        yield from out(3, whole[many], None, doc[head][many], e["pos"][head][many], e["size"][head][many])
+        own_doc, own_pos = doc[head], e["pos"][head].astype(np.int64)
         small = np.flatnonzero((classes > 1) & (classes <= SMALL_BUCKET))
         i = spread(first[small], classes[small])
         end = np.repeat(first[small] + classes[small], classes[small])
         counts = end - i - 1
-        yield from out(1, whole[np.repeat(i, counts)], whole[spread(i + 1, counts)])
-        yield from out(2, whole[classes[bucket] > SMALL_BUCKET])
+        x, y = np.repeat(i, counts), spread(i + 1, counts)
+        # Neighbouring paragraphs of one text overlap and so share shingles; they are no copies of each other.
+        on = (own_doc[x] != own_doc[y]) | (np.abs(own_pos[x] - own_pos[y]) >= PARAGRAPH)
+        x, y = x[on], y[on]
+        full = classes[bucket] > SMALL_BUCKET
+        named = full.copy()
+        named[x] = named[y] = True
+        yield from out(3, whole[named], None, own_doc[named], own_pos[named], e["size"][head][named])
+        yield from out(1, whole[x], whole[y])
+        yield from out(2, whole[full])
 
     return per_task(banded, "kind int, whole long, other long, doc long, pos long, size long", run)
 
 
 def _paragraph_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(whole, shingles) of the paragraphs at places (whole, doc, pos, size)."""
+    """(whole, shingles) of the paragraphs at places (whole, doc, pos, size); a set's few shingles go by 32 bits of their hashes."""
     wanted = places.groupBy("doc").agg(F.collect_list(F.struct("whole", "pos", "size")).alias("places"))
     rows = docs.join(wanted, docs.doc_id == wanted.doc).select("places", "text")
 
@@ -221,7 +232,7 @@ def _paragraph_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
                     # A repeated id with another text may lack the paragraph.
                     if p["pos"] + p["size"] <= w.counts[k]:
                         whole.append(p["whole"])
-                        sets.append(np.unique(shingles[x : x + p["size"] - SHINGLE + 1]).tobytes())
+                        sets.append(np.unique((shingles[x : x + p["size"] - SHINGLE + 1] >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield record(whole=pa.array(whole, pa.int64()), shingles=pa.array(sets, pa.binary()))
 
     return per_batch(rows, "whole long, shingles binary", run).dropDuplicates(["whole"])
@@ -234,7 +245,7 @@ def _second(sets: DataFrame) -> DataFrame:
     def sign(batch):
         whole, sig = [], []
         for name, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            s = np.frombuffer(raw, np.uint64)
+            s = np.frombuffer(raw, np.uint32).astype(np.uint64)
             for b in range(bands):
                 key = np.array([b + 1], np.uint64)
                 for r in range(rows):
@@ -255,7 +266,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         a, b, x, y = (c.to_pylist() for c in batch.columns)
         keep = []
         for s, t in zip(x, y, strict=True):
-            s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+            s, t = np.frombuffer(s, np.uint32), np.frombuffer(t, np.uint32)
             both = len(np.intersect1d(s, t, assume_unique=True))
             keep.append(both >= threshold * (len(s) + len(t) - both))
         at = np.flatnonzero(keep)
