@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,6 +43,18 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Python gets at most `rows` rows at a time from the jobs that run inside: for tables of very large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -111,8 +124,8 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[off], nodes[label[off]]
 
 
-#: Edges that a task contracts at once.
-CONTRACT_ROWS = 1 << 20
+#: Edges that a task contracts at once.  As many or fewer in all are finished by one task of that bounded size.
+CONTRACT_ROWS = 1 << 18
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -144,8 +157,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     side the engine may split; no node's neighbours are gathered in one place.
     """
     edge = lambda df: df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    # Nothing is gathered: every task contracts its own edges, and the stars do the rest.
-    e = settle(edge(_contract(edges.where("u <> v").select("u", "v"))), "edges")
+    # Every task contracts its own edges first.
+    e = settle(_contract(edges.where("u <> v").select("u", "v")), "edges")
+    if e.count() <= CONTRACT_ROWS:
+        return _contract(exchange(e.withColumn("part", F.lit(0)), "part", 1).select("u", "v")).select(F.col("u").alias("node"), F.col("v").alias("component"))
+    e = settle(edge(e), "edges")
     state = None
     for _ in range(rounds):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import exchange, forget, per_batch, per_task, record, settle, shuffle_width
+from .common import arrow_rows, exchange, per_batch, per_task, record, settle, shuffle_width
 
 END = np.uint64(0x9AE16A3B2F90404F)
 BEGIN = np.uint64(0xC949D7C7509E6557)
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 500_000
 MU = (10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10000.0)
 #: Of the filter: bits for each entry of the chunks' lists, probes for each level, bytes of a page.
-ENTRY_BITS, PROBES, PAGE_BYTES = 5, 4, 1 << 26
+ENTRY_BITS, PROBES, PAGE_BYTES = 5, 4, 1 << 25
 KEY_BITS = 48
 SMOOTH = 0.1
 
@@ -216,19 +216,18 @@ def _texts(chunk: _Chunk, counts: np.ndarray, level: np.ndarray, inv: np.ndarray
     floor = n + SMOOTH * (v + 1)
     c = counts[chunk.token]
     base = (c + SMOOTH) / floor
-    end = counts[np.flatnonzero(chunk.vocab == END)[0]]
+    known = np.add.reduceat((c > 0).astype(np.int64), chunk.starts)
+    plain = np.add.reduceat(np.log10(base), chunk.starts)
     history = np.empty(len(c), np.float64)
     history[1:] = c[:-1]
-    history[chunk.starts] = end
+    history[chunk.starts] = counts[np.flatnonzero(chunk.vocab == END)[0]]
     pair = np.where(level > 0, 2.0 ** (level - 1), 0.0)[inv]
-    known = np.add.reduceat((c > 0).astype(np.int64), chunk.starts)
-    plain = np.add.reduceat(np.log10(base), chunk.starts)
-    scores, left = [], []
     t = chunk.train
+    less, rest, above = (c[t] - 1 + SMOOTH) / floor, np.maximum(pair[t] - 1, 0), np.maximum(history[t] - 1, 0)
+    scores, left = [], []
     for mu in MU:
         scores.append(np.add.reduceat(np.log10((pair + mu * base) / (history + mu)), chunk.starts))
-        less = (c[t] - 1 + SMOOTH) / floor
-        left.append(np.log10((np.maximum(pair[t] - 1, 0) + mu * less) / (np.maximum(history[t] - 1, 0) + mu)).sum())
+        left.append(float(np.log10((rest + mu * less) / (above + mu)).sum()))
     return known, plain, scores, left
 
 
@@ -238,6 +237,16 @@ def score_documents(documents: DataFrame, id_column: str = "doc_id", text_column
     width = shuffle_width(spark)
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     chunks = settle(_chunks(docs, folds, fold), "chunks")
+    # A chunk is a row of some megabytes, so Python gets them one by one.
+    with arrow_rows(spark, 1):
+        scored, n = _all_scored(chunks, width, page_bytes)
+    sums = scored.where("left is not null").agg(*(F.sum(F.col("left")[k]) for k in range(len(MU)))).first()
+    best = max(range(len(MU)), key=lambda k: (sums[k] if sums[k] is not None else 0.0, k))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", F.col("scores")[best].alias("score"), F.lit(MU[best]).alias("mu"))
+
+
+def _all_scored(chunks: DataFrame, width: int, page_bytes: int) -> tuple[DataFrame, int]:
+    spark = chunks.sparkSession
     answers = settle(_word_counts(chunks, width), "answers")
     n, v = answers.where("chunk = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
@@ -252,11 +261,10 @@ def score_documents(documents: DataFrame, id_column: str = "doc_id", text_column
         for k, bits in filters.where(F.col("part").between(first, first + parts - 1)).toLocalIterator():
             page[k - first] = np.frombuffer(bits, np.uint8)
         sent = spark.sparkContext.broadcast(page.reshape(-1))
-        if per_page >= width:
-            return _select(_scored(chunks, answers, sent, width, slice_bits, n, v), n)
         own = settle(_page_levels(chunks, sent, first, parts, width, slice_bits), "levels")
+        sent.unpersist()
         levels = own if levels is None else levels.union(own)
-    return _select(_scored(chunks, answers, None, width, slice_bits, n, v, levels), n)
+    return settle(_scored(chunks, answers, levels, n, v), "scored"), n
 
 
 def _page_levels(chunks, sent, first, parts, width, slice_bits) -> DataFrame:
@@ -269,10 +277,10 @@ def _page_levels(chunks, sent, first, parts, width, slice_bits) -> DataFrame:
     return per_batch(chunks.select("chunk", "held", "lengths", "low", "high", "vocab"), "chunk long, level binary", run)
 
 
-def _scored(chunks, answers, sent, width, slice_bits, n, v, levels=None) -> DataFrame:
+def _scored(chunks, answers, levels, n, v) -> DataFrame:
     counts = answers.where("chunk >= 0").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "counts", "wide"))).alias("answers"))
-    rows = chunks.select("chunk", "ids", "held", "lengths", "low", "high", "vocab").join(counts, "chunk")
-    rows = rows.join(levels.groupBy("chunk").agg(F.collect_list("level").alias("levels")), "chunk") if levels is not None else rows.withColumn("levels", F.array().cast("array<binary>"))
+    pages = levels.groupBy("chunk").agg(F.collect_list("level").alias("levels"))
+    rows = chunks.select("chunk", "ids", "held", "lengths", "low", "high", "vocab").join(counts, "chunk").join(pages, "chunk")
 
     def run(batch):
         for _, ids, held, lengths, low, high, vocab, got, pages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -281,7 +289,7 @@ def _scored(chunks, answers, sent, width, slice_bits, n, v, levels=None) -> Data
             counts = np.empty(len(by_hash))
             counts[np.argsort(c.vocab)] = by_hash
             keys, inv = np.unique(c.bigrams(), return_inverse=True)
-            level = _levels(keys, sent.value, 0, width, width, slice_bits) if sent is not None else sum(np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int64) for x in pages)
+            level = sum(np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int64) for x in pages)
             known, plain, scores, left = _texts(c, counts, level, inv, n, v)
             m = len(ids)
             yield record(
@@ -290,10 +298,3 @@ def _scored(chunks, answers, sent, width, slice_bits, n, v, levels=None) -> Data
             )
 
     return per_batch(rows, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, left array<double>", run)
-
-
-def _select(scored: DataFrame, n: int) -> DataFrame:
-    scored = settle(scored, "scored")
-    sums = scored.where("left is not null").agg(*(F.sum(F.col("left")[k]) for k in range(len(MU)))).first()
-    best = max(range(len(MU)), key=lambda k: (sums[k] if sums[k] is not None else 0.0, k))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", F.col("scores")[best].alias("score"), F.lit(MU[best]).alias("mu"))
