@@ -35,7 +35,7 @@ from .common import arrow_rows, exchange, per_batch, per_task, record, settle, s
 
 END = np.uint64(0x9AE16A3B2F90404F)
 BEGIN = np.uint64(0xC949D7C7509E6557)
-CHUNK_TOKENS = 500_000
+CHUNK_TOKENS = 150_000
 MU = (10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10000.0)
 #: Of the filter: bits for each entry of the chunks' lists, probes for each level, bytes of a page.
 ENTRY_BITS, PROBES, PAGE_BYTES = 5, 4, 1 << 25
