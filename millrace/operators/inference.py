@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def holm(df: DataFrame, p: str, family: list[str], order: list[str]) -> DataFrame:
@@ -70,7 +71,7 @@ def one_sample_t(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, t and p per group.  No spread: mean 0 gives t 0 and p 1, any other mean a null t and p 0."""
     s = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def p(t: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or x != x else t_p_value(x, k - 1) for x, k in zip(t, n, strict=True)])
 
