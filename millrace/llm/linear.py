@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +17,7 @@ SLICES = 8
 def counter_rows(counts: np.ndarray) -> pa.RecordBatch:
     """A task's int64 counters as SLICES rows (k, bytes)."""
     parts = counts.reshape(SLICES, -1)
-    return record(k=pa.array(np.arange(SLICES), pa.int32()), bytes=pa.array([x.tobytes() for x in parts], pa.binary()))
+    return record(k=pa.array(np.arange(SLICES), pa.int32()), bytes=pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary()))
 
 
 def summed_counters(rows: DataFrame, size: int) -> np.ndarray:
@@ -25,7 +27,7 @@ def summed_counters(rows: DataFrame, size: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(raw), np.int64)
         for k, x in sums.items():
             yield record(k=pa.array([k], pa.int32()), bytes=pa.array([x.tobytes()], pa.binary()))
 

@@ -33,9 +33,9 @@ from .tokens import Runs, sentences
 DIM_BITS = 18
 DIMS = 1 << DIM_BITS
 PREFIXES = (4, 5, 6)
-TRAIN_ROWS = 60_000
-SELECT = 4096
-LEAST_Z = 4.0
+TRAIN_ROWS = 16_000
+SELECT = 1024
+LEAST_Z = 5.0
 THRESHOLD = 0.3
 
 
