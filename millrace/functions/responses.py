@@ -68,8 +68,7 @@ def cosine_reward(length: Column, correct: Column, longest: int, wrong: tuple[fl
 
 def repetition_penalty(c: Column, n: int, most: float) -> Column:
     words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    g = T.ngrams(words, n)
-    return F.when(F.size(g) > 0, (1 - F.size(F.array_distinct(g)) / F.size(g)) * most).otherwise(F.lit(0.0))
+    return T.let(T.ngrams(words, n), lambda g: F.when(F.size(g) > 0, (1 - F.size(F.array_distinct(g)) / F.size(g)) * most).otherwise(F.lit(0.0)))
 
 
 def decision(c: Column) -> Column:
@@ -106,8 +105,8 @@ def grounded(judge: Column, numeric: Column, structure: Column, concise: Column,
 
 
 def polarity(words: Column, positive: list[str], negative: list[str]) -> Column:
-    n = lambda bag: F.size(F.filter(words, lambda w: w.isin(*bag)))
-    return (n(positive) - n(negative)) / F.greatest(F.lit(1), n(positive) + n(negative))
+    n = lambda own, bag: F.size(F.filter(own, lambda w: w.isin(*bag)))
+    return T.let(words, lambda w: (n(w, positive) - n(w, negative)) / F.greatest(F.lit(1), n(w, positive) + n(w, negative)))
 
 
 def cosine(a: Column, b: Column, floor: float = 1e-6) -> Column:

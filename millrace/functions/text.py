@@ -162,16 +162,24 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9]+)"), F.lit(1))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row: a lambda's variable is not evaluated again for each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(words: Column, n: int) -> Column:
     """All runs of n words joined by blanks; none for shorter arrays."""
-    count = F.size(words) - (n - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def body(w):
+        count = F.size(w) - (n - 1)
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(words, body)
 
 
 def repetition_rate(words: Column, n: int) -> Column:
     """1 - distinct / all n-grams; 0 without any."""
-    g = ngrams(words, n)
-    return F.when(F.size(g) > 0, 1 - F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.lit(0.0))
+    return let(ngrams(words, n), lambda g: F.when(F.size(g) > 0, 1 - F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.lit(0.0)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -183,7 +191,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def periodic_tail(ids: Column, low: int = 16, high: int = 128, repeats: int = 3) -> Column:
     """Whether the last `repeats` periods of some length low to high are equal."""
 
-    def holds(p):
+    def holds(ids, p):
         n = F.size(ids)
         tail = lambda k: F.slice(ids, F.greatest(n - p * (k + 1) + 1, F.lit(1)), p)
         same = F.lit(True)
@@ -191,7 +199,7 @@ def periodic_tail(ids: Column, low: int = 16, high: int = 128, repeats: int = 3)
             same = same & (tail(0) == tail(k))
         return (n >= p * repeats) & same
 
-    return F.exists(F.sequence(F.lit(low), F.lit(high)), holds)
+    return let(ids, lambda own: F.exists(F.sequence(F.lit(low), F.lit(high)), lambda p: holds(own, p)))
 
 
 def hex_mod(hex_text: Column, modulus: int) -> Column:
