@@ -5,6 +5,8 @@ ANCHOR_GAP consecutive starts the one whose 5-word shingle hashes lowest.  Any p
 of PARAGRAPH + ANCHOR_GAP - 1 words therefore has an anchor of its own in every text that
 holds it, wherever it stands and whatever surrounds it; a text shorter than a paragraph
 is one paragraph.  Line breaks do not matter, as passages are also copied into lines.
+Where words repeat, equal paragraphs of a text that overlap are one occurrence that spans
+the whole stretch.
 
 Paragraphs are banded by MinHash over 5-word shingles, with bands tuned for recall at
 the threshold.  Equal paragraphs are one class; within a band's bucket, classes are
@@ -80,10 +82,6 @@ def anchors(shingles: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tupl
         own = shingles[first[d] : first[d] + starts[d]]
         found.append(first[d] + np.flatnonzero(own == own.min()))
     at = np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
-    if len(at):
-        # Words that repeat tie everywhere; of anchors that follow closely with an equal hash the first stands for all.
-        again = (shingles[at[1:]] == shingles[at[:-1]]) & (at[1:] - at[:-1] < ANCHOR_GAP)
-        at = at[np.concatenate([[True], ~again])]
     short = np.flatnonzero((counts >= MIN_WORDS) & (starts == 0))
     return np.concatenate([at, first[short]]), np.concatenate([np.full(len(at), PARAGRAPH), counts[short]])
 
@@ -98,6 +96,18 @@ def _chunk(raws: list[bytes]):
     return w, shingles, at, size
 
 
+def _runs(whole: np.ndarray, doc: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first, words of all) of the runs: equal paragraphs of a text that overlap, as where a few words repeat, are one occurrence of their whole stretch."""
+    order = np.lexsort((at, whole, doc))
+    w, d, a = whole[order], doc[order], at[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1]) | (a[1:] - a[:-1] >= PARAGRAPH)
+    head = np.flatnonzero(fresh)
+    last = np.append(head[1:], len(a))[: len(head)] - 1
+    back = np.argsort(order[head], kind="stable")
+    return order[head][back], (a[last] - a[head] + size[order[head]])[back]
+
+
 def _salt(k: int) -> np.uint64:
     return np.uint64((k + 1) * 0xA0761D6478BD642F & (1 << 64) - 1)
 
@@ -113,7 +123,7 @@ def _minhash(shingles: np.ndarray, at: np.ndarray, size: np.ndarray, k: int) ->
     return out
 
 
-ENTRY = np.dtype([("sig", np.uint64), ("whole", np.uint64), ("doc", np.uint32), ("pos", np.uint32), ("size", np.uint16), ("band", np.uint16)])
+ENTRY = np.dtype([("sig", np.uint64), ("whole", np.uint64), ("doc", np.uint32), ("pos", np.uint32), ("size", np.uint32), ("band", np.uint16)])
 
 
 def _banded(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
@@ -123,13 +133,15 @@ def _banded(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
             if not len(at):
                 continue
             whole = _whole(w.hash, at, size)
+            one, reach = _runs(whole, w.doc[at], at, size)
+            whole, at, size = whole[one], at[one], size[one]
             keep = []
             for b in range(bands):
                 sig = np.full(len(at), b + 1, np.uint64)
                 for r in range(rows):
                     sig = W.mix(sig ^ _minhash(shingles, at, size, b * rows + r))
                 e = np.empty(len(at), ENTRY)
-                e["sig"], e["whole"], e["doc"], e["pos"], e["size"], e["band"] = sig, whole, w.doc[at], at - w.first[w.doc[at]], size, b
+                e["sig"], e["whole"], e["doc"], e["pos"], e["size"], e["band"] = sig, whole, w.doc[at], at - w.first[w.doc[at]], reach, b
                 keep.append(e)
             rows_ = np.concatenate(keep)
             part = ((rows_["sig"] >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int64)
@@ -228,11 +240,12 @@ def _paragraph_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
             whole, sets = [], []
             for k in range(len(raws)):
                 for p in asked[at + k]:
-                    x = w.first[k] + p["pos"]
+                    # A run is longer than its paragraph.
+                    x, size = w.first[k] + p["pos"], min(p["size"], PARAGRAPH)
                     # A repeated id with another text may lack the paragraph.
-                    if p["pos"] + p["size"] <= w.counts[k]:
+                    if p["pos"] + size <= w.counts[k]:
                         whole.append(p["whole"])
-                        sets.append(np.unique((shingles[x : x + p["size"] - SHINGLE + 1] >> np.uint64(32)).astype(np.uint32)).tobytes())
+                        sets.append(np.unique((shingles[x : x + size - SHINGLE + 1] >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield record(whole=pa.array(whole, pa.int64()), shingles=pa.array(sets, pa.binary()))
 
     return per_batch(rows, "whole long, shingles binary", run).dropDuplicates(["whole"])

@@ -272,6 +272,18 @@ def test_substring_dedup(spark):
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_substring_dedup_of_repeating_words(spark):
+    rng = random.Random(15)
+    line = _text(rng, 10)
+    texts = [" ".join([_text(rng, 60 + k), *[line] * 20, _text(rng, 70)]) for k in range(2)]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOC)
+    rows = substring_dedup.repeated_passages(df).collect()
+    for k in range(2):
+        covered = {w for r in rows if r.doc_id == k for w in range(r.start_word, r.end_word)}
+        assert not set(range(60 + k + 9, 260 + k - 9)) - covered and not covered - set(range(50 + k, 270 + k))
+    assert {r.kept for r in rows if r.doc_id == 0} == {True} and {r.kept for r in rows if r.doc_id == 1} == {False}
+
+
 def test_tune_bands():
     bands, rows = substring_dedup.tune_bands(0.8, 0.98)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.98
