@@ -11,8 +11,8 @@ the whole stretch.
 Paragraphs are banded by MinHash over 5-word shingles, with bands tuned for recall at
 the threshold.  Equal paragraphs are one class; within a band's bucket, classes are
 paired and their exact Jaccard is verified.  A bucket of more than SMALL_BUCKET classes
-(a frequent line in many contexts) is banded again with more rows before its classes are
-paired.  Links are clustered by connected components; a cluster that occurs in two texts
+(a frequent line in many contexts) is banded again with more rows; small buckets of that
+are paired, and in full ones an exact search links all that similar pairs connect.  Links are clustered by connected components; a cluster that occurs in two texts
 or more keeps its first occurrence and gives up the others, and overlapping paragraphs
 of a text are merged to spans.
 
@@ -251,27 +251,104 @@ def _paragraph_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
     return per_batch(rows, "whole long, shingles binary", run).dropDuplicates(["whole"])
 
 
-def _second(sets: DataFrame) -> DataFrame:
-    """Pairs among the classes of full buckets, by a second banding; a bucket that is full again is paired with its smallest class and in order."""
+#: Classes of a block: a full second bucket of more is dealt to tasks by pairs of blocks.
+BLOCK_CLASSES = 4096
+
+
+def _sizes(sets: list[np.ndarray]) -> np.ndarray:
+    return np.fromiter(map(len, sets), np.int64, len(sets))
+
+
+def _forest(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Pairs of similar sets that connect all that similar pairs connect, by exact Jaccard.
+
+    Breadth first: a set is compared with those not reached yet that share one of its
+    rarest members, of which similar sets have one in common (any order of members does).
+    """
+    n, size = len(sets), _sizes(sets)
+    _, member, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    order = np.lexsort((member, times[member], owner))
+    member = member[order]
+    rank = spread(np.zeros(n, np.int64), size)
+    head = rank < (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[owner]
+    wide = np.full((n, int(size.max())), len(times))
+    wide[owner, rank] = member
+    key, at = member[head], owner[head]
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], at[order]
+    own, first, count = np.unique(key, return_index=True, return_counts=True)
+    shared = {int(m): at[x : x + c] for m, x, c in zip(own[count > 1], first[count > 1], count[count > 1], strict=True)}
+    asks: dict[int, list[int]] = {}
+    for m, list_ in shared.items():
+        for i in list_.tolist():
+            asks.setdefault(i, []).append(m)
+    left, mark, links = np.ones(n, bool), np.zeros(len(times) + 1, bool), []
+    for start in asks:
+        if not left[start]:
+            continue
+        left[start] = False
+        queue = [start]
+        while queue:
+            i = queue.pop()
+            near = []
+            for m in asks.get(i, ()):
+                shared[m] = shared[m][left[shared[m]]]
+                near.append(shared[m])
+            near = np.concatenate(near) if near else np.empty(0, np.int64)
+            if not len(near):
+                continue
+            mark[wide[i, : size[i]]] = True
+            both = mark[wide[near]].sum(axis=1)
+            mark[wide[i, : size[i]]] = False
+            found = np.unique(near[both >= threshold * (size[i] + size[near] - both)])
+            left[found] = False
+            links += [(i, j) for j in found.tolist()]
+            queue += found.tolist()
+    return links
+
+
+def _second(sets: DataFrame, threshold: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """Among the classes of full buckets, by a second banding: pairs to verify of small buckets, and links of full ones, which connect all that their similar pairs connect."""
     bands, rows = SECOND
 
     def sign(batch):
-        whole, sig = [], []
-        for name, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            s = np.frombuffer(raw, np.uint32).astype(np.uint64)
-            for b in range(bands):
-                key = np.array([b + 1], np.uint64)
-                for r in range(rows):
-                    key = W.mix(key ^ W.mix(s ^ _salt(1000 + b * rows + r)).min())
-                whole.append(name), sig.append(int(key.view(np.int64)[0]))
-        yield record(whole=pa.array(whole, pa.int64()), sig=pa.array(sig, pa.int64()))
+        raws = batch.column(1).to_pylist()
+        s = np.frombuffer(b"".join(raws), np.uint32).astype(np.uint64)
+        size = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        first = np.cumsum(size) - size
+        for b in range(bands):
+            key = np.full(len(raws), b + 1, np.uint64)
+            for r in range(rows):
+                key = W.mix(key ^ np.minimum.reduceat(W.mix(s ^ _salt(1000 + b * rows + r)), first))
+            yield record(whole=batch.column(0), sig=pa.array(key.view(np.int64)))
 
     signed = settle(per_batch(sets, "whole long, sig long", sign), "signed")
-    size = signed.groupBy("sig").agg(F.count("*").alias("n"), F.min("whole").alias("low")).where("n > 1")
+    size = signed.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
     joined = settle(signed.join(size, "sig"), "joined")
     small = joined.where(F.col("n") <= SMALL_BUCKET)
     pairs = small.select("sig", "whole").join(small.select("sig", F.col("whole").alias("other")), "sig").where("whole < other").select("whole", "other")
-    return pairs.union(joined.where((F.col("n") > SMALL_BUCKET) & (F.col("whole") != F.col("low"))).select("whole", F.col("low").alias("other")))
+    # A bucket of one block is one cell; of more blocks every two meet in a cell.
+    full = joined.where(F.col("n") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("n") / BLOCK_CLASSES).cast("int")).withColumn("own", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int"))
+    every = F.transform(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0))), lambda k: F.struct(F.least("own", k).alias("a"), F.greatest("own", k).alias("b")))
+    cells = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(F.filter(every, lambda c: c.a != c.b))
+    dealt = full.select("sig", "whole", F.explode(cells).alias("cell")).join(sets, "whole")
+    dealt = dealt.select(F.pmod(F.xxhash64("sig", "cell.a", "cell.b"), F.lit(width)).cast("int").alias("part"), F.xxhash64("sig", "cell.a", "cell.b").alias("cell"), "whole", "shingles")
+
+    def connect(batches):
+        held = [b for b in batches]
+        if not held:
+            return
+        rows_ = pa.Table.from_batches(held).combine_chunks()
+        cell, whole, raw = rows_.column("cell").to_numpy(), rows_.column("whole").to_numpy(), rows_.column("shingles").combine_chunks()
+        order = np.argsort(cell, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            links = _forest([np.frombuffer(raw[int(i)].as_py(), np.uint32) for i in at], threshold)
+            if links:
+                u, v = whole[at[[x for x, _ in links]]], whole[at[[y for _, y in links]]]
+                yield record(u=pa.array(np.minimum(u, v)), v=pa.array(np.maximum(u, v)))
+
+    return pairs, per_task(exchange(dealt, "part", width), "u long, v long", connect)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -303,9 +380,10 @@ def repeated_passages(documents: DataFrame, id_column: str = "doc_id", text_colu
     place = found.where("kind = 3").groupBy("whole").agg(F.min(F.struct("doc", "pos", "size")).alias("p")).select("whole", "p.*")
     sets = settle(_paragraph_sets(docs, place), "sets")
     full = found.where("kind = 2").select("whole").distinct()
-    pairs = found.where("kind = 1").select("whole", "other").union(_second(sets.join(full, "whole", "left_semi"))).where("whole <> other")
+    second, links = _second(settle(sets.join(full, "whole", "left_semi"), "full"), threshold, width)
+    pairs = found.where("kind = 1").select("whole", "other").union(second).where("whole <> other")
     pairs = pairs.select(F.least("whole", "other").alias("whole"), F.greatest("whole", "other").alias("other")).distinct()
-    links = settle(_verified(pairs, sets, threshold), "links")
+    links = settle(_verified(pairs, sets, threshold).union(links), "links")
     cluster = settle(components(links), "clusters")
     near = links.select(F.explode(F.array("u", "v")).alias("whole")).distinct()
     places = found.where("kind = 0").select("whole", "doc", "pos", "size").union(place.join(near, "whole", "left_semi").select("whole", "doc", "pos", "size")).distinct()

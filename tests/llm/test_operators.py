@@ -284,6 +284,67 @@ def test_substring_dedup_of_repeating_words(spark):
     assert {r.kept for r in rows if r.doc_id == 0} == {True} and {r.kept for r in rows if r.doc_id == 1} == {False}
 
 
+def _variants(rng, n):
+    """25 words, each time with one of the first two or last two words changed, or one of both: all within 0.8 of a neighbour, few of any one."""
+    base, out = rng.sample(WORDS, 25), [[]]
+    for k in range(n):
+        words = list(base)
+        for at in rng.choice([(0,), (24,), (1,), (23,), (0, 24)]):
+            words[at] = f"v{rng.randrange(n // 4)}"
+        out.append(words)
+    return [" ".join(w) for w in out[1:]]
+
+
+def _brute_links(sets):
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        both = len(sets[i] & sets[j])
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            p, q = find(i), find(j)
+            parent[max(p, q)] = min(p, q)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_links_of_full_buckets():
+    rng = random.Random(16)
+    for most in (25, 40, 400):
+        sets = []
+        for _ in range(300):
+            own = rng.sample(range(most), 21) if not sets or rng.random() < 0.3 else [x for x in rng.choice(sets) if rng.random() > 0.1] + rng.sample(range(most), 2)
+            sets.append(set(own) or {0})
+        parent = list(range(len(sets)))
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, j in substring_dedup._forest([np.array(sorted(s), np.uint32) for s in sets], 0.8):
+            assert find(i) != find(j)
+            p, q = find(i), find(j)
+            parent[max(p, q)] = min(p, q)
+        assert [find(i) for i in range(len(sets))] == _brute_links(sets)
+
+
+@pytest.mark.parametrize("block", [4096, 64])
+def test_substring_dedup_of_many_variants(spark, monkeypatch, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK_CLASSES", block)
+    rng = random.Random(17)
+    texts = [v for _ in range(3) for v in _variants(rng, 150)]
+    words = [t.split() for t in texts]
+    root = _brute_links([{tuple(w[k : k + 5]) for k in range(21)} for w in words])
+    size = collections.Counter(root)
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOC)
+    rows = substring_dedup.repeated_passages(df).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(k, x) for k, x in enumerate(root) if size[x] > 1}
+
+
 def test_tune_bands():
     bands, rows = substring_dedup.tune_bands(0.8, 0.98)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.98
