@@ -30,8 +30,6 @@ CAPACITY = 4096
 END_ID = 2
 #: Pieces that one task packs; a group's unfilled end costs at most one sequence.
 GROUP_PIECES = 32768
-#: Distinct lengths that one search may look at.
-SEARCH_LENGTHS = 256
 
 
 def fill(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -39,7 +37,7 @@ def fill(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int
     mask = (1 << (room + 1)) - 1
     reach, steps = 1, []
     k = bisect.bisect_right(lengths, room)
-    for length in reversed(lengths[max(0, k - SEARCH_LENGTHS) : k]):
+    for length in reversed(lengths[:k]):
         left, take = min(counts[length], room // length), 1
         while left:
             take = min(take, left)

@@ -249,6 +249,19 @@ def test_fill_is_best():
         assert sum(n * k for n, k in got.items()) == best and all(k <= counts[n] for n, k in got.items())
 
 
+def test_fill_of_many_lengths():
+    lengths = [*range(1, 101), *range(1400, 2041)]
+    counts = dict.fromkeys(lengths, 3)
+    for room in (2196, 2600, 1399, 90):
+        got = packing.fill(lengths, counts, room)
+        assert sum(n * k for n, k in got.items()) == room and all(k <= counts[n] for n, k in got.items())
+    sizes = np.array([n for n in lengths for _ in range(8)])
+    sequence, _ = packing.pack(sizes)
+    filled = np.bincount(sequence, weights=sizes)
+    # Two long pieces, and short ones where the room is left, until those run out.
+    assert (filled[:20] == 4096).all()
+
+
 def test_tokenizer_on_many_words():
     coder = bpe.load(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(9)
