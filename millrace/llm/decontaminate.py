@@ -1,18 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare words as seeds, then Smith-Waterman alignment.
 
 Texts and items are letter and digit runs, so case and punctuation do not hide a copy.
-One pass looks up every text's SEED-word grams among those of the items and keeps the
-clusters of hits on near diagonals that hold enough distinct grams of an item: an
-alignment of similarity 0.8 or more leaves at least 0.4 m - 2 of an item's grams whole.
-The same pass counts in how many texts each gram occurs.  A cluster goes on only if one
-of its grams is a rare seed of the item (at most RARE texts, or among the rarer half of
-the item's own grams, which keeps an item that has leaked everywhere).  A Smith-Waterman
-alignment of item and passage then scores a match 1 and an edit -EDIT; similarity is the
-best score over the item's words.
-
-Seeds are shorter than the five words of set similarity here so that no alignment above
-the threshold is lost to evenly spread edits.  Items go out in blocks of at most
-BLOCK_GRAMS grams; a benchmark of more grams takes more passes.
+An alignment scores a match 1 and an edit -EDIT; similarity is the best score over the
+item's words.  At similarity THRESHOLD t an item of m words has at most (1 - t) m words
+without a match, and its copy spans at most m + (1 - t) m / EDIT words of the text, all
+edits being insertions.  One pass counts the items' words in the texts.  The seeds of an
+item are its rarest words, more of them than may lack a match; a second pass keeps the
+stretches of text where as many seeds as must match stand within the widest copy, and
+where enough words of the item do.  No alignment of similarity THRESHOLD is lost, however
+its edits lie; the counts only decide how much is aligned.
+
+Items go out in blocks of at most BLOCK_WORDS words; a benchmark of more takes more passes.
 
 Null and empty texts match nothing.  Items below MIN_WORDS words are ignored: they occur
 by chance.  Repeated rows of texts each match; repeated items each report.  Rows with a
@@ -30,110 +28,118 @@ from . import words as W
 from .common import per_batch, per_task, record, settle, shuffle_width, spread
 from .tokens import Runs
 
-SEED = 3
 MIN_WORDS = 8
 EDIT = 0.25
 THRESHOLD = 0.8
-RARE = 50
-BLOCK_GRAMS = 1 << 21
+BLOCK_WORDS = 1 << 21
+
+
+def lost_words(size, threshold: float = THRESHOLD):
+    """Words of an item of `size` words that an alignment of similarity `threshold` may leave without a match, at most."""
+    return np.floor((1 - threshold) * size + 1e-6).astype(np.int64)
 
 
-def _seed_grams(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, run index) of every SEED consecutive runs inside a text."""
-    at = np.flatnonzero(runs.first[runs.doc + 1] - np.arange(len(runs)) >= SEED) if len(runs) else np.empty(0, np.int64)
-    acc = np.zeros(len(at), np.uint64)
-    for k in range(SEED):
-        acc = acc * W._BASE + runs.hash[at + k]
-    return W.mix(acc) | np.uint64(1), at
+def copy_words(size, threshold: float = THRESHOLD):
+    """Words of a text that such an alignment spans, at most."""
+    return size + np.floor((1 - threshold) * size / EDIT + 1e-6).astype(np.int64)
 
 
 class Block:
-    """Some items: their words and an index from gram to the places where it stands."""
+    """Some items: their words, and an index from word to items."""
 
     def __init__(self, ids: list[int], texts: list[str]):
-        self.ids, self.words = ids, []
-        grams, item, pos = [], [], []
-        for k, text in enumerate(texts):
-            runs = Runs([(text or "").encode("utf-8", "surrogatepass")])
-            self.words.append(runs.hash)
-            if len(runs) >= MIN_WORDS:
-                h, at = _seed_grams(runs)
-                grams.append(h), item.append(np.full(len(h), k)), pos.append(at)
-        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-        grams, item, pos = cat(grams, np.uint64), cat(item, np.int64), cat(pos, np.int64)
-        order = np.argsort(grams, kind="stable")
-        self.item, self.pos = item[order], pos[order]
-        self.grams, at = np.unique(grams[order], return_index=True)
-        self.first = np.append(at, len(grams))
+        self.ids = ids
+        # The table has no key 0.
+        self.words = [Runs([(text or "").encode("utf-8", "surrogatepass")]).hash | np.uint64(1) for text in texts]
         self.size = np.array([len(w) for w in self.words], np.int64)
+        used = [w for w in self.words if len(w) >= MIN_WORDS]
+        self.vocabulary = np.unique(np.concatenate(used)) if used else np.empty(0, np.uint64)
         self.table = W.HashTable()
-        self.table.put(self.grams, np.arange(len(self.grams), dtype=np.int32))
-
-
-def least_grams(size: np.ndarray) -> np.ndarray:
-    """Grams of an item of `size` words that any alignment of similarity THRESHOLD leaves whole, 1 at least."""
-    return np.maximum(1, np.ceil(0.4 * size).astype(np.int64) - 2)
-
-
-def _clusters(block: Block, runs: Runs, slot: np.ndarray, at: np.ndarray):
-    """(doc, item, first run, past last run, grams) of clusters with enough distinct grams."""
+        self.table.put(self.vocabulary, np.arange(len(self.vocabulary), dtype=np.int32))
+
+    def seed(self, counts: np.ndarray, threshold: float) -> None:
+        """Chooses seeds by the counts of the vocabulary: words, their items, and how many must stand near each other."""
+        word, item = [], []
+        self.need, self.least, self.span = np.zeros(len(self.words), np.int64), self.size - lost_words(self.size, threshold), copy_words(self.size, threshold)
+        for k, w in enumerate(self.words):
+            if len(w) < MIN_WORDS:
+                continue
+            slot = self.table.get(w).astype(np.int64)
+            slot = slot[np.lexsort((slot, counts[slot]))]
+            self.need[k] = min(-(-len(w) // 8), self.least[k])
+            own = np.unique(slot[: int(self.size[k] - self.least[k] + self.need[k])])
+            word.append(own), item.append(np.full(len(own), k))
+        word, item = np.concatenate(word), np.concatenate(item)
+        order = np.argsort(word, kind="stable")
+        self.item = item[order]
+        self.first = np.searchsorted(word[order], np.arange(len(self.vocabulary) + 1))
+
+
+def _stretches(block: Block, runs: Runs, words: np.ndarray):
+    """(doc, item, first run, past last run) of the stretches that may hold a copy."""
+    slot = block.table.get(words)
+    at = np.flatnonzero(slot >= 0)
+    slot = slot[at].astype(np.int64)
     count = block.first[slot + 1] - block.first[slot]
-    place = spread(block.first[slot], count)
-    gram, where = np.repeat(slot, count), np.repeat(at, count)
-    item, ipos = block.item[place], block.pos[place]
+    item, where = block.item[spread(block.first[slot], count)], np.repeat(at, count)
     doc = runs.doc[where]
-    diagonal = where - ipos
-    order = np.lexsort((diagonal, item, doc))
-    doc, item, ipos, diagonal, gram = doc[order], item[order], ipos[order], diagonal[order], gram[order]
+    order = np.lexsort((where, item, doc))
+    doc, item, where = doc[order], item[order], where[order]
     if not len(doc):
         return
-    size = block.size[item]
+    # The seeds of a copy that must match stand in a row and within its span.
+    last = np.arange(len(doc)) + block.need[item] - 1
+    near = np.minimum(last, len(doc) - 1)
+    span = block.span[item]
+    on = np.flatnonzero((last < len(doc)) & (doc[near] == doc) & (item[near] == item) & (where[near] - where < span))
+    if not len(on):
+        return
+    doc, item, span, low, high = doc[on], item[on], span[on], where[near[on]] - span[on] + 1, where[on] + span[on]
+    low, high = np.maximum(low, runs.first[doc]), np.minimum(high, runs.first[doc + 1])
     fresh = np.ones(len(doc), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > np.maximum(4, size[1:] // 4))
-    group = np.cumsum(fresh) - 1
+    fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])
     head = np.flatnonzero(fresh)
-    n = np.bincount(group)
-    # Distinct item positions of a cluster.
-    order = np.lexsort((ipos, group))
-    g, p = group[order], ipos[order]
-    own = np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])])
-    distinct = np.bincount(g[own], minlength=len(n))
-    for k in np.flatnonzero(distinct >= least_grams(size[head])):
-        x, y = head[k], head[k] + n[k]
-        m, d = int(size[x]), int(doc[x])
-        pad = m // 4 + 2
-        low = max(int(diagonal[x]) - pad, int(runs.first[d]))
-        high = min(int(diagonal[y - 1]) + m + pad, int(runs.first[d + 1]))
-        yield d, int(item[x]), low, high, np.unique(gram[x:y])
-
-
-def _seeds(docs: DataFrame, sent) -> DataFrame:
-    """Clusters (doc_id, item, start, words, grams), and with item null the document counts (grams, words) of a task."""
+    for x, y in zip(head.tolist(), np.append(head[1:], len(doc)).tolist(), strict=True):
+        k, a, b = int(item[x]), int(low[x]), int(high[y - 1])
+        held = np.concatenate([[0], np.cumsum(np.isin(words[a:b], block.words[k]))])
+        wide = min(int(span[x]), b - a)
+        if (held[wide:] - held[: len(held) - wide]).max() >= block.least[k]:
+            yield int(doc[x]), k, a, b
+
+
+def _counts(docs: DataFrame, sent) -> DataFrame:
+    """(word, texts): how often a task's texts hold each word of the block."""
+
+    def run(batches):
+        block = sent.value
+        counts = np.zeros(len(block.vocabulary), np.int64)
+        for batch in batches:
+            for _, raws in W.chunks(batch.column(1).to_pylist()):
+                slot = block.table.get(Runs(raws).hash | np.uint64(1))
+                counts += np.bincount(slot[slot >= 0], minlength=len(counts))
+        used = np.flatnonzero(counts)
+        for k in range(0, len(used), 1 << 16):
+            part = used[k : k + (1 << 16)]
+            yield record(word=pa.array(part, pa.int32()), times=pa.array(counts[part], pa.int64()))
+
+    return per_task(docs, "word int, times long", run)
+
+
+def _candidates(docs: DataFrame, sent) -> DataFrame:
+    """(doc_id, item, start, words) of the stretches to align."""
 
     def run(batches):
         block = sent.value
-        counts = np.zeros(len(block.grams), np.int64)
         for batch in batches:
             ids = batch.column(0)
             for first_row, raws in W.chunks(batch.column(1).to_pylist()):
                 runs = Runs(raws)
-                h, at = _seed_grams(runs)
-                slot = block.table.get(h)
-                on = slot >= 0
-                slot, at = slot[on].astype(np.int64), at[on]
-                pair = np.unique(runs.doc[at] * len(block.grams) + slot) if len(at) else np.empty(0, np.int64)
-                counts += np.bincount(pair % max(1, len(block.grams)), minlength=len(block.grams))
-                rows = list(_clusters(block, runs, slot, at))
+                words = runs.hash | np.uint64(1)
+                rows = list(_stretches(block, runs, words))
                 if rows:
-                    yield record(
-                        doc_id=ids.take(pa.array([first_row + r[0] for r in rows])), item=pa.array([r[1] for r in rows], pa.int32()), start=pa.array([r[2] - int(runs.first[r[0]]) for r in rows], pa.int64()),
-                        words=pa.array([runs.hash[r[2] : r[3]].tobytes() for r in rows], pa.binary()), grams=pa.array([r[4].tolist() for r in rows], pa.list_(pa.int32())), counts=pa.nulls(len(rows), pa.list_(pa.int64())),
-                    )
-        used = np.flatnonzero(counts)
-        if len(used):
-            yield record(doc_id=pa.nulls(1, pa.int64()), item=pa.nulls(1, pa.int32()), start=pa.nulls(1, pa.int64()), words=pa.nulls(1, pa.binary()), grams=pa.array([used.tolist()], pa.list_(pa.int32())), counts=pa.array([counts[used].tolist()], pa.list_(pa.int64())))
+                    yield record(doc_id=ids.take(pa.array([first_row + r[0] for r in rows])), item=pa.array([r[1] for r in rows], pa.int32()), start=pa.array([r[2] - int(runs.first[r[0]]) for r in rows], pa.int64()), words=pa.array([words[r[2] : r[3]].tobytes() for r in rows], pa.binary()))
 
-    return per_task(docs, "doc_id long, item int, start long, words binary, grams array<int>, counts array<long>", run)
+    return per_task(docs, "doc_id long, item int, start long, words binary", run)
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray], edit: float = EDIT) -> tuple[np.ndarray, np.ndarray]:
@@ -189,12 +195,12 @@ def _aligned(candidates: DataFrame, sent, threshold: float) -> DataFrame:
 
 
 def _blocks(benchmark: DataFrame, id_column: str, text_column: str):
-    """Items, dealt to the driver block by block; a block holds at most BLOCK_GRAMS words."""
+    """Items, dealt to the driver block by block; a block holds at most BLOCK_WORDS words."""
     ids, texts, words = [], [], 0
     rows = benchmark.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).where(F.col(text_column).isNotNull()).orderBy(id_column, text_column)
     for item, text in rows.toLocalIterator():
         n = len(text.split())
-        if ids and words + n > BLOCK_GRAMS:
+        if ids and words + n > BLOCK_WORDS:
             yield Block(ids, texts)
             ids, texts, words = [], [], 0
         ids.append(item), texts.append(text)
@@ -209,17 +215,15 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_column: str = "d
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     hits = None
     for block in _blocks(benchmark, item_column, item_text):
-        if not len(block.grams):
+        if not len(block.vocabulary):
             continue
         sent = spark.sparkContext.broadcast(block)
-        seeds = settle(_seeds(docs, sent), "seeds")
-        counted = seeds.where("item is null").select(F.explode(F.arrays_zip("grams", "counts")).alias("c")).groupBy(F.col("c.grams").alias("gram")).agg(F.sum("c.counts").alias("texts"))
-        index = spark.createDataFrame([(int(i), int(g)) for g in range(len(block.grams)) for i in np.unique(block.item[block.first[g] : block.first[g + 1]])], "item int, gram int")
-        known = index.join(counted, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
-        middle = known.groupBy("item").agg(F.percentile_approx("texts", 0.5, 10000).alias("middle"))
-        rare = known.join(middle, "item").where((F.col("texts") <= RARE) | (F.col("texts") <= F.col("middle"))).groupBy("item").agg(F.collect_set("gram").alias("rare"))
-        # A seed table of the block's size joins the clusters; it never grows with the corpus.
-        candidates = seeds.where("item is not null").join(F.broadcast(rare), "item").where(F.arrays_overlap("grams", "rare")).select("doc_id", "item", "start", "words")
+        counts = np.zeros(len(block.vocabulary), np.int64)
+        for row in _counts(docs, sent).groupBy("word").agg(F.sum("times").alias("times")).toLocalIterator():
+            counts[row.word] = row.times
+        block.seed(counts, threshold)
+        sent = spark.sparkContext.broadcast(block)
+        candidates = settle(_candidates(docs, sent), "candidates")
         own = _aligned(candidates.repartition(shuffle_width(spark)), sent, threshold)
         hits = own if hits is None else hits.union(own)
     if hits is None:

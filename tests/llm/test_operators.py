@@ -200,6 +200,43 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def _plain_similarity(item, text):
+    h = [0.0] * (len(text) + 1)
+    best = 0.0
+    for x in item:
+        now = [0.0]
+        for j, y in enumerate(text, 1):
+            now.append(max(0, h[j - 1] + (1 if x == y else -0.25), h[j] - 0.25, now[-1] - 0.25))
+        h, best = now, max(best, max(now))
+    return best / len(item)
+
+
+def test_decontamination_against_plain_alignment(spark):
+    rng = random.Random(18)
+    # Words of the items are frequent in the other texts too.
+    few = WORDS[:150]
+    items = [[rng.choice(few) for _ in range(n)] for n in (60, 40, 8, 9, 25)]
+
+    def inserted(words, every):
+        return [x for k, w in enumerate(words) for x in ([w, "new"] if k % every == every - 1 else [w])]
+
+    copies = [inserted(items[0], 3), inserted(items[0], 2), items[1][:20] + ["new"] * 24 + items[1][20:], inserted(items[2], 2), inserted(items[3], 3)]
+    for item in items:
+        for _ in range(8):
+            words, edits = [], rng.choice([0.05, 0.15, 0.3, 0.6])
+            for w in item:
+                kind = rng.choice(["put", "put", "put", "swap", "drop"]) if rng.random() < edits else ""
+                words += [w] * (kind in ("", "put")) + [rng.choice(few)] * (kind in ("put", "swap"))
+            copies.append(words)
+    texts = [[rng.choice(few) for _ in range(30)] + c + [rng.choice(few) for _ in range(30)] for c in copies] + [[rng.choice(few) for _ in range(100)] for _ in range(60)]
+    df = spark.createDataFrame([(k, " ".join(t), "en", "s", 0) for k, t in enumerate(texts)], DOC)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    out = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontaminate.contaminated(df, bench).collect()}
+    plain = {(d, i): _plain_similarity(item, t) for d, t in enumerate(texts) for i, item in enumerate(items)}
+    assert out == {k: round(x, 6) for k, x in plain.items() if x >= 0.8 - 1e-9}
+    assert {(0, 0), (1, 0), (2, 1)} <= set(out)
+
+
 def test_alignment_against_plain_tables():
     rng = random.Random(1)
     for _ in range(40):
