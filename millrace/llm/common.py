@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -64,17 +66,46 @@ def exchange(df: DataFrame, part: str, width: int) -> DataFrame:
     return df.repartitionById(width, F.col(part).cast("int"))
 
 
+#: Rows and bytes of the Arrow batches that Python gets, unless the session asks for smaller ones.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.match(r"-?[0-9]+", spark.conf.get(name))[0])
+        if now <= 0 or now > most:
+            spark.conf.set(name, most)
+
+
+@contextlib.contextmanager
+def _lean():
+    """A task's memory goes back to the system when it ends: workers live on, and what they keep adds up over the jobs of a session."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        yield
+    finally:
+        with contextlib.suppress(AttributeError, OSError):  # no such call outside glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_batch(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield from f(batch)
+        with _lean():
+            for batch in batches:
+                if batch.num_rows:
+                    yield from f(batch)
 
+    _small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
 def per_task(df: DataFrame, schema: str, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    return df.mapInArrow(lambda batches: f(b for b in batches if b.num_rows), schema)
+    def run(batches):
+        with _lean():
+            yield from f(b for b in batches if b.num_rows)
+
+    _small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def record(**columns) -> pa.RecordBatch:

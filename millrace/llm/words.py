@@ -20,7 +20,7 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _MULT = _U(0xD1342543DE82EF95)
 #: Texts of a batch are handled in chunks of about this many bytes.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def _fold_table() -> np.ndarray:
