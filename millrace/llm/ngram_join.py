@@ -12,17 +12,22 @@ two classes that link share at least MATCHES of them.
   few classes that most of its lists propose among those it is not yet connected to,
   which joins groups of near copies by about as many comparisons as members.
   In the last round only pairs that are not known to be connected remain, and all of
-  them are decided: their overlap is bounded from the overlap of their centres and the
-  differences to them (|A n B| lies within |CA n CB| -/+ the differences), and a set is
-  read only where the bounds do not decide.
+  them are decided.  Pairs of short lists are bounded from the overlap of their centres
+  and the differences to them (|A n B| lies within |CA n CB| -/+ the differences), and a
+  set is read only where the bounds do not decide.  Members of long lists meet in cells,
+  one for lists of about the same members; a cell finds its candidates by the same
+  position blocks, gets their overlaps from the differences to one centre
+  (|A n B| = |C| - |C - A| - |C - B| + common differences) and returns only links that
+  connect what its pairs connect, so that a group's output grows with its members.
 
 Before that, a pair must pass the size filter, the position filter and a histogram
 filter: sets whose bucket histograms differ by more than the symmetric difference that
 the threshold allows cannot link.  All filters are exact.
 
 Null ids keep their row, link with nothing and get a null component.  Null, empty and
-blank texts have n_shingles 0 and are their own component.  Rows that share an id are
-one node of the graph.  Columns other than id and text are ignored.
+blank texts have n_shingles 0, are no part of the graph and their own component.  Other
+rows that share an id are one node of the graph, whatever their texts.  Columns other
+than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -55,8 +60,10 @@ CENTRE_ROUNDS = (1, 4, 4)
 STAR = 1000
 #: The centre rounds look at one list in this many; the last round looks at all.
 PROPOSE_LISTS = 4
-#: Ids up to this many are sent to the texts; more are joined by a shuffle.
-SEND_IDS = 2_000_000
+#: Rows of at most 100 bytes that are sent to every task up to this many; more are joined by a shuffle.
+SEND_IDS = 1 << 18
+#: N-grams of a block of a cell, each member counting for MEMBER more; every two blocks that can hold a new link meet.
+BLOCK_GRAMS, MEMBER = 1 << 19, 512
 
 
 def need(size_a: np.ndarray, size_b: np.ndarray, t: Fraction) -> np.ndarray:
@@ -325,8 +332,35 @@ def _long_list(size, pos, label, t: Fraction):
                 yield left[keep], right[keep]
 
 
-def _across(lists: DataFrame, t: Fraction) -> DataFrame:
-    """All pairs of a list that are not known to be connected and that may link."""
+def _short_lists(head, length, size, pos, label, t: Fraction):
+    """Index pairs (i, j) of the lists that start at head, many lists at a time."""
+    i = spread(head, length)
+    end = np.repeat(head + length, length)
+    for k in range(0, len(i), 1 << 17):
+        counts = end[k : k + (1 << 17)] - i[k : k + (1 << 17)] - 1
+        left, right = np.repeat(i[k : k + (1 << 17)], counts), spread(i[k : k + (1 << 17)] + 1, counts)
+        keep = label[left] != label[right]
+        left, right = left[keep], right[keep]
+        keep = _fits(size[left], pos[left], size[right], pos[right], t)
+        yield left[keep], right[keep]
+
+
+def _list_bounds(h, label):
+    """(first entry, entries) of the lists of more than one label; entries of a list stand together."""
+    fresh = np.concatenate([[True], h[1:] != h[:-1]])
+    head = np.flatnonzero(fresh)
+    mixed = np.zeros(len(head), bool)
+    which = np.cumsum(fresh) - 1
+    np.logical_or.at(mixed, which, label != label[head][which])
+    return head[mixed], np.diff(np.append(head, len(h)))[mixed]
+
+
+def _across(lists: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """What is not known to be connected: pairs (a, b, sa, sb) of short lists that may link, and members (cell, node, label, size) of long ones.
+
+    A cell is named by a list's smallest class, so that lists of about the same classes, as
+    a group of near copies has them, are one cell.
+    """
 
     def run(batches):
         got = _read_lists(batches)
@@ -335,43 +369,172 @@ def _across(lists: DataFrame, t: Fraction) -> DataFrame:
         h, node, size, pos, label, histogram = got
         order = np.lexsort((size, pos // POSITION_BLOCK, h))
         h, node, size, pos, label, histogram = (x[order] for x in (h, node, size, pos, label, histogram))
-        fresh = np.concatenate([[True], h[1:] != h[:-1]])
-        head = np.flatnonzero(fresh)
-        length = np.diff(np.append(head, len(h)))
-        mixed = np.zeros(len(head), bool)
-        np.logical_or.at(mixed, np.cumsum(fresh) - 1, label != label[head][np.cumsum(fresh) - 1])
-        held = []
-
-        def take(i, j):
+        head, length = _list_bounds(h, label)
+        held, short = [], length <= SHORT_LIST
+        for i, j in _short_lists(head[short], length[short], size, pos, label, t):
             on = _alike(histogram, size, i, j, t)
             i, j = i[on], j[on]
             swap = node[i] < node[j]
             a, b = np.where(swap, j, i), np.where(swap, i, j)
             held.append((node[a], node[b], size[a], size[b]))
+        for batch in _counted(held):
+            yield batch.append_column("cell", pa.nulls(batch.num_rows, pa.int64()))
+        seen: dict[int, np.ndarray] = {}
+        for x, n in zip(head[~short].tolist(), length[~short].tolist(), strict=True):
+            cell, own = int(node[x : x + n].min()), np.arange(x, x + n)
+            old = seen.get(cell)
+            seen[cell] = own if old is None else np.concatenate([old, own[~np.isin(node[own], node[old])]])
+        for cell, own in seen.items():
+            yield record(a=node[own], b=label[own], sa=size[own].astype(np.int32), sb=pa.nulls(len(own), pa.int32()), times=pa.nulls(len(own), pa.int32()), cell=np.full(len(own), cell))
+
+    every = settle(per_task(lists, f"{PAIRS}, cell long", run), "across")
+    pairs = every.where("cell is null").groupBy("a", "b").agg(F.first("sa").alias("sa"), F.first("sb").alias("sb"), F.sum("times").alias("times"))
+    return pairs.where(F.col("times") >= MATCHES).select("a", "b", "sa", "sb"), every.where("cell is not null").select("cell", F.col("a").alias("node"), F.col("b").alias("label"), F.col("sa").alias("size")).distinct()
+
+
+def _deals(members: DataFrame) -> DataFrame:
+    """(deal, side, node, label): the members of a cell in blocks of bounded size; a deal is one block or two that can hold a new link.
+
+    A label that fills a block has blocks of its own, of which no two are compared: what is
+    already connected is only met by the rest.
+    """
+    weight = F.col("size") + F.lit(MEMBER)
+    own = members.groupBy("cell", "label").agg(F.sum(weight).alias("w"))
+    own = settle(own.withColumn("large", F.col("w") > BLOCK_GRAMS), "cell_labels")
+    rest = own.groupBy("cell").agg(F.sum(F.when(~F.col("large"), F.col("w"))).alias("rest"))
+    split = lambda key, w: F.pmod(F.xxhash64(key), F.ceil(w / F.lit(BLOCK_GRAMS))).cast("string")
+    block = F.when(F.col("large"), F.concat_ws(":", F.col("label").cast("string"), split("node", F.col("w")))).otherwise(F.concat(F.lit("rest:"), split("label", F.col("rest"))))
+    dealt = members.join(own, ["cell", "label"]).join(rest, "cell").select("cell", "node", "label", block.alias("block"), F.when(F.col("large"), F.col("label")).alias("only"))
+    dealt = settle(dealt, "blocks")
+    blocks = dealt.select("cell", "block", "only").distinct()
+    other = blocks.select("cell", F.col("block").alias("other"), F.col("only").alias("other_only"))
+    met = blocks.join(other, "cell").where((F.col("block") <= F.col("other")) & ~F.coalesce(F.col("only") == F.col("other_only"), F.lit(False)))
+    deal = F.xxhash64("cell", "block", "other")
+    sides = F.when(F.col("block") == F.col("other"), F.array(F.struct(F.lit(0).alias("side"), F.col("block").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("block").alias("block")), F.struct(F.lit(1).alias("side"), F.col("other").alias("block"))))
+    ends = met.select("cell", deal.alias("deal"), F.explode(sides).alias("s")).select("cell", "deal", "s.side", "s.block")
+    return dealt.join(ends, ["cell", "block"]).select("deal", "side", "node", "label")
+
+
+class _Differences:
+    """Overlaps of a cell's sets from their differences to one centre; sets far from it are met as they are."""
+
+    def __init__(self, member: np.ndarray, size: np.ndarray, kinds: int, centre: int):
+        n, first = len(size), np.cumsum(size) - size
+        self.mark = np.zeros(kinds, bool)
+        self.flat, self.first, self.size = member, first, size
+        own = member[first[centre] : first[centre] + size[centre]]
+        place = np.full(kinds, -1)
+        place[own] = np.arange(len(own))
+        owner, at = np.repeat(np.arange(n), size), place[member]
+        has = np.zeros((n, len(own)), bool)
+        has[owner[at >= 0], at[at >= 0]] = True
+        lost_by, lost = np.nonzero(~has)
+        self.lost = np.bincount(lost_by, minlength=n)
+        more = at < 0
+        differ = self.lost + np.bincount(owner[more], minlength=n)
+        self.near = differ < size
+        who, what = np.concatenate([lost_by, owner[more]]), np.concatenate([own[lost], member[more]])
+        order = np.argsort(who, kind="stable")
+        self.delta, self.delta_size, self.delta_first = what[order], differ, np.cumsum(differ) - differ
+        self.centre_size = len(own)
+
+    def _common(self, i, js, flat, first, size) -> np.ndarray:
+        own = flat[first[i] : first[i] + size[i]]
+        self.mark[own] = True
+        hits = np.concatenate([[0], np.cumsum(self.mark[flat[spread(first[js], size[js])]])])
+        self.mark[own] = False
+        ends = np.cumsum(size[js])
+        return hits[ends] - hits[ends - size[js]]
+
+    def overlaps(self, i: int, js: np.ndarray) -> np.ndarray:
+        out = np.empty(len(js), np.int64)
+        near = self.near[js] & self.near[i]
+        if near.any():
+            out[near] = self.centre_size - self.lost[i] - self.lost[js[near]] + self._common(i, js[near], self.delta, self.delta_first, self.delta_size)
+        if not near.all():
+            out[~near] = self._common(i, js[~near], self.flat, self.first, self.size)
+        return out
+
+
+def connecting(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, t: Fraction) -> list[tuple[int, int]]:
+    """Links (index pairs) that connect all that links of a cell connect; sets of equal label are connected already.  With two sides only links across count."""
+    n, size = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    _, member, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, label = np.unique(label, return_inverse=True)
+    owner = np.repeat(np.arange(n), size)
+    # The cell's own lists: a set's rarest n-grams, of which linked sets share one.
+    order = np.lexsort((member, times[member], owner))
+    pos = np.arange(len(member)) - (np.cumsum(size) - size)[owner]
+    head = (pos < (size + 1 + (-size * t.numerator) // t.denominator)[owner]) & (times[member[order]] > 1)
+    h, own, pos = member[order][head], owner[head], pos[head]
+    order = np.lexsort((size[own], pos // POSITION_BLOCK, h))
+    h, own, pos = h[order], own[order], pos[order]
+    may = np.zeros((n, n), bool)
+    if len(h):
+        s, lab = size[own], label[own]
+        at, length = _list_bounds(h, lab)
+        short = length <= SHORT_LIST
+        for i, j in _short_lists(at[short], length[short], s, pos, lab, t):
+            may[own[i], own[j]] = True
+        for x, m in zip(at[~short].tolist(), length[~short].tolist(), strict=True):
+            for i, j in _long_list(s[x : x + m], pos[x : x + m], lab[x : x + m], t):
+                may[own[x + i], own[x + j]] = True
+    may |= may.T
+    if side.any():
+        may &= side[:, None] != side[None, :]
+    asks = may.any(axis=1)
+    if not asks.any():
+        return []
+    differences = _Differences(member, size, len(times), int(may.sum(axis=1).argmax()))
+    by_label = np.argsort(label, kind="stable")
+    of_label = np.split(by_label, np.flatnonzero(np.diff(label[by_label])) + 1)
+    left, links = np.ones(n, bool), []
+    for start in np.flatnonzero(asks):
+        if not left[start]:
+            continue
+        queue = of_label[label[start]].tolist()
+        left[queue] = False
+        while queue:
+            i = queue.pop()
+            js = np.flatnonzero(may[i] & left)
+            if not len(js):
+                continue
+            js = js[differences.overlaps(i, js) >= need(size[i], size[js], t)]
+            if len(js):
+                met, one = np.unique(label[js], return_index=True)
+                links += [(i, j) for j in js[one].tolist()]
+                for m in met.tolist():
+                    left[of_label[m]] = False
+                    queue += of_label[m].tolist()
+    return links
 
-        short = np.flatnonzero(mixed & (length <= SHORT_LIST))
-        if len(short):
-            i = spread(head[short], length[short])
-            end = np.repeat(head[short] + length[short], length[short])
-            for k in range(0, len(i), 1 << 17):
-                counts = end[k : k + (1 << 17)] - i[k : k + (1 << 17)] - 1
-                left, right = np.repeat(i[k : k + (1 << 17)], counts), spread(i[k : k + (1 << 17)] + 1, counts)
-                keep = label[left] != label[right]
-                left, right = left[keep], right[keep]
-                keep = _fits(size[left], pos[left], size[right], pos[right], t)
-                take(left[keep], right[keep])
-        for x in np.flatnonzero(mixed & (length > SHORT_LIST)):
-            at = head[x]
-            part = slice(at, at + length[x])
-            for i, j in _long_list(size[part], pos[part], label[part], t):
-                take(at + i, at + j)
-                if sum(len(z[0]) for z in held) > 1 << 21:
-                    yield from _counted(held)
-                    held.clear()
-        yield from _counted(held)
 
-    every = per_task(lists, PAIRS, run).groupBy("a", "b").agg(F.first("sa").alias("sa"), F.first("sb").alias("sb"), F.sum("times").alias("times"))
-    return every.where(F.col("times") >= MATCHES).select("a", "b", "sa", "sb")
+def _cell_links(deals: DataFrame, sets: DataFrame, t: Fraction, width: int) -> DataFrame:
+    """(a, b) links that connect all that links of the deals connect."""
+    part = F.pmod("deal", F.lit(width)).cast("int").alias("part")
+    rows = exchange(deals.join(sets, "node").select(part, "deal", "side", "node", "label", "grams"), "part", width).sortWithinPartitions("deal")
+
+    def run(batches):
+        name, held = None, []
+
+        def links():
+            node, label, side = (np.array([x[k] for x in held], np.int64) for k in range(3))
+            found = connecting([x[3] for x in held], label, side, t)
+            if found:
+                u, v = node[[i for i, _ in found]], node[[j for _, j in found]]
+                yield record(a=np.maximum(u, v), b=np.minimum(u, v))
+
+        for batch in batches:
+            for _, deal, side, node, label, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if deal != name and held:
+                    yield from links()
+                    held = []
+                name = deal
+                held.append((node, label, side, np.frombuffer(grams, np.uint64)))
+        if held:
+            yield from links()
+
+    return per_task(rows, "a long, b long", run)
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
@@ -486,18 +649,27 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
         near = found if near is None else near.union(found)
         label = settle(components(near.select(F.col("a").alias("u"), F.col("b").alias("v"))).select("node", F.col("component").alias("label")), "label")
         used.append(label)
-    rest = settle(_across(labelled(label), t), "rest")
+    rest, members = _across(labelled(label), t)
+    rest, deals = settle(rest, "rest"), settle(_deals(members), "deals")
+    used += [rest, deals]
+    nodes = deals.select("node").distinct()
+    if sets is not None:
+        nodes = nodes.join(sets.select("node"), "node", "left_anti")
+    more = settle(_set_table(docs, listed.join(nodes, "node", "left_semi").select("node", "rep"), n), "cell_sets")
+    sets = more if sets is None else sets.union(more)
+    in_cells = settle(_cell_links(deals, sets, t, width), "cell_links")
+    used += [more, in_cells]
     if near is None:
         near = spark.createDataFrame([], "a long, b long, sa int, sb int, overlap int")
     centre = near.groupBy("a").agg(F.min(F.struct("b", "sb", "overlap", "sa")).alias("m")).select(F.col("a").alias("node"), F.col("m.b").alias("centre"), F.col("m.sb").alias("centre_size"), F.col("m.overlap").alias("shared"))
     far = settle(_derived(rest, centre, docs, listed, sets, n, t, width), "far")
-    graph = near.select(F.col("a").alias("u"), F.col("b").alias("v")).union(far.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    found = components(graph)
+    ends = lambda df: df.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = components(ends(near).union(ends(in_cells)).union(ends(far)).union(_one_id(rows)))
     own = classes.select("s1", "s2", "size", "rep", "class_size").join(found.select(F.col("node").alias("s1"), "component"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
     low = own.groupBy("component").agg(F.min("rep").alias("component_id"))
     member = own.join(low, "component").select("s1", "s2", "size", F.col("rep").alias("class_id"), "class_size", "component_id")
     member = settle(member, "member")
-    for old in (*used, rest, far):
+    for old in (*used, far):
         forget(old)
     out = rows.join(member, ["s1", "s2", "size"], "left")
     return out.select(
@@ -509,6 +681,13 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     )
 
 
+def _one_id(rows: DataFrame) -> DataFrame:
+    """Edges (u, v) between the classes of rows that share an id."""
+    held = rows.where("size > 0 and doc_id is not null").select("doc_id", "s1")
+    several = held.groupBy("doc_id").agg(F.min("s1").alias("v"), F.max("s1").alias("high")).where("v < high")
+    return held.join(several, "doc_id").where("s1 <> v").select(F.col("s1").alias("u"), "v").distinct()
+
+
 def _derived(rest: DataFrame, centre: DataFrame, docs: DataFrame, listed: DataFrame, sets: DataFrame | None, n: int, t: Fraction, width: int) -> DataFrame:
     """The links among `rest`, decided from their centres' overlap where its bounds allow."""
     side = lambda x: centre.select(F.col("node").alias(x), F.col("centre").alias(f"c{x}"), F.col("centre_size").alias(f"z{x}"), F.col("shared").alias(f"k{x}"))

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -78,6 +79,74 @@ def test_ngram_join_odd_input(spark):
     assert out == [(1, 2, 1), (1, 2, 1), (2, 0, 2), (None, 2, None)]
 
 
+def _variants_of_one(rng, n, words=60, edits=6):
+    """Copies of one text with up to `edits` words changed: many near 0.85 of each other, few of any one."""
+    base, out = rng.sample(WORDS, words), []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.randrange(edits)):
+            own[rng.randrange(words)] = f"v{rng.randrange(12)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 19, 1 << 15])
+def test_ngram_join_of_a_large_group(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", block)
+    rng = random.Random(21)
+    texts = [*_variants_of_one(rng, 500), *(_text(rng, 40) for _ in range(50))]
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(texts)]
+    out = ngram_join.jaccard_components(spark.createDataFrame(rows, DOC), n=4, threshold="0.85").collect()
+    want = _brute_components(rows, 4, 85, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+    assert 2 < len({c for _, c in want.values()}) < 450
+
+
+def test_links_of_a_cell():
+    rng = random.Random(22)
+    for trial in range(40):
+        t, n = Fraction(rng.choice([80, 85, 95]), 100), rng.randrange(2, 100)
+        bases = [rng.sample(range(1, 300), 40) for _ in range(rng.choice([1, 2, 5]))]
+        sets = []
+        for _ in range(n):
+            own = set(rng.choice(bases))
+            for _ in range(rng.randrange(9)):
+                own.discard(rng.randrange(1, 300)), own.add(rng.randrange(1, 300))
+            sets.append(np.array(rng.sample(sorted(own), rng.randrange(5, len(own) + 1)) if rng.random() < 0.2 else sorted(own), np.uint64))
+        sets = [np.sort(x) for x in sets]
+        label = np.array([rng.randrange(n) if trial % 2 else k for k in range(n)])
+        side = np.array([rng.randrange(2) if trial % 3 == 0 else 0 for _ in range(n)])
+        known = [(k, n + int(label[k])) for k in range(n)]
+        own = [set(x.tolist()) for x in sets]
+        alike = lambda i, j: len(own[i] & own[j]) * t.denominator >= t.numerator * len(own[i] | own[j])  # noqa: B023, E731
+        pairs = [(i, j) for i, j in itertools.combinations(range(n), 2) if (not side.any() or side[i] != side[j]) and alike(i, j)]
+        links = ngram_join.connecting(sets, label, side, t)
+        assert all(alike(i, j) for i, j in links)
+        assert _roots(known + links, 2 * n) == _roots(known + pairs, 2 * n)
+
+
+def _roots(edges, n):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        p, q = find(a), find(b)
+        parent[max(p, q)] = min(p, q)
+    return [find(k) for k in range(n)]
+
+
+def test_ngram_join_of_repeated_ids(spark):
+    rng = random.Random(23)
+    a, b, c = (_text(rng, 30) for _ in range(3))
+    rows = [(0, a), (1, a), (1, b), (2, b), (3, c), (3, ""), (4, c), (5, None)]
+    out = ngram_join.jaccard_components(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOC)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(0, 0), (1, 0), (1, 0), (2, 0), (3, 3), (3, 3), (4, 3), (5, 5)]
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)]
