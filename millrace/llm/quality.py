@@ -5,10 +5,13 @@ vote patterns (at most 3**8, whatever the input) go to an expectation-maximisati
 estimates each labeller's accuracy on good and on bad texts and the share of good ones,
 without any true label.  The posterior of a text's pattern is its training target for a
 linear scorer over hashed words, word shapes and votes; the fit uses at most TRAIN_ROWS
-texts, those of smallest key hash, and every text is scored.
+different rows, those of smallest hash, and TRAIN_ENTRIES features of them; every text is
+scored.
 
-Null, empty and blank texts get no votes and are rejected with score 0.  Rows with a
-null id are scored.  Repeated rows are counted and scored each.
+Null, empty and blank texts get no votes and are rejected with score 0.  Very long texts
+are measured whole.  Rows with a null id are scored.  Repeated rows are counted and
+scored each, and fitted once.  Ties at the threshold are kept.  Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import exchange, longs, per_batch, per_task, record, settle, spread
+from .common import exchange, per_batch, per_task, record, settle, spread
 from .linear import first_by_hash, fit_logistic, sigmoid
 
 LABELLERS = ("symbols", "capitals", "variety", "echoes", "shouts", "marks", "separators", "word_length")
@@ -27,13 +30,13 @@ LABELLERS = ("symbols", "capitals", "variety", "echoes", "shouts", "marks", "sep
 LIMITS = {"symbols": (0.03, 0.07), "capitals": (0.10, 0.30), "variety": (0.60, 0.80), "echoes": (0.05, 0.15), "shouts": (0.02, 0.15), "marks": (0.03, 0.15), "separators": (0.03, 0.15), "word_length": (0.0, 0.0)}
 #: Words from which measures over words are taken to say something.
 LEAST_WORDS = 16
-TRAIN_ROWS = 8_000
+TRAIN_ROWS, TRAIN_ENTRIES = 8_000, 1 << 23
 DIM_BITS = 17
 DIMS = 1 << DIM_BITS
 THRESHOLD = 0.5
-#: Prior accuracy of a labeller on good and on bad texts, and its weight.
+#: Prior accuracy of a labeller on good and on bad texts, worth as many texts of either class, whatever the input.
 PRIOR = (0.995, 0.35)
-PRIOR_WEIGHT = 1.0
+PRIOR_TEXTS = 100
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,8 +109,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     """(posterior of good for each pattern, estimates).
 
     A labeller's vote is independent of the others given the class.  Bad texts are of many
-    kinds and each labeller knows one or two, while good texts are alike; PRIOR says so, with
-    the weight of PRIOR_WEIGHT texts of a class for each text of it.
+    kinds and each labeller knows one or two, while good texts are alike; the estimates start
+    from PRIOR, which says so and counts as PRIOR_TEXTS texts.
     """
     share = 0.85
     right_good, right_bad = np.full(patterns.shape[1], PRIOR[0]), np.full(patterns.shape[1], PRIOR[1])
@@ -122,8 +125,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         post = now
         for own, right, prior, agree in ((post, right_good, PRIOR[0], good), (1 - post, right_bad, PRIOR[1], ~good)):
             mass = own * counts
-            extra = PRIOR_WEIGHT * mass.sum() + 1
-            right[:] = np.clip((mass @ (said & agree) + extra * prior) / (mass @ said + extra), 1e-4, 1 - 1e-4)
+            right[:] = np.clip((mass @ (said & agree) + PRIOR_TEXTS * prior) / (mass @ said + PRIOR_TEXTS), 1e-4, 1 - 1e-4)
         share = float(np.clip((post * counts).sum() / max(1, counts.sum()), 1e-3, 1 - 1e-3))
     return post, {"share": share, "right_good": right_good, "right_bad": right_bad}
 
@@ -170,57 +172,80 @@ def _uncode(code: np.ndarray) -> np.ndarray:
     return (code[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1).astype(np.int8)
 
 
-def score_documents(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, score, kept, weak_posterior, and votes (labeller order of LABELLERS)."""
-    spark = documents.sparkSession
-    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+def _fit(docs: DataFrame):
+    """(posterior of each vote pattern, weights of the scorer), both sent to the tasks; docs: doc_id, text."""
+    spark = docs.sparkSession
+    keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("key"))
 
     def vote_rows(batch):
-        for at, raws in W.chunks(batch.column(1).to_pylist()):
+        for at, raws in W.chunks(batch.column(0).to_pylist()):
             w = W.Words(raws)
             code = _code(votes(raws, w))
-            yield record(doc_id=batch.column(0).slice(at, len(raws)), code=pa.array(np.where(w.counts > 0, code, -1)))
+            yield record(key=batch.column(1).slice(at, len(raws)), code=pa.array(np.where(w.counts > 0, code, -1)))
 
-    voted = settle(per_batch(docs, "doc_id long, code long", vote_rows), "votes")
-    table = sorted((r["code"], r["n"]) for r in voted.where("code >= 0").groupBy("code").agg(F.count("*").alias("n")).collect())
+    voted = settle(per_batch(keyed, "key long, code long", vote_rows), "votes").where("code >= 0")
+    table = sorted((r["code"], r["n"]) for r in voted.groupBy("code").agg(F.count("*").alias("n")).collect())
     codes, counts = np.array([c for c, _ in table], np.int64), np.array([n for _, n in table], np.float64)
     post, _ = expectation_maximisation(_uncode(codes), counts) if len(codes) else (np.empty(0), {})
     target = spark.sparkContext.broadcast(dict(zip(codes.tolist(), post.tolist(), strict=True)))
-    sample = first_by_hash(voted.where("code >= 0 and doc_id is not null").select("doc_id").distinct(), "doc_id", TRAIN_ROWS)
-    chosen = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text")
+    sample = first_by_hash(voted.select("key").distinct(), "key", TRAIN_ROWS)
+    chosen = keyed.join(F.broadcast(sample), "key").select("key", "text")
 
     def sparse(batch):
         for at, raws in W.chunks(batch.column(1).to_pylist()):
-            row, col, value, vote, counts = _entries(raws)
+            row, col, value, vote, _ = _entries(raws)
             order = np.argsort(row, kind="stable")
             row, col, value = row[order], col[order], value[order]
             edges = np.searchsorted(row, np.arange(len(raws) + 1))
             y = [target.value.get(c, 0.0) for c in _code(vote).tolist()]
-            yield record(doc_id=batch.column(0).slice(at, len(raws)), y=pa.array(y, pa.float64()), col=pa.array([col[edges[k] : edges[k + 1]].astype(np.int32).tobytes() for k in range(len(raws))], pa.binary()), value=pa.array([value[edges[k] : edges[k + 1]].astype(np.float32).tobytes() for k in range(len(raws))], pa.binary()))
+            yield record(key=batch.column(0).slice(at, len(raws)), y=pa.array(y, pa.float64()), col=pa.array([col[edges[k] : edges[k + 1]].astype(np.int32).tobytes() for k in range(len(raws))], pa.binary()), value=pa.array([value[edges[k] : edges[k + 1]].astype(np.float32).tobytes() for k in range(len(raws))], pa.binary()))
 
     def fitted(batches):
-        ids, y, col, value = [], [], [], []
+        y, col, value, entries = [], [], [], 0
         for batch in batches:
-            ids.append(longs(batch.column(0)))
-            y.append(batch.column(1).to_numpy())
-            col += [np.frombuffer(x, np.int32) for x in batch.column(2).to_pylist()]
-            value += [np.frombuffer(x, np.float32) for x in batch.column(3).to_pylist()]
+            for _, target_, c, v in zip(*(x.to_pylist() for x in batch.columns[:4]), strict=True):
+                entries += len(c) // 4
+                if entries <= TRAIN_ENTRIES:
+                    y.append(target_), col.append(np.frombuffer(c, np.int32)), value.append(np.frombuffer(v, np.float32))
         if y:
             row = np.repeat(np.arange(len(col)), [len(c) for c in col])
-            w = fit_logistic(row, np.concatenate(col).astype(np.int64), np.concatenate(value).astype(np.float64), np.concatenate(y), DIMS)
+            w = fit_logistic(row, np.concatenate(col).astype(np.int64), np.concatenate(value).astype(np.float64), np.array(y), DIMS)
             yield record(w=pa.array([w.astype(np.float64).tobytes()], pa.binary()))
 
-    # The sample is bounded, so one task may hold it.
-    rows = per_batch(chosen, "doc_id long, y double, col binary, value binary", sparse).withColumn("part", F.lit(0))
-    got = per_task(exchange(rows, "part", 1).drop("part"), "w binary", fitted).collect()
-    weights = spark.sparkContext.broadcast(np.frombuffer(got[0][0]) if got else np.zeros(DIMS + 1))
+    # Repeated rows are one before they meet, so one task gets at most TRAIN_ROWS rows; it holds TRAIN_ENTRIES features of them.
+    rows = per_batch(chosen, "key long, y double, col binary, value binary", sparse).groupBy("key").agg(F.first("y").alias("y"), F.first("col").alias("col"), F.first("value").alias("value"))
+    one = exchange(rows.withColumn("part", F.lit(0)), "part", 1).sortWithinPartitions("key").drop("part")
+    got = per_task(one, "w binary", fitted).collect()
+    return target, spark.sparkContext.broadcast(np.frombuffer(got[0][0]) if got else np.zeros(DIMS + 1))
+
+
+def _scored(raws: list[bytes], weights: np.ndarray):
+    """(score, votes, words) of each text."""
+    row, col, value, vote, counts = _entries(raws)
+    return np.where(counts > 0, sigmoid(np.bincount(row, weights[col] * value, len(raws)) + weights[-1]), 0.0), vote, counts
+
+
+def score_documents(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per input row: doc_id, score, kept, weak_posterior, and votes (labeller order of LABELLERS)."""
+    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    target, weights = _fit(docs)
 
     def score(batch):
-        w = weights.value
         for at, raws in W.chunks(batch.column(1).to_pylist()):
-            row, col, value, vote, counts = _entries(raws)
-            s = np.where(counts > 0, sigmoid(np.bincount(row, w[col] * value, len(raws)) + w[-1]), 0.0)
+            s, vote, counts = _scored(raws, weights.value)
             y = [target.value.get(c, 0.0) if n else 0.0 for c, n in zip(_code(vote).tolist(), counts.tolist(), strict=True)]
             yield record(doc_id=batch.column(0).slice(at, len(raws)), score=pa.array(s), kept=pa.array(s >= threshold), weak_posterior=pa.array(y, pa.float64()), votes=pa.array(vote.astype(np.int32).tolist(), pa.list_(pa.int32())))
 
     return per_batch(docs, "doc_id long, score double, kept boolean, weak_posterior double, votes array<int>", score)
+
+
+def kept_documents(documents: DataFrame, columns: tuple[str, ...], id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The columns of the rows that the scorer keeps; each row stands for itself, null and repeated ids included."""
+    _, weights = _fit(documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")))
+
+    def keep(batch):
+        for at, raws in W.chunks(batch.column(columns.index(text_column)).to_pylist()):
+            yield batch.slice(at, len(raws)).filter(pa.array(_scored(raws, weights.value)[0] >= threshold))
+
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
+    return per_batch(documents.select(*columns), ", ".join(f"{c} {kinds[c]}" for c in columns), keep)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import exchange, per_batch, per_task, record, settle
+from .common import exchange, per_batch, per_task, record, settle, shuffle_width
 from .linear import Adam, counter_rows, first_by_hash, sigmoid, summed_counters
 from .tokens import Runs, sentences
 
@@ -159,8 +159,8 @@ def score_documents(documents: DataFrame, labels: DataFrame, id_column: str = "d
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
     known = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label_column).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(~held)
     known = first_by_hash(known.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", TRAIN_ROWS)
-    # At most TRAIN_ROWS rows, so the sample can be sent to the texts.
-    sample = settle(docs.join(F.broadcast(known), "doc_id").select("text", "label"), "sample")
+    # At most TRAIN_ROWS ids, so they can be sent to the texts; ids may repeat there, so rows are limited too.
+    sample = settle(docs.join(F.broadcast(known), "doc_id").select("text", "label").limit(TRAIN_ROWS).repartition(shuffle_width(spark)), "sample")
     flat = summed_counters(_presence(sample), 2 * DIMS + 16)
     docs_by_label = flat[2 * DIMS : 2 * DIMS + 2]
     place = choose(flat[: 2 * DIMS].reshape(2, DIMS), docs_by_label)

@@ -221,6 +221,33 @@ def test_quality(spark):
     assert quality.score_documents(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_quality_of_odd_rows(spark, monkeypatch):
+    rng = random.Random(24)
+    good = " ".join("".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(50))
+    rows = [(None, good), (1, good), (1, good), (2, good + " !!! *** ###" * 30), (3, " ".join([good] * 400)), (4, " \n "), *((k, good[k:]) for k in range(10, 40))]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOC).selectExpr("*", "1 as key", "2 as part", "'a' as kept", "3 as y")
+    for entries in (1 << 23, 500):
+        monkeypatch.setattr(quality, "TRAIN_ENTRIES", entries)
+        out = quality.score_documents(df).collect()
+        assert len(out) == len(rows) and not any(r.kept for r in out if r.doc_id == 4) and all(r.kept for r in out if r.doc_id in (None, 1))
+    kept = quality.kept_documents(df, ("doc_id", "text", "n_chars")).collect()
+    assert sorted(str(r.doc_id) for r in kept).count("1") == 2 and any(r.doc_id is None for r in kept) and all(r.doc_id != 4 for r in kept)
+
+
+def test_expectation_maximisation_finds_accuracies():
+    rng = np.random.default_rng(5)
+    n, k = 60_000, len(quality.LABELLERS)
+    good = rng.random(n) < 0.8
+    right_good, right_bad = rng.uniform(0.85, 0.99, k), rng.uniform(0.3, 0.9, k)
+    right = rng.random((n, k)) < np.where(good[:, None], right_good, right_bad)
+    vote = np.where(rng.random((n, k)) < 0.1, -1, np.where(right, good[:, None], ~good[:, None])).astype(np.int8)
+    codes, at, counts = np.unique(quality._code(vote), return_inverse=True, return_counts=True)
+    post, found = quality.expectation_maximisation(quality._uncode(codes), counts.astype(float))
+    assert abs(found["share"] - 0.8) < 0.02
+    assert np.abs(found["right_good"] - right_good).max() < 0.02 and np.abs(found["right_bad"] - right_bad).max() < 0.04
+    assert ((post[at] >= 0.5) == good).mean() > 0.93
+
+
 def _vectors():
     rng = np.random.default_rng(4)
     base = rng.normal(size=(20, 16))
