@@ -18,8 +18,8 @@ import numpy as np
 from . import words as W
 from .common import spread
 
-#: Pieces that a worker keeps; the table starts anew beyond this.
-CACHE_PIECES = 1_000_000
+#: Pieces that a worker keeps, some tens of bytes each; the table starts anew beyond this.
+CACHE_PIECES = 1 << 18
 MAX_PIECE = 40
 _NONE = np.iinfo(np.int32).max
 _DIGIT = 2
@@ -107,8 +107,8 @@ class WordBpe:
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         count = size.copy()
         order = np.argsort(size, kind="stable")
-        for k in range(0, len(order), 1 << 14):
-            part = order[k : k + (1 << 14)]
+        for k in range(0, len(order), 1 << 12):
+            part = order[k : k + (1 << 12)]
             wide = int(size[part].max())
             if not wide:
                 continue

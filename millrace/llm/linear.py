@@ -52,14 +52,29 @@ class Adam:
         return self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def fit_logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, target: np.ndarray, dims: int, steps: int = 80, ridge: float = 1e-4, rate: float = 0.1) -> np.ndarray:
-    """Weights, the bias last, of a logistic model on soft targets; entries (row, col, value)."""
-    used, inv = np.unique(col, return_inverse=True)
+#: Entries that a step of a fit works on at a time.
+FIT_ENTRIES = 1 << 18
+
+
+def fit_logistic(size: np.ndarray, col: np.ndarray, value: np.ndarray, target: np.ndarray, dims: int, steps: int = 80, ridge: float = 1e-4, rate: float = 0.1) -> np.ndarray:
+    """Weights, the bias last, of a logistic model on soft targets; row k has the next size[k] entries (col, value)."""
+    used = np.unique(col)
+    place = np.zeros(dims, np.int32)
+    place[used] = np.arange(len(used))
+    col = place[col]
+    ends = np.cumsum(size)
+    # Whole rows of about FIT_ENTRIES entries: what a step holds beside the entries stays small.
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(ends[-1]), FIT_ENTRIES)), len(size))) if len(size) else np.zeros(1, np.int64)
+    parts = [(x, y, int(ends[x] - size[x]), int(ends[y - 1])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
     w, opt = np.zeros(len(used) + 1), Adam(len(used) + 1, rate)
     for _ in range(steps):
-        z = np.bincount(row, w[inv] * value, len(target)) + w[-1]
-        d = (sigmoid(z) - target) / max(1, len(target))
-        g = np.append(np.bincount(inv, d[row] * value, len(used)), d.sum())
+        g = np.zeros(len(w))
+        for x, y, low, high in parts:
+            row, c, v = np.repeat(np.arange(y - x), size[x:y]), col[low:high], value[low:high]
+            z = np.bincount(row, w[c] * v, y - x) + w[-1]
+            d = (sigmoid(z) - target[x:y]) / len(target)
+            g[:-1] += np.bincount(c, d[row] * v, len(used))
+            g[-1] += d.sum()
         g[:-1] += ridge * w[:-1]
         w -= opt.step(g)
     out = np.zeros(dims + 1)

@@ -208,8 +208,7 @@ def _fit(docs: DataFrame):
                 if entries <= TRAIN_ENTRIES:
                     y.append(target_), col.append(np.frombuffer(c, np.int32)), value.append(np.frombuffer(v, np.float32))
         if y:
-            row = np.repeat(np.arange(len(col)), [len(c) for c in col])
-            w = fit_logistic(row, np.concatenate(col).astype(np.int64), np.concatenate(value).astype(np.float64), np.array(y), DIMS)
+            w = fit_logistic(np.array([len(c) for c in col]), np.concatenate(col), np.concatenate(value), np.array(y), DIMS)
             yield record(w=pa.array([w.astype(np.float64).tobytes()], pa.binary()))
 
     # Repeated rows are one before they meet, so one task gets at most TRAIN_ROWS rows; it holds TRAIN_ENTRIES features of them.
