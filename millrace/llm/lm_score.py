@@ -4,20 +4,26 @@ The corpus is cut once into chunks of token numbers (`_chunks`).  Unigram counts
 through an exchange by hash range: each chunk asks for its distinct words once and gets
 their corpus counts back, so no vocabulary is broadcast and none has to fit anywhere.
 Bigram counts of the training texts meet in the same way; each hash range writes its
-counts, quantised to powers of two, into its own range of a Bloom filter: an n-gram of
+counts, quantised to powers of two, into its own page of a Bloom filter: an n-gram of
 level q is stored q times, under (n-gram, 1) to (n-gram, q).  A lookup probes level
-after level until one is missing.  The filter is broadcast in pages of at most
-`page_bytes`; a corpus whose filter needs more gets more pages and one pass for each,
-so its error rate does not rise with the corpus.
+after level until one is missing.  A page has ENTRY_BITS bits for each entry, so that its
+error rate, about 1 % a level, is the same at every size.
 
-    P(w | h) = (2 ** (q(h, w) - 1) [q > 0] + mu * P0(w)) / (c(h) + mu)
+A filter that cannot pass `page_bytes` is broadcast and probed where the texts are.  The
+pages of a larger one stay in the tasks that own their hash ranges, which answer each
+chunk's distinct n-grams in the exchange that brings the counts: one pass, whatever the
+size, and the same probes of the same bits.
+
+    P(w | h) = (k + mu * P0(w)) / (c(h) + mu)
+    k = min(2 ** (q(h, w) - 1) [q > 0], c(h), c(w))
     P0(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
 
 mu is the value of MU under which the training texts, each token left out of its own
 counts, are likeliest; the sum runs over all of them.
 
-Null and empty texts are the end token alone.  A null id counts as the empty text in the
-held-out rule.  Repeated rows are scored and counted each.
+Null and empty texts are the end token alone; very long ones are scored whole.  A null id
+counts as the empty text in the held-out rule.  Repeated rows are scored and counted
+each.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import arrow_rows, exchange, per_batch, per_task, record, settle, shuffle_width
+from .common import arrow_rows, exchange, forget, per_batch, per_task, record, settle, shuffle_width
 
 END = np.uint64(0x9AE16A3B2F90404F)
 BEGIN = np.uint64(0xC949D7C7509E6557)
 CHUNK_TOKENS = 150_000
 MU = (10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10000.0)
-#: Of the filter: bits for each entry of the chunks' lists, probes for each level, bytes of a page.
-ENTRY_BITS, PROBES, PAGE_BYTES = 5, 4, 1 << 25
+#: Of the filter: bits for each entry, probes for each level, bytes up to which it is broadcast.
+ENTRY_BITS, PROBES, PAGE_BYTES = 10, 5, 1 << 25
 KEY_BITS = 48
 SMOOTH = 0.1
 
@@ -149,66 +155,93 @@ def _word_counts(chunks: DataFrame, width: int) -> DataFrame:
     return per_task(exchange(asked, "part", width), "chunk long, part int, counts binary, wide boolean, n long, v long", answer)
 
 
-def _filter(chunks: DataFrame, width: int, slice_bits: int) -> DataFrame:
-    """Rows (part, bits): the filter's range of each hash range, from all bigrams of the training texts."""
+def _page(keys: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The filter's page of a hash range, as bytes: its keys' counts, quantised."""
+    level = np.where(total > 0, np.floor(np.log2(np.maximum(total, 1))).astype(np.int64) + 1, 0)
+    bits = np.zeros(max(64, int(level.sum()) * ENTRY_BITS + 7 & ~7), bool)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        own = keys[level >= q]
+        for probe in range(PROBES):
+            bits[_place(own, q, probe, len(bits))] = True
+    return np.packbits(bits)
+
+
+def _place(keys: np.ndarray, level: int, probe: int, bits) -> np.ndarray:
+    h = W.mix(keys + np.uint64((level * 64 + probe) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    return ((h >> np.uint64(32)) * np.asarray(bits, np.uint64) >> np.uint64(32)).astype(np.int64)
+
 
-    def emit(batch):
-        for chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            c = _Chunk(*chunk)
-            keys, counts = np.unique(c.bigrams()[c.train], return_counts=True)
-            if not len(keys):
-                continue
+def _levels(keys: np.ndarray, pages: np.ndarray, base: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Quantised levels of keys by repeated membership probes; base and bits: first bit and size of each key's page."""
+    level = np.zeros(len(keys), np.int64)
+    live = np.flatnonzero(bits > 0)
+    q = 1
+    while len(live):
+        for probe in range(PROBES):
+            at = base[live] + _place(keys[live], q, probe, bits[live])
+            live = live[(pages[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+        level[live] = q
+        q += 1
+    return level
+
+
+def _asks(chunks: DataFrame, width: int) -> DataFrame:
+    """Rows (part, chunk, high, low, counts): a chunk's distinct bigrams by hash range, with their counts in training texts."""
+
+    def run(batch):
+        for chunk, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            c = _Chunk(*rest)
+            keys, at = np.unique(c.bigrams(), return_inverse=True)
+            counts = np.bincount(at[c.train], minlength=len(keys))
             used, edges = _ranges(_part(keys, KEY_BITS, width), width)
+            cut = lambda x: pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in used], pa.binary())  # noqa: B023, E731
             yield record(
-                part=pa.array(used, pa.int32()),
-                high=pa.array([(keys[edges[k] : edges[k + 1]] >> np.uint64(16)).astype(np.uint32).tobytes() for k in used], pa.binary()),
-                low=pa.array([(keys[edges[k] : edges[k + 1]] & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for k in used], pa.binary()),
+                part=pa.array(used, pa.int32()), chunk=pa.array([chunk] * len(used), pa.int64()), high=cut((keys >> np.uint64(16)).astype(np.uint32)), low=cut((keys & np.uint64(0xFFFF)).astype(np.uint16)),
                 counts=pa.array([zlib.compress(counts[edges[k] : edges[k + 1]].astype(np.uint32).tobytes(), 1) for k in used], pa.binary()),
-            )
+            )
 
-    def fill(batches):
-        part, keys, counts = None, [], []
+    asked = per_batch(chunks.select("chunk", "held", "lengths", "low", "high", "vocab"), "part int, chunk long, high binary, low binary, counts binary", run)
+    return exchange(asked, "part", width)
+
+
+def _owned(asks: DataFrame, answer: bool) -> DataFrame:
+    """Rows (chunk, part, bytes): the levels of what each chunk asked for, or with chunk -1 the filter's pages."""
+
+    def run(batches):
+        part, chunk, keys, counts = None, [], [], []
         for batch in batches:
-            for p, high, low, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for p, c, high, low, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 part = p
+                chunk.append(c)
                 keys.append((np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(16)) | np.frombuffer(low, np.uint16))
                 counts.append(np.frombuffer(zlib.decompress(n), np.uint32))
         if part is None:
             return
+        ends = np.cumsum([len(k) for k in keys])
         keys, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inv, weights=np.concatenate(counts))
-        level = np.floor(np.log2(total)).astype(np.int64) + 1
-        bits = np.zeros(slice_bits, bool)
-        for q in range(1, int(level.max()) + 1):
-            own = keys[level >= q]
-            for probe in range(PROBES):
-                bits[_place(own, q, probe, slice_bits)] = True
-        yield record(part=pa.array([part], pa.int32()), bits=pa.array([np.packbits(bits).tobytes()], pa.binary()))
+        page = _page(keys, np.bincount(inv, weights=np.concatenate(counts)))
+        if not answer:
+            yield record(chunk=pa.array([-1]), part=pa.array([part], pa.int32()), bytes=pa.array([page.tobytes()], pa.binary()))
+            return
+        level = _levels(keys, page, np.zeros(len(keys), np.int64), np.full(len(keys), len(page) * 8)).astype(np.uint8)
+        for c, low, high in zip(chunk, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            yield record(chunk=pa.array([c]), part=pa.array([part], pa.int32()), bytes=pa.array([zlib.compress(level[inv[low:high]].tobytes(), 1)], pa.binary()))
 
-    emitted = per_batch(chunks.select("held", "lengths", "low", "high", "vocab"), "part int, high binary, low binary, counts binary", emit)
-    return per_task(exchange(emitted, "part", width), "part int, bits binary", fill)
+    return per_task(asks, "chunk long, part int, bytes binary", run)
 
 
-def _place(keys: np.ndarray, level: int, probe: int, slice_bits: int) -> np.ndarray:
-    h = W.mix(keys + np.uint64((level * 64 + probe) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    return ((h >> np.uint64(32)) * np.uint64(slice_bits) >> np.uint64(32)).astype(np.int64)
+class _Filter:
+    """All pages of a filter that is broadcast."""
 
+    def __init__(self, pages: dict[int, bytes], width: int):
+        self.width = width
+        self.bits = np.array([8 * len(pages.get(k, b"")) for k in range(width)], np.int64)
+        self.base = np.cumsum(self.bits) - self.bits
+        self.pages = np.frombuffer(b"".join(pages.get(k, b"") for k in range(width)), np.uint8)
 
-def _levels(keys: np.ndarray, page: np.ndarray, first: int, parts: int, width: int, slice_bits: int) -> np.ndarray:
-    """Quantised levels of keys by repeated membership probes; 0 outside the page's hash ranges."""
-    level = np.zeros(len(keys), np.int64)
-    part = _part(keys, KEY_BITS, width) - first
-    live = np.flatnonzero((part >= 0) & (part < parts))
-    q = 1
-    while len(live):
-        base = part[live] * slice_bits
-        for probe in range(PROBES):
-            at = base + _place(keys[live], q, probe, slice_bits)
-            on = (page[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            live, base = live[on], base[on]
-        level[live] = q
-        q += 1
-    return level
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        part = _part(keys, KEY_BITS, self.width)
+        return _levels(keys, self.pages, self.base[part], self.bits[part])
 
 
 def _texts(chunk: _Chunk, counts: np.ndarray, level: np.ndarray, inv: np.ndarray, n: int, v: int):
@@ -221,7 +254,8 @@ def _texts(chunk: _Chunk, counts: np.ndarray, level: np.ndarray, inv: np.ndarray
     history = np.empty(len(c), np.float64)
     history[1:] = c[:-1]
     history[chunk.starts] = counts[np.flatnonzero(chunk.vocab == END)[0]]
-    pair = np.where(level > 0, 2.0 ** (level - 1), 0.0)[inv]
+    # A pair is no more frequent than either of its words; a false positive may say so.
+    pair = np.minimum(np.minimum(np.where(level > 0, 2.0 ** (level - 1), 0.0)[inv], history), c)
     t = chunk.train
     less, rest, above = (c[t] - 1 + SMOOTH) / floor, np.maximum(pair[t] - 1, 0), np.maximum(history[t] - 1, 0)
     scores, left = [], []
@@ -240,6 +274,7 @@ def score_documents(documents: DataFrame, id_column: str = "doc_id", text_column
     # A chunk is a row of some megabytes, so Python gets them one by one.
     with arrow_rows(spark, 1):
         scored, n = _all_scored(chunks, width, page_bytes)
+    forget(chunks)
     sums = scored.where("left is not null").agg(*(F.sum(F.col("left")[k]) for k in range(len(MU)))).first()
     best = max(range(len(MU)), key=lambda k: (sums[k] if sums[k] is not None else 0.0, k))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", F.col("scores")[best].alias("score"), F.lit(MU[best]).alias("mu"))
@@ -249,47 +284,33 @@ def _all_scored(chunks: DataFrame, width: int, page_bytes: int) -> tuple[DataFra
     spark = chunks.sparkSession
     answers = settle(_word_counts(chunks, width), "answers")
     n, v = answers.where("chunk = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    slice_bits = max(1024, -(-tokens * ENTRY_BITS // width) // 8 * 8)
-    filters = settle(_filter(chunks, width, slice_bits), "filter")
-    # As many hash ranges to a page as its bytes allow.
-    per_page = max(1, page_bytes // (slice_bits // 8))
-    levels = None
-    for first in range(0, width, per_page):
-        parts = min(per_page, width - first)
-        page = np.zeros((parts, slice_bits // 8), np.uint8)
-        for k, bits in filters.where(F.col("part").between(first, first + parts - 1)).toLocalIterator():
-            page[k - first] = np.frombuffer(bits, np.uint8)
-        sent = spark.sparkContext.broadcast(page.reshape(-1))
-        own = settle(_page_levels(chunks, sent, first, parts, width, slice_bits), "levels")
-        sent.unpersist()
-        levels = own if levels is None else levels.union(own)
-    return settle(_scored(chunks, answers, levels, n, v), "scored"), n
-
-
-def _page_levels(chunks, sent, first, parts, width, slice_bits) -> DataFrame:
-    def run(batch):
-        for chunk, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            keys = np.unique(_Chunk(*rest).bigrams())
-            level = _levels(keys, sent.value, first, parts, width, slice_bits)
-            yield record(chunk=pa.array([chunk]), level=pa.array([zlib.compress(level.astype(np.uint8).tobytes(), 1)], pa.binary()))
-
-    return per_batch(chunks.select("chunk", "held", "lengths", "low", "high", "vocab"), "chunk long, level binary", run)
-
-
-def _scored(chunks, answers, levels, n, v) -> DataFrame:
+    # A bigram has no more entries than occurrences, so n bounds the filter.
+    if n * ENTRY_BITS // 8 <= page_bytes:
+        pages = {k: bits for _, k, bits in _owned(_asks(chunks, width), False).toLocalIterator()}
+        sent, levels = spark.sparkContext.broadcast(_Filter(pages, width)), None
+    else:
+        sent, levels = None, settle(_owned(_asks(chunks, width), True), "levels")
+    scored = settle(_scored(chunks, answers, levels, sent, n, v), "scored")
+    for old in (answers, levels):
+        if old is not None:
+            forget(old)
+    return scored, n
+
+
+def _scored(chunks, answers, levels: DataFrame | None, sent, n, v) -> DataFrame:
     counts = answers.where("chunk >= 0").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "counts", "wide"))).alias("answers"))
-    pages = levels.groupBy("chunk").agg(F.collect_list("level").alias("levels"))
-    rows = chunks.select("chunk", "ids", "held", "lengths", "low", "high", "vocab").join(counts, "chunk").join(pages, "chunk")
+    rows = chunks.select("chunk", "ids", "held", "lengths", "low", "high", "vocab").join(counts, "chunk")
+    if levels is not None:
+        rows = rows.join(levels.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "bytes"))).alias("levels")), "chunk")
 
     def run(batch):
-        for _, ids, held, lengths, low, high, vocab, got, pages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for _, ids, held, lengths, low, high, vocab, got, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             c = _Chunk(held, lengths, low, high, vocab)
             by_hash = np.concatenate([np.frombuffer(a["counts"], np.int64 if a["wide"] else np.uint32) for a in got]).astype(np.float64)
             counts = np.empty(len(by_hash))
             counts[np.argsort(c.vocab)] = by_hash
             keys, inv = np.unique(c.bigrams(), return_inverse=True)
-            level = sum(np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int64) for x in pages)
+            level = np.concatenate([np.frombuffer(zlib.decompress(x["bytes"]), np.uint8) for x in rest[0]]).astype(np.int64) if rest else sent.value.levels(keys)
             known, plain, scores, left = _texts(c, counts, level, inv, n, v)
             m = len(ids)
             yield record(

@@ -517,6 +517,49 @@ def test_lm_scoring(spark, page):
     assert lm_score.score_documents(df.limit(0)).count() == 0
 
 
+def _bigram_brute(rows, mu):
+    """The score of each text under exact bigram counts, quantised to powers of two or not."""
+    tok = {i: [*_brute_words(t), None] for i, t in rows}
+    train = [t for i, t in tok.items() if zlib.crc32(str(i).encode()) % 10]
+    count = collections.Counter(w for t in train for w in t)
+    pairs = collections.Counter(p for t in train for p in zip(["<"] + t[:-1], t, strict=True))
+    n, v = sum(count.values()), len(count)
+    out = {}
+    for i, t in tok.items():
+        total = 0
+        for h, w in zip(["<"] + t[:-1], t, strict=True):
+            k = pairs[h, w]
+            above = len(train) if h == "<" else count[h]
+            total += math.log10(((2 ** (k.bit_length() - 1) if k else 0) + mu * (count[w] + 0.1) / (n + 0.1 * (v + 1))) / (above + mu))
+        out[i] = total
+    return out
+
+
+@pytest.mark.parametrize("page", [1 << 26, 1])
+def test_lm_scores_against_plain_counts(spark, page):
+    rng = random.Random(25)
+    rows = [(k, " ".join(rng.choice(WORDS[: rng.choice([5, 40, 400])]) for _ in range(60))) for k in range(400)] + [(900, "never seen words"), (901, None)]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOC).selectExpr("*", "1 as chunk", "2 as part", "3 as levels")
+    out = lm_score.score_documents(df, page_bytes=page).collect()
+    want = _bigram_brute(rows, out[0].mu)
+    off = [r.score - want[r.doc_id] for r in out]
+    # A false positive, about 1 % a level, can only raise a pair's count.
+    assert min(off) > -1e-6 and sum(abs(x) < 1e-6 for x in off) > 0.5 * len(off)
+    assert sum(off) < 0.01 * abs(sum(want.values()))
+
+
+def test_false_positives_of_the_filter():
+    rng = np.random.default_rng(3)
+    for n in (1_000, 200_000):
+        keys = rng.integers(0, 1 << lm_score.KEY_BITS, 2 * n, dtype=np.uint64)
+        total = rng.geometric(0.4, n).astype(float)
+        page = lm_score._page(keys[:n], total)
+        ask = lambda k: lm_score._levels(k, page, np.zeros(len(k), np.int64), np.full(len(k), 8 * len(page)))  # noqa: B023, E731
+        exact = np.floor(np.log2(total)) + 1
+        assert (ask(keys[:n]) >= exact).all() and (ask(keys[:n]) > exact).mean() < 0.02
+        assert (ask(keys[n:]) > 0).mean() < 0.02
+
+
 def test_sharding(spark):
     df = spark.createDataFrame([(k, "x" * (k % 50), "en", "s", 0) for k in range(2000)] + [(None, None, "en", "s", 0), (7, "again", "en", "s", 0)], DOC)
     rows = sharding.shard_rows(df, [1.0] * 16, [1.0] * 17).collect()
