@@ -45,6 +45,22 @@ def exact_sign_flip(df: DataFrame, group: str, value: str) -> DataFrame:
     return masks.groupBy(group).agg(F.avg((flipped >= F.col("_t") - 1e-12).cast("double")).alias("p"), F.count("*").alias("masks"))
 
 
+def sign_flip(df: DataFrame, group: str, key: str, value: str, exact_upto: int = 13, draws: int = 100_000) -> DataFrame:
+    """p and the masks used per group: all sign masks up to `exact_upto` values, beyond that `draws` fixed ones, counted plus one.
+
+    A draw's sign of a row is a bit of md5(draw:key), so a draw is the same wherever a row
+    lies and sums are combined before they move.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("_n"), F.abs(F.sum(value)).alias("_t"))
+    few, many = sizes.where(F.col("_n") <= exact_upto), sizes.where(F.col("_n") > exact_upto)
+    exact = exact_sign_flip(df.join(few, group, "left_semi"), group, value)
+    bit = F.substring(F.md5(F.concat_ws(":", F.col("_draw").cast("string"), F.col(key).cast("string"))), 1, 1) < "8"
+    drawn = df.join(many, group).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    sums = drawn.groupBy(group, "_draw").agg(F.abs(F.sum(F.when(bit, F.col(value)).otherwise(-F.col(value)))).alias("_x"), F.first("_t").alias("_t"))
+    counted = sums.groupBy(group).agg(((F.count_if(F.col("_x") >= F.col("_t") - 1e-9) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("masks"))
+    return exact.unionByName(counted)
+
+
 def _incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta by its continued fraction."""
     if x <= 0 or x >= 1:

@@ -192,7 +192,7 @@ def w8(spark, d):
 
 
 def l1(spark, d):
-    return table(spark, d, "customer").orderBy("c_mktsegment", F.desc("c_acctbal"), "c_custkey").limit(50).select("c_custkey")
+    return table(spark, d, "customer").orderBy("c_mktsegment", F.desc("c_acctbal"), "c_custkey").select("c_custkey")
 
 
 def l2(spark, d):
@@ -271,7 +271,7 @@ ORACLE_SQL = {
     "w6_running_mean": "SELECT l_orderkey, l_linenumber, l_partkey, round(avg(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING), 6) AS running FROM lineitem",
     "w7_first_per_group": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type, ts DESC, event_id) = 1",
     "w8_last_per_month": "SELECT date_trunc('month', o_orderdate)::DATE AS month, o_orderkey AS last_order FROM orders QUALIFY row_number() OVER (PARTITION BY date_trunc('month', o_orderdate) ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
-    "l1_multi_key_sort": "SELECT c_custkey FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 50",
+    "l1_multi_key_sort": "SELECT c_custkey FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey",
     "l2_head_tail": "(SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 10) UNION ALL (SELECT o_orderkey FROM orders ORDER BY 1 DESC LIMIT 10)",
     "l3_top_per_group": "SELECT c_nationkey, last(c_custkey ORDER BY c_acctbal, c_custkey) AS top, first(c_custkey ORDER BY c_acctbal, c_custkey) AS bottom FROM customer GROUP BY ALL",
     "l4_best_candidate": "SELECT l_orderkey, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_tax, l_linenumber, l_partkey) = 1",

@@ -88,7 +88,7 @@ def d12(spark, d):
 
 def d13(spark, d):
     o = _o(spark, d)
-    return o.orderBy("day", "o_orderkey", F.md5("o_orderpriority")).limit(100).select("day", "o_orderkey")
+    return o.orderBy("day", "o_orderkey", F.md5("o_orderpriority")).select("day", "o_orderkey")
 
 
 def d14(spark, d):
@@ -195,7 +195,7 @@ ORACLE_SQL = {
     "d10_top_share": "SELECT c_custkey, rank FROM (SELECT c_custkey, row_number() OVER (ORDER BY sha256(c_custkey::VARCHAR), c_custkey) AS rank, count(*) OVER () AS n FROM customer) WHERE rank <= floor(0.8 * n)",
     "d11_replay_stride": "SELECT c_custkey, 'sft_mix' AS tag FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS k, count(*) OVER () AS n FROM customer) WHERE k % 7 = 0 AND k // 7 < floor(0.1 * n)",
     "d12_primary_replay": "WITH o AS (SELECT c_custkey, sha256('mix' || c_custkey) AS h FROM customer), p AS (SELECT c_custkey FROM (SELECT *, row_number() OVER (ORDER BY h, c_custkey) AS k, count(*) OVER () AS n FROM o) WHERE k <= floor(0.2 * n)), r AS (SELECT c_custkey FROM (SELECT *, row_number() OVER (ORDER BY h DESC, c_custkey) AS k, count(*) OVER () AS n FROM o WHERE c_custkey NOT IN (SELECT c_custkey FROM p)) WHERE k <= floor(0.1 * n)) SELECT c_custkey, 'primary' AS role FROM p UNION ALL SELECT c_custkey, 'replay' FROM r",
-    "d13_reproducible_sort": "SELECT o_orderdate::DATE AS day, o_orderkey FROM orders ORDER BY 1, 2 LIMIT 100",
+    "d13_reproducible_sort": "SELECT o_orderdate::DATE AS day, o_orderkey FROM orders ORDER BY 1, 2",
     "d14_row_manifest": "SELECT o_orderkey, o_orderdate::DATE AS day, sha256(o_orderpriority) AS prompt_hash, 'after-2009' AS data_label FROM orders",
     "d15_seeded_sample": "SELECT doc_id FROM documents ORDER BY sha256('s1|' || doc_id), doc_id LIMIT 25",
     "d16_quantile_pick": "SELECT lang, doc_id, q::DOUBLE AS quantile FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY length(text), doc_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) JOIN (VALUES (0.0), (0.5), (1.0)) v(q) ON k = floor(q * (n - 1) + 0.5)",

@@ -30,8 +30,10 @@ def i9(spark, d):
 
 
 def i10(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey % 4 < 2").withColumn("rn", F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_suppkey"))).where("rn <= 8")
-    return I.exact_sign_flip(s.withColumn("v", F.round(F.col("s_acctbal") - 4000, 2)), "s_nationkey", "v").select("s_nationkey", F.round("p", 8).alias("p"), "masks")
+    """Nations have few suppliers and all their sign masks; regions have more and fixed draws."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey"), "s_nationkey").withColumn("v", F.round(F.col("s_acctbal") - 4000, 2))
+    both = s.select(F.concat(F.lit("nation "), "s_nationkey").alias("panel"), "s_suppkey", "v").unionByName(s.select(F.concat(F.lit("region "), "n_regionkey").alias("panel"), "s_suppkey", "v"))
+    return I.sign_flip(both, "panel", "s_suppkey", "v", exact_upto=10, draws=200).select("panel", F.round("p", 8).alias("p"), "masks")
 
 
 def i11(spark, d):
@@ -93,7 +95,7 @@ def b7(spark, d):
     day, n = F.dayofmonth("o_orderdate"), F.dayofmonth(F.last_day("o_orderdate"))
     monthly, current = 5 + (F.col("o_orderkey") % 40) / 100.0, F.lit(5.1)
     post = (n * monthly - day * current) / (n - day)
-    o = table(spark, d, "orders").where(n > day).select("o_orderkey", F.round(100 * (post - current), 6).alias("bp"))
+    o = table(spark, d, "orders").where(n > day).select("o_orderkey", (F.round(100 * (post - current), 6) + 0.0).alias("bp"))
     return o.select("o_orderkey", "bp", I.move_probabilities(F.col("bp")).alias("m")).select("o_orderkey", "bp", "m.low", F.round("m.p_low", 8).alias("p_low"), F.round("m.p_high", 8).alias("p_high"))
 
 
@@ -185,10 +187,11 @@ def x15(spark, d):
 
 
 def x18(spark, d):
+    """Numbers of whole texts against those of a rewritten one, as multisets: how many are missing and how many new."""
     numbers = lambda c: F.explode(F.regexp_extract_all(c, F.lit(r"([-+]?\d+)"), F.lit(1)))
-    c = table(spark, d, "documents").where("doc_id < 300").select("doc_id", "text")
-    a = c.select("doc_id", numbers(F.substring("text", 1, 400)).alias("v")).groupBy("doc_id", "v").agg(F.count("*").alias("a"))
-    b = c.select("doc_id", numbers(F.substring("text", 200, 400)).alias("v")).groupBy("doc_id", "v").agg(F.count("*").alias("b"))
+    c = table(spark, d, "documents").select("doc_id", "text", F.replace(F.replace("text", F.lit("17"), F.lit("18")), F.lit("-"), F.lit(" ")).alias("again"))
+    a = c.select("doc_id", numbers("text").alias("v")).groupBy("doc_id", "v").agg(F.count("*").alias("a"))
+    b = c.select("doc_id", numbers("again").alias("v")).groupBy("doc_id", "v").agg(F.count("*").alias("b"))
     n, m = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
     return a.join(b, ["doc_id", "v"], "full").groupBy("doc_id").agg(F.sum(F.greatest(n - m, F.lit(0))).alias("missing"), F.sum(F.greatest(m - n, F.lit(0))).alias("unsupported"))
 
@@ -220,10 +223,14 @@ QUERIES = {
 _P = "(SELECT o_orderkey, (o_orderkey % 5) / 10 AS a, (o_orderkey % 4) / 10 AS b, 1 - (o_orderkey % 5) / 10 - (o_orderkey % 4) / 10 AS c FROM orders)"
 _NUM = lambda s: f"unnest(regexp_extract_all({s}, '[-+]?[0-9]+'))"
 
+_REWRITTEN = "replace(replace(text, '17', '18'), '-', ' ')"
+
 ORACLE_SQL = {
+    "x15_tolerance_winner": "WITH s AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey DESC) AS r, row_number() OVER (PARTITION BY s_nationkey ORDER BY (s_suppkey % 5 = 0) DESC, s_acctbal DESC, s_suppkey DESC) AS f FROM supplier), b AS (SELECT s_nationkey, max(s_acctbal) FILTER (WHERE r = 1) AS best, max(s_suppkey) FILTER (WHERE r = 1) AS winner, max(s_acctbal) FILTER (WHERE f = 1 AND s_suppkey % 5 = 0) AS fixed, max(s_suppkey) FILTER (WHERE f = 1 AND s_suppkey % 5 = 0) AS k FROM s GROUP BY ALL) SELECT s_nationkey, CASE WHEN fixed >= best * 0.95 THEN k ELSE winner END AS selected FROM b",
+    "b7_futures_moves": "WITH o AS (SELECT o_orderkey, day(o_orderdate) AS d, day(last_day(o_orderdate)) AS n, 5 + (o_orderkey % 40) / 100 AS m FROM orders), p AS (SELECT o_orderkey, round(100 * ((n * m - d * 5.1::DOUBLE) / (n - d) - 5.1::DOUBLE), 6) + 0 AS bp FROM o WHERE n > d), q AS (SELECT o_orderkey, bp, greatest(-100, least(100, bp)) AS w FROM p) SELECT o_orderkey, bp, (floor(w / 25) * 25)::INT AS low, round(1 - (w - floor(w / 25) * 25) / 25, 8) AS p_low, round((w - floor(w / 25) * 25) / 25, 8) AS p_high FROM q",
     "i1_one_sample_t": "SELECT c_nationkey, count(*) AS n, round(avg(e), 6) AS mean, CASE WHEN stddev_samp(e) <> 0 THEN round(avg(e) / (stddev_samp(e) / sqrt(count(*))), 6) END AS t FROM (SELECT c_nationkey, c_acctbal - 4500 AS e FROM customer) GROUP BY ALL",
     "i9_bootstrap_p": "SELECT c_custkey, round(least(1.0, 2 * (least(len(list_filter(d, lambda x: x <= 0)), len(list_filter(d, lambda x: x >= 0))) + 1) / 41), 8)::DOUBLE AS p, round((1 + len(list_filter(d, lambda x: abs(x - 9) >= 9))) / 41, 8)::DOUBLE AS p_null FROM (SELECT c_custkey, list_transform(range(1, 41), lambda k: (k * 7 + c_custkey) % 41 - 12) AS d FROM customer)",
-    "i10_sign_flip": "WITH s AS (SELECT s_nationkey, round(s_acctbal - 4000, 2) AS v, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i FROM supplier WHERE s_suppkey % 4 < 2 QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) <= 8), n AS (SELECT s_nationkey, count(*) AS n, abs(sum(v)) AS t FROM s GROUP BY ALL), m AS (SELECT s_nationkey, t, unnest(range(0, (2 ** n)::BIGINT)) AS mask FROM n), f AS (SELECT m.s_nationkey, m.mask, any_value(t) AS t, abs(sum(CASE WHEN (m.mask & (1 << i)) = 0 THEN v ELSE -v END)) AS x FROM m JOIN s USING (s_nationkey) GROUP BY ALL) SELECT s_nationkey, round(avg((x >= t - 1e-9)::INT), 8) AS p, count(*) AS masks FROM f GROUP BY ALL",
+    "i10_sign_flip": "WITH b AS (SELECT s_suppkey, s_nationkey, n_regionkey, round(s_acctbal - 4000, 2) AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey), s AS (SELECT *, count(*) OVER (PARTITION BY panel) AS n, row_number() OVER (PARTITION BY panel ORDER BY s_suppkey) - 1 AS i FROM (SELECT 'nation ' || s_nationkey AS panel, s_suppkey, v FROM b UNION ALL SELECT 'region ' || n_regionkey, s_suppkey, v FROM b)), t AS (SELECT panel, n, abs(sum(v)) AS t FROM s GROUP BY ALL), e AS (SELECT panel, t, unnest(range(0, (2 ** n)::BIGINT)) AS mask FROM t WHERE n <= 10), x AS (SELECT e.panel, e.mask, any_value(t) AS t, abs(sum(CASE WHEN (e.mask & (1 << i)) = 0 THEN v ELSE -v END)) AS x FROM e JOIN s ON s.panel = e.panel GROUP BY ALL), m AS (SELECT s.panel, k, any_value(t) AS t, abs(sum(CASE WHEN substring(md5(k || ':' || s_suppkey), 1, 1) < '8' THEN v ELSE -v END)) AS x FROM s JOIN t ON t.panel = s.panel, range(0, 200) r(k) WHERE s.n > 10 GROUP BY ALL) SELECT panel, round(avg((x >= t - 1e-9)::INT), 8) AS p, count(*) AS masks FROM x GROUP BY ALL UNION ALL SELECT panel, round((1 + count(*) FILTER (WHERE x >= t - 1e-9)) / (count(*) + 1), 8), count(*) FROM m GROUP BY ALL",
     "i11_holm": "SELECT c_custkey, CASE WHEN p IS NOT NULL THEN round(max(least(1.0, (m - k) * p)) OVER (PARTITION BY c_nationkey ORDER BY k NULLS LAST ROWS UNBOUNDED PRECEDING), 10) END::DOUBLE AS p_adjusted FROM (SELECT *, count(p) OVER (PARTITION BY c_nationkey) AS m, CASE WHEN p IS NOT NULL THEN row_number() OVER (PARTITION BY c_nationkey ORDER BY p NULLS LAST, c_custkey) - 1 END AS k FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 9 <> 0 THEN (c_custkey % 97) / 970 END AS p FROM customer))",
     "i12_contrast": "WITH m AS (SELECT l_suppkey, l_returnflag, avg(l_quantity) AS m FROM lineitem GROUP BY ALL) SELECT count(*) AS pairs, round(avg(a.m - b.m), 8) AS contrast FROM m a JOIN m b ON a.l_suppkey = b.l_suppkey AND a.l_returnflag = 'A' AND b.l_returnflag = 'N'",
     "i14_ols_slope": "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem GROUP BY ALL",
@@ -241,7 +248,7 @@ ORACLE_SQL = {
     "x9_midpoint_quota": "SELECT o_orderpriority, o_orderkey FROM (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) WHERE k IN (n // 10, 3 * n // 10, 5 * n // 10, 7 * n // 10, 9 * n // 10)",
     "x12_median_rank": "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY length(text), doc_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE k = (n - 1) // 2",
     "x14_ranked_candidate": "SELECT c_mktsegment, c_custkey AS winner FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal > 0 DESC, round(c_acctbal, -3) DESC, c_nationkey, c_custkey) = 1",
-    "x18_number_multiset": f"WITH a AS (SELECT doc_id, v, count(*) AS a FROM (SELECT doc_id, {_NUM('substring(text, 1, 400)')} AS v FROM documents WHERE doc_id < 300) GROUP BY ALL), b AS (SELECT doc_id, v, count(*) AS b FROM (SELECT doc_id, {_NUM('substring(text, 200, 400)')} AS v FROM documents WHERE doc_id < 300) GROUP BY ALL) SELECT doc_id, sum(greatest(coalesce(a, 0) - coalesce(b, 0), 0))::BIGINT AS missing, sum(greatest(coalesce(b, 0) - coalesce(a, 0), 0))::BIGINT AS unsupported FROM a FULL JOIN b USING (doc_id, v) GROUP BY ALL",
+    "x18_number_multiset": f"WITH a AS (SELECT doc_id, v, count(*) AS a FROM (SELECT doc_id, {_NUM('text')} AS v FROM documents) GROUP BY ALL), b AS (SELECT doc_id, v, count(*) AS b FROM (SELECT doc_id, {_NUM(_REWRITTEN)} AS v FROM documents) GROUP BY ALL) SELECT doc_id, sum(greatest(coalesce(a, 0) - coalesce(b, 0), 0))::BIGINT AS missing, sum(greatest(coalesce(b, 0) - coalesce(a, 0), 0))::BIGINT AS unsupported FROM a FULL JOIN b USING (doc_id, v) GROUP BY ALL",
     "x21_label_move": "SELECT o_orderkey, CASE WHEN ok THEN CASE o_orderkey % 3 WHEN 0 THEN 'Raise' ELSE 'Cut' END END AS direction, CASE WHEN ok THEN (o_orderkey % 5 * 25)::INT END AS bp FROM (SELECT o_orderkey, o_orderkey % 3 <> 2 AND o_orderkey % 5 <> 0 AS ok FROM orders)",
     "x22_train_overlap": "SELECT o_orderstatus, count(*) AS overlap FROM orders WHERE year(o_orderdate) >= 1996 AND o_custkey IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) < 1996) GROUP BY ALL",
     "x24_strip_evidence": "SELECT o_orderkey, 'rates rose, then fell. ' || o_orderpriority AS clean FROM orders",

@@ -176,11 +176,10 @@ def j22(spark, d):
 
 
 def j23(spark, d):
-    norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    docs = table(spark, d, "documents")
-    a = docs.select("doc_id", "lang", norm("text").alias("t"))
-    b = docs.select(F.col("doc_id").alias("other_id"), "lang", norm("text").alias("t"))
-    return a.join(b, ["lang", "t"]).where("doc_id < other_id").select("doc_id", "other_id")
+    """Texts that are equal once normalised: each with the smallest id of its class and their number; classes meet by hash and are told apart by the text."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("t"))
+    own = docs.groupBy("lang", F.xxhash64("t").alias("h"), "t").agg(F.min("doc_id").alias("official_id"), F.count("*").alias("n")).where("n > 1")
+    return docs.withColumn("h", F.xxhash64("t")).join(own, ["lang", "h", "t"]).select("doc_id", "official_id", "n")
 
 
 def j24(spark, d):
@@ -222,6 +221,6 @@ ORACLE_SQL = {
     "j20_positional_labels": "SELECT CASE WHEN l_linestatus = o_orderstatus THEN 'labeled' ELSE 'fallback' END AS status, count(*) AS n, count(DISTINCT o_orderpriority) AS excerpts FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1 GROUP BY ALL",
     "j21_section_assembly": "SELECT conv_id, string_agg('## ' || role || chr(10) || md5(text), chr(10) || chr(10) ORDER BY turn) AS document FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text DESC) = 1) GROUP BY conv_id",
     "j22_reference_view": "SELECT c_nationkey, count(*) AS n, count(*) FILTER (WHERE trim(c_name) = '') AS blank FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 2)) GROUP BY ALL",
-    "j23_text_match": "WITH t AS (SELECT doc_id, lang, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents) SELECT a.doc_id, b.doc_id AS other_id FROM t a JOIN t b ON a.lang = b.lang AND a.t = b.t AND a.doc_id < b.doc_id",
+    "j23_text_match": "WITH t AS (SELECT doc_id, lang, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, t) AS official_id, count(*) OVER (PARTITION BY lang, t) AS n FROM t QUALIFY count(*) OVER (PARTITION BY lang, t) > 1",
     "j24_split_overlap": "WITH o AS (SELECT DISTINCT o_orderdate::DATE AS day, o_orderkey % 3 AS split FROM orders) SELECT a.split || '-' || b.split AS pair, count(*) AS shared FROM o a JOIN o b ON a.day = b.day AND a.split < b.split GROUP BY ALL",
 }

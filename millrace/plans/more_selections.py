@@ -80,8 +80,9 @@ def x16(spark, d):
 
 def x17(spark, d):
     squeeze, plain = lambda c: F.lower(T.squeeze(c)), lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9]", "")
-    a, b = F.col("o_orderpriority"), F.concat(F.lit(" "), F.upper("o_orderpriority"), F.when(F.col("o_orderkey") % 2 == 0, ".").otherwise(""))
-    return table(spark, d, "orders").agg(F.count_if(a == b).alias("raw"), F.count_if(squeeze(a) == squeeze(b)).alias("normalized"), F.count_if(plain(a) == plain(b)).alias("unpunctuated"))
+    key, a = F.col("o_orderkey") % 5, F.col("o_orderpriority")
+    b = F.when(key == 0, a).when(key == 1, F.concat(F.lit("  "), F.upper(a), F.lit(" "))).when(key == 2, F.concat(F.replace(a, F.lit("-"), F.lit(", ")), F.lit("."))).when(key == 3, F.concat(a, F.lit(" x"))).otherwise(F.col("o_orderstatus"))
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count_if(a == b).alias("raw"), F.count_if(squeeze(a) == squeeze(b)).alias("normalized"), F.count_if(plain(a) == plain(b)).alias("unpunctuated"), F.count_if(F.contains(squeeze(b), squeeze(a))).alias("contained"))
 
 
 def x19(spark, d):
@@ -97,9 +98,12 @@ def x20(spark, d):
 
 
 def x23(spark, d):
-    a = table(spark, d, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_quantity")
-    b = table(spark, d, "lineitem").where("l_linenumber > 2").select("l_orderkey", "l_linenumber", "l_quantity")
-    return a.unionByName(b).groupBy("l_linenumber").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 8).alias("mean"))
+    """Scored rows and a later increment that scores some of them again: the increment's score holds."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    base = li.where("l_linenumber <= 3").select(*keys, F.col("l_quantity").alias("score"))
+    more = li.where("l_linenumber >= 3").select(*keys, (F.col("l_quantity") + F.col("l_tax")).alias("score"))
+    return base.join(more, keys, "left_anti").unionByName(more).groupBy("l_linenumber").agg(F.count("*").alias("n"), F.round(F.avg("score"), 8).alias("mean"))
 
 
 def r6(spark, d):
@@ -112,34 +116,38 @@ def r10(spark, d):
 
 
 def r14(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.round((F.col("o_orderkey") % 36) / 35.0, 8).alias("answer"), F.round(0.5 * (F.col("o_orderkey") % 36) / 35.0 + 0.5 * (F.col("o_custkey") % 11) / 10.0, 8).alias("combined"))
-
-
-def i4(spark, d):
-    """Several metrics under one shared plan: draw k resamples unit (k * 31 + 17 i) mod n for each position i."""
-    u = table(spark, d, "nation").select("n_nationkey", F.length("n_name").cast("double").alias("a"), F.col("n_regionkey").cast("double").alias("b"))
-    plan = spark.range(20).select(F.col("id").alias("draw")).join(F.broadcast(spark.range(25).select(F.col("id").alias("i")))).withColumn("n_nationkey", ((F.col("draw") * 31 + F.col("i") * 17 + F.col("i") * F.col("draw")) % 25).cast("int"))
-    return plan.join(F.broadcast(u), "n_nationkey").groupBy("draw").agg(F.round(F.avg("a"), 8).alias("a"), F.round(F.avg("b"), 8).alias("b"))
+    """Judge replies read as JSON: points over their maximum; a reply that cannot be read, or out of range, scores 0."""
+    key = F.col("o_orderkey")
+    reply = F.when(key % 9 == 0, "no json").when(key % 9 == 1, F.concat(F.lit('{"points": '), (key % 50).cast("string"), F.lit(', "max": 40}'))).otherwise(F.concat(F.lit('{"points": '), (key % 36).cast("string"), F.lit(', "max": 36}')))
+    x = F.from_json(reply, "points double, max double")
+    answer = F.when((x["points"] >= 0) & (x["points"] <= x["max"]), x["points"] / x["max"]).otherwise(0.0)
+    return table(spark, d, "orders").select("o_orderkey", F.round(answer, 8).alias("answer"), F.round(0.5 * answer + 0.5 * (F.col("o_custkey") % 11) / 10.0, 8).alias("combined"))
 
 
 def t26(spark, d):
     up, down = T.count_pattern(F.col("text"), r"(?i)\b(?:rose|up)\b"), T.count_pattern(F.col("text"), r"(?i)\b(?:fell|down)\b")
-    c = table(spark, d, "conversations").select(F.concat(F.lit("prices "), F.when(F.col("conv_id") % 2 == 0, "rose").otherwise("fell and went UP")).alias("text"))
-    return c.groupBy(F.when((up > 0) & (down > 0), "mixed").when(up > 0, "up").when(down > 0, "down").otherwise("none").alias("direction")).agg(F.count("*").alias("n"))
+    pick = lambda key, words: F.element_at(F.array(*map(F.lit, words)), (F.col(key) % len(words) + 1).cast("int"))
+    text = F.concat(F.lit("Prices "), pick("o_orderkey", ["rose", "fell", "held", "went UP"]), F.lit("; rates "), pick("o_custkey", ["upheld", "slid Down", "fell.", "stood", "rosey"]))
+    rows = table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+    return rows.select("o_orderkey", F.when((up > 0) & (down > 0), "mixed").when(up > 0, "up").when(down > 0, "down").otherwise("none").alias("direction"))
 
 
 def t29(spark, d):
-    n = T.words_count(F.col("text"))
-    block = F.array_join(F.array_repeat(F.lit("neutral"), n.cast("int")), " ")
-    return table(spark, d, "documents").agg(F.count_if(T.words_count(block) == n).alias("matched"), F.count("*").alias("rows"))
+    """A neutral block of as many tokens as the text has: sentences of fixed words, the last one cut to fit."""
+    n = F.size(T.tokens(F.col("text")))
+    words = F.array(*map(F.lit, ["no", "data", "is", "given", "here."]))
+    block = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.element_at(words, ((i - 1) % 5 + 1).cast("int"))), " ")).otherwise("")
+    rows = table(spark, d, "documents").select("doc_id", n.alias("n"), block.alias("block"))
+    return rows.select("doc_id", (F.size(T.tokens(F.col("block"))) == F.col("n")).alias("matched"), F.length("block").alias("chars"), F.md5("block").alias("hash"))
 
 
 QUERIES = {
     "b1_feature_table": b1, "b6_hazard_actions": b6, "b13_contract_panel": b13, "e3_candidate_codes": e3, "e5_release_seal": e5, "x3_discordance": x3, "x10_quota_fill": x10, "x11_proportional_sample": x11, "x13_length_buckets": x13,
-    "x16_monetary_scale": x16, "x17_copy_metrics": x17, "x19_structure_gate": x19, "x20_majority_value": x20, "x23_increment_union": x23, "r6_repetition": r6, "r10_pass_rates": r10, "r14_judge_scores": r14, "i4_joint_bootstrap": i4, "t26_directions": t26, "t29_neutral_block": t29,
+    "x16_monetary_scale": x16, "x17_copy_metrics": x17, "x19_structure_gate": x19, "x20_majority_value": x20, "x23_increment_union": x23, "r6_repetition": r6, "r10_pass_rates": r10, "r14_judge_scores": r14, "t26_directions": t26, "t29_neutral_block": t29,
 }
 
 ORACLE_SQL = {
+    "r6_repetition": "SELECT doc_id, round(CASE WHEN len(g) > len(list_distinct(g)) THEN (1 - len(list_distinct(g)) / len(g)) * -0.5 ELSE 0 END, 8)::DOUBLE AS reward FROM (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) ELSE [] END AS g FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents))",
     "b1_feature_table": "WITH a AS (SELECT l_shipdate::DATE AS obs, round(sum(l_quantity), 2) AS a FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), o AS (SELECT o_orderkey, o_orderdate::DATE AS day, o_orderstatus FROM orders) SELECT o_orderkey, a.a, lag(o_orderstatus, 1, 'No change') OVER (PARTITION BY year(day) ORDER BY day, o_orderkey) AS previous FROM o ASOF LEFT JOIN a ON o.day >= a.obs",
     "b6_hazard_actions": "SELECT l_returnflag, round(avg(1 - h), 8) AS hold, round(avg(h * u), 8) AS raise, round(avg(h * (1 - u)), 8) AS cut FROM (SELECT l_returnflag, 1 / (1 + exp(-(-1.0 + 0.5 * l_discount * 10))) AS h, l_tax / (l_tax + l_discount + 0.01) AS u FROM lineitem) GROUP BY ALL",
     "b13_contract_panel": "SELECT last_trade, price, lead(last_trade) OVER (ORDER BY last_trade) AS next_trade, lead(price) OVER (ORDER BY last_trade) AS next_price FROM (SELECT last_day(l_shipdate::DATE) AS last_trade, round(avg(l_extendedprice), 4) AS price FROM lineitem GROUP BY 1)",
@@ -150,13 +158,12 @@ ORACLE_SQL = {
     "x11_proportional_sample": "SELECT o_orderpriority, o_orderkey FROM (SELECT *, greatest(1, floor(n * 40 / total)) AS quota FROM (SELECT *, count(*) OVER (PARTITION BY o_orderpriority) AS n, count(*) OVER () AS total, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) - 1 AS k FROM orders)) WHERE floor((k + 1) * quota / n) > floor(k * quota / n)",
     "x13_length_buckets": "SELECT DISTINCT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY length(text), doc_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) JOIN (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE), (0.9::DOUBLE)) v(q) ON k = floor(q * (n - 1) + 0.5)",
     "x16_monetary_scale": "SELECT o_orderkey, o_custkey * CASE o_orderkey % 3 WHEN 0 THEN 1e6 WHEN 1 THEN 1e9 ELSE 1e3 END AS dollars FROM orders",
-    "x17_copy_metrics": "SELECT 0::BIGINT AS raw, count(*) FILTER (WHERE o_orderkey % 2 = 1) AS normalized, count(*) AS unpunctuated FROM orders",
+    "x17_copy_metrics": "WITH p AS (SELECT o_orderpriority, o_orderpriority AS a, CASE o_orderkey % 5 WHEN 0 THEN o_orderpriority WHEN 1 THEN '  ' || upper(o_orderpriority) || ' ' WHEN 2 THEN replace(o_orderpriority, '-', ', ') || '.' WHEN 3 THEN o_orderpriority || ' x' ELSE o_orderstatus END AS b FROM orders), q AS (SELECT *, lower(trim(regexp_replace(a, '\\s+', ' ', 'g'))) AS x, lower(trim(regexp_replace(b, '\\s+', ' ', 'g'))) AS y FROM p) SELECT o_orderpriority, count(*) FILTER (WHERE a = b) AS raw, count(*) FILTER (WHERE x = y) AS normalized, count(*) FILTER (WHERE regexp_replace(x, '[^a-z0-9]', '', 'g') = regexp_replace(y, '[^a-z0-9]', '', 'g')) AS unpunctuated, count(*) FILTER (WHERE contains(y, x)) AS contained FROM q GROUP BY ALL",
     "x19_structure_gate": "SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN conv_id % 3 <> 0 THEN 'delimiter' END, CASE WHEN conv_id % 4 = 0 THEN 'heading' END, CASE WHEN conv_id % 4 = 0 THEN 'list' END], lambda x: x IS NOT NULL), ',') AS failures FROM conversations",
     "x20_majority_value": "SELECT o_orderpriority, o_orderstatus AS majority, round(n / sum(n) OVER (PARTITION BY o_orderpriority), 8) AS share FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY n DESC, o_orderstatus DESC) = 1",
-    "x23_increment_union": "SELECT l_linenumber, count(*) AS n, round(avg(l_quantity), 8) AS mean FROM lineitem GROUP BY ALL",
+    "x23_increment_union": "SELECT l_linenumber, count(*) AS n, round(avg(CASE WHEN l_linenumber >= 3 THEN l_quantity + l_tax ELSE l_quantity END), 8) AS mean FROM lineitem GROUP BY ALL",
     "r10_pass_rates": "SELECT l_orderkey, round(avg((l_linenumber % 2 = 0)::INT), 8) AS pass_rate, min((l_linenumber % 2 = 0)::INT)::DOUBLE AS all_passed FROM lineitem GROUP BY ALL",
-    "r14_judge_scores": "SELECT o_orderkey, round((o_orderkey % 36) / 35, 8) AS answer, round(0.5 * (o_orderkey % 36) / 35 + 0.5 * (o_custkey % 11) / 10, 8)::DOUBLE AS combined FROM orders",
-    "i4_joint_bootstrap": "SELECT d AS draw, round(avg(length(n_name)), 8) AS a, round(avg(n_regionkey), 8) AS b FROM (SELECT d, (d * 31 + i * 17 + i * d) % 25 AS k FROM range(20) t(d), range(25) s(i)) JOIN nation ON n_nationkey = k GROUP BY ALL",
-    "t26_directions": "SELECT CASE WHEN conv_id % 2 = 0 THEN 'up' ELSE 'mixed' END AS direction, count(*) AS n FROM conversations GROUP BY 1",
-    "t29_neutral_block": "SELECT count(*) AS matched, count(*) AS rows FROM documents",
+    "r14_judge_scores": "SELECT o_orderkey, round(a, 8)::DOUBLE AS answer, round(0.5 * a + 0.5 * (o_custkey % 11) / 10, 8)::DOUBLE AS combined FROM (SELECT o_orderkey, o_custkey, CASE WHEN p <= m THEN p / m ELSE 0 END AS a FROM (SELECT o_orderkey, o_custkey, CASE WHEN json_valid(r) THEN json_extract_string(r, '$.points')::DOUBLE END AS p, CASE WHEN json_valid(r) THEN json_extract_string(r, '$.max')::DOUBLE END AS m FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 9 = 0 THEN 'no json' WHEN o_orderkey % 9 = 1 THEN '{\"points\": ' || (o_orderkey % 50) || ', \"max\": 40}' ELSE '{\"points\": ' || (o_orderkey % 36) || ', \"max\": 36}' END AS r FROM orders)))",
+    "t26_directions": "SELECT o_orderkey, CASE WHEN u AND w THEN 'mixed' WHEN u THEN 'up' WHEN w THEN 'down' ELSE 'none' END AS direction FROM (SELECT o_orderkey, regexp_matches(t, '\\b(rose|up)\\b') AS u, regexp_matches(t, '\\b(fell|down)\\b') AS w FROM (SELECT o_orderkey, lower('Prices ' || ['rose', 'fell', 'held', 'went UP'][o_orderkey % 4 + 1] || '; rates ' || ['upheld', 'slid Down', 'fell.', 'stood', 'rosey'][o_custkey % 5 + 1]) AS t FROM orders))",
+    "t29_neutral_block": "SELECT doc_id, len(regexp_extract_all(b, '[a-z0-9]+')) = n AS matched, length(b)::INT AS chars, md5(b) AS hash FROM (SELECT doc_id, n, array_to_string(list_transform(range(0, n), lambda i: ['no', 'data', 'is', 'given', 'here.'][i % 5 + 1]), ' ') AS b FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM documents))",
 }

@@ -151,7 +151,8 @@ def p20(spark, d):
 
 
 def p21(spark, d):
-    raw = F.concat(F.lit("<think>\\boxed{x}</think> answer \\boxed{"), F.substring("text", 1, 5), F.lit("} and \\boxed{z}"))
+    key, boxed = F.col("conv_id") % 4, F.concat(F.lit("\\boxed{ "), "role", F.lit("\n}"))
+    raw = F.when(key == 0, F.concat(F.lit("<think>\\boxed{x}</think> so "), boxed, F.lit(" and \\boxed{z}"))).when(key == 1, F.concat(F.lit("<think>"), boxed, F.lit("</think> none"))).when(key == 2, boxed).otherwise(F.concat("text", F.lit("</think>\\boxed{"), F.length("text").cast("string"), F.lit("}")))
     return table(spark, d, "conversations").select("conv_id", "turn", T.boxed_vote(raw).alias("vote"))
 
 
@@ -210,7 +211,7 @@ ORACLE_SQL = {
     "p18_date_from_name": "SELECT o_orderkey, o_orderdate::DATE AS meeting_date FROM orders",
     "p19_coarse_vote": "SELECT CASE o_orderkey % 4 WHEN 0 THEN 'Raise' WHEN 1 THEN 'Cut' WHEN 2 THEN 'No change' ELSE 'Invalid' END AS vote, CASE o_orderkey % 4 WHEN 0 THEN 'Raise' WHEN 1 THEN 'Cut' WHEN 2 THEN 'No change' ELSE '' END AS vote_blank, count(*) AS n FROM orders GROUP BY ALL",
     "p20_rate_change_label": "SELECT o_orderkey, CASE WHEN abs(b) <= 12 THEN 'No change' ELSE (CASE WHEN b > 0 THEN 'Raise ' ELSE 'Cut ' END) || (CASE WHEN abs(b) >= 100 THEN '100' WHEN abs(b) >= 75 THEN '75' WHEN abs(b) >= 50 THEN '50' ELSE '25' END) || 'bp' END AS label FROM (SELECT o_orderkey, o_orderkey % 260 - 130 AS b FROM orders)",
-    "p21_boxed_vote": "SELECT conv_id, turn, trim(substring(text, 1, 5)) AS vote FROM conversations",
+    "p21_boxed_vote": "SELECT conv_id, turn, CASE conv_id % 4 WHEN 1 THEN '' WHEN 3 THEN length(text)::VARCHAR ELSE role END AS vote FROM conversations",
     "p22_missing_indicators": "SELECT o_orderkey, array_to_string(list_sort(list_filter([o_orderpriority, o_orderstatus, 'extra (a, b)'], lambda x: x NOT IN ('1-URGENT', '2-HIGH', 'F', 'O'))), '|') AS missing FROM orders",
     "p23_normalize_sources": "SELECT role, count(*) AS n, count(*) FILTER (WHERE '<think>' || chr(10) || trim(text) || chr(10) || '</think>' <> text) AS changed, sum(length(trim(text)) + 17)::BIGINT AS chars FROM conversations WHERE role = 'assistant' GROUP BY role",
     "p24_inventory_classes": "SELECT CASE WHEN regexp_matches(url, '\\.pdf$') THEN 'pdf' WHEN regexp_matches(url, 'page') THEN 'page' ELSE 'other' END AS kind, count(*) AS n FROM pages GROUP BY ALL",

@@ -10,7 +10,7 @@ from ..session import table
 
 
 def _c(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 60).alias("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
 
 
 def _response(spark, d):
@@ -96,8 +96,9 @@ def t13(spark, d):
 
 
 def t14(spark, d):
-    ids = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.when(F.col("o_orderkey") % 3 == 0, i % 20).otherwise((i * i + F.col("o_orderkey")) % 101))
-    return table(spark, d, "orders").where("o_orderkey < 300").select("o_orderkey", T.periodic_tail(ids).alias("periodic"))
+    key = F.col("o_orderkey")
+    ids = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.when(key % 4 == 0, i % 20).when(key % 4 == 1, i % 40).when(key % 4 == 2, F.when(i < 40, i + key).otherwise(i % 17)).otherwise((i * i + key) % 101))
+    return table(spark, d, "orders").select("o_orderkey", T.periodic_tail(ids).alias("periodic"))
 
 
 def t15(spark, d):
@@ -156,11 +157,13 @@ def t27(spark, d):
 
 
 def t28(spark, d):
-    a, b = F.concat(F.lit("head "), F.col("o_orderpriority"), F.lit(" tail")), F.lit("head  tail")
+    a = F.concat(F.lit("head "), F.col("o_orderpriority"), F.lit(" tail"))
+    b = F.when(F.col("o_orderkey") % 4 == 0, "head  tail").when(F.col("o_orderkey") % 4 == 1, "head tail").when(F.col("o_orderkey") % 4 == 2, "head  tale").otherwise(F.concat(F.lit("head "), F.substr("o_orderpriority", F.lit(3)), F.lit(" tail")))
     n = lambda x, y: F.aggregate(F.sequence(F.lit(1), F.least(F.length(x), F.length(y))), F.lit(0), lambda s, i: F.when((s == i - 1) & (F.substr(x, i, F.lit(1)) == F.substr(y, i, F.lit(1))), i).otherwise(s))
     prefix = n(a, b)
     suffix = F.least(n(F.reverse(a), F.reverse(b)), F.length(b) - prefix)
-    return table(spark, d, "orders").select("o_orderkey", (prefix + suffix == F.length(b)).alias("single_deletion"), F.substr(a, prefix + 1, F.length(a) - F.length(b)).alias("deleted"))
+    whole = prefix + suffix == F.length(b)
+    return table(spark, d, "orders").select("o_orderkey", whole.alias("single_deletion"), F.when(whole, F.substr(a, prefix + 1, F.length(a) - F.length(b))).alias("deleted"))
 
 
 def t30(spark, d):
@@ -168,12 +171,14 @@ def t30(spark, d):
 
 
 def t32(spark, d):
+    """Windows of 64 tokens every 48 with their weight, each token counting 1 / its coverage: of two windows that share a token each has half."""
+    size, stride = 64, 48
     n = F.size(T.tokens(F.col("text")))
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(48))
-    rows = table(spark, d, "documents").where("doc_id < 200").select("doc_id", n.alias("n"), F.explode(starts).alias("low")).withColumn("high", F.least(F.col("low") + 64, F.col("n")))
-    tokens_ = rows.select("doc_id", "n", F.explode(F.expr("CASE WHEN high > low THEN sequence(low, high - 1) END")).alias("i"))
-    cover = tokens_.groupBy("doc_id", "n", "i").agg(F.count("*").alias("windows"))
-    return cover.groupBy("doc_id").agg(F.max("n").alias("tokens"), F.count("*").alias("covered"), F.max("windows").alias("most"))
+    docs = table(spark, d, "documents").select("doc_id", n.alias("n")).where("n > 0")
+    rows = docs.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(stride))).alias("low")).withColumn("high", F.least(F.col("low") + size, F.col("n")))
+    before = F.when(F.col("low") > 0, F.greatest(F.lit(0), F.least(F.col("low") - stride + size, F.col("n")) - F.col("low"))).otherwise(0)
+    after = F.greatest(F.lit(0), F.col("high") - F.col("low") - stride)
+    return rows.select("doc_id", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), F.round(F.col("high") - F.col("low") - (before + after) / 2.0, 6).alias("weight"))
 
 
 def t33(spark, d):
@@ -189,8 +194,11 @@ def t34(spark, d):
 
 
 def t35(spark, d):
-    reason = F.when(F.col("conv_id") % 6 == 0, "length").otherwise("stop")
-    return table(spark, d, "conversations").select(F.when(reason == "length", "excluded").otherwise("scored").alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+    """What becomes of a completion: cut at the length limit, without a boundary, without an answer, or scored."""
+    r, p = F.col("response"), R.parse(F.col("response"))
+    cut = (F.length(r) > 80) & ~r.endswith("</answer>")
+    status = F.when(cut, "length").when(p["format"].isin("plain", "mixed"), "no boundary").when(p["answer"] == "", "no answer").otherwise("scored")
+    return _response(spark, d).groupBy(status.alias("status"), "role").agg(F.count("*").alias("n"))
 
 
 def _json(spark, d):
@@ -250,8 +258,15 @@ def r12(spark, d):
 
 
 def r13(spark, d):
-    s = lambda n: (F.col("o_orderkey") % n) / float(n)
-    return table(spark, d, "orders").select("o_orderkey", F.round(R.grounded(s(7), s(5), s(3), s(4), s(2), s(9)), 8).alias("reward"))
+    """The six parts from the text itself: label, words with digits, a closing stop, length, repetition and shouted words."""
+    w, raw = T.tokens(F.col("text")), F.split(F.col("text"), " ")
+    n = F.size(w)
+    share = lambda k: F.when(n > 0, k / n).otherwise(0.0)
+    digits = share(F.size(F.filter(w, lambda x: x.rlike("[0-9]"))))
+    shout = F.size(F.filter(raw, lambda x: x.endswith("!!"))) / F.size(raw)
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    score = R.grounded(F.col("quality").cast("double"), digits, F.col("text").endswith(".").cast("double"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(600) - n) / 300.0)), 1 - T.repetition_rate(w, 3), shout)
+    return docs.select("doc_id", F.round(score, 8).alias("reward"))
 
 
 def r15(spark, d):
@@ -261,8 +276,11 @@ def r15(spark, d):
 
 
 def r16(spark, d):
-    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.avg("l_discount").alias("old"), F.avg("l_tax").alias("new"))
-    return g.where("n >= 4").agg(F.count("*").alias("groups"), F.round(F.avg(F.col("new") - F.col("old")), 8).alias("change"), F.count_if(F.col("new") > F.col("old")).alias("better"))
+    """Both reward versions recomputed over the same completions, and where the later one pays more or less."""
+    x = R.decision(F.col("completion"))
+    rows = _json(spark, d).select(F.col("direction").alias("target"), R.decision_reward(x["direction"], x["magnitude_bp"], F.col("direction"), F.col("bp")).alias("old"), R.fenced_decision_reward(F.col("completion"), F.col("direction"), F.col("bp")).alias("new"))
+    change = F.col("new") - F.col("old")
+    return rows.groupBy("target").agg(F.count("*").alias("n"), F.round(F.avg("old"), 8).alias("old"), F.round(F.avg("new"), 8).alias("new"), F.count_if(change > 0).alias("better"), F.count_if(change < 0).alias("worse"))
 
 
 def r17(spark, d):
@@ -283,8 +301,12 @@ def v2(spark, d):
 
 
 def v3(spark, d):
-    s = lambda n: (F.col("o_orderkey") % n) / float(n)
-    return table(spark, d, "orders").select("o_orderkey", F.round(s(11) - s(7), 8).alias("delta"), F.round(1 - s(11), 8).alias("distance_full"), F.round(1 - s(7), 8).alias("distance_masked"))
+    """Each vector, its next as the masked one, and the one after that as the target: similarities, their difference and distances."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    other = lambda k, name: e.select((F.col("vec_id") - k).alias("vec_id"), F.col("embedding").alias(name))
+    rows = e.join(other(1, "masked"), "vec_id").join(other(2, "target"), "vec_id")
+    rows = rows.select("vec_id", R.cosine(F.col("embedding"), F.col("target")).alias("f"), R.cosine(F.col("masked"), F.col("target")).alias("m"), R.cosine(F.col("embedding"), F.col("masked")).alias("s"))
+    return rows.select("vec_id", F.round(F.col("f") - F.col("m"), 6).alias("delta"), F.round(1 - F.col("f"), 6).alias("distance_full"), F.round(1 - F.col("m"), 6).alias("distance_masked"), F.round(1 - F.col("s"), 6).alias("self_distance"))
 
 
 def v4(spark, d):
@@ -294,9 +316,12 @@ def v4(spark, d):
 
 
 def v5(spark, d):
-    base = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("whole"), F.count("*").alias("n"))
-    part = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
-    return part.join(base, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", F.round((F.col("whole") - (F.col("whole") - F.col("l_quantity"))) / F.col("n"), 8).alias("marginal"))
+    """What a line adds to its order's largest price: the value of all lines less that of all others."""
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber", "l_partkey")
+    li = table(spark, d, "lineitem").withColumn("place", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("l_extendedprice").over(order), F.lit(0.0)))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.when(F.col("place") == 1, F.col("l_extendedprice") - F.col("next")).otherwise(0.0), 4).alias("marginal"))
 
 
 def v6(spark, d):
@@ -325,6 +350,8 @@ _SCORE = lambda d, b: f"(0.05 + CASE WHEN {d} = td THEN 0.45 + 0.30 * greatest(0
 _STRICT = f"CASE k WHEN 0 THEN {_SCORE(chr(39) + 'hike' + chr(39), 25)} WHEN 1 THEN {_SCORE(chr(39) + 'cut' + chr(39), 50)} WHEN 2 THEN {_SCORE(chr(39) + 'hold' + chr(39), 0)} ELSE 0 END"
 
 ORACLE_SQL = {
+    "r17_concision": f"SELECT doc_id, round(greatest(0, least(1, (600 - n) / 300)) * (1 - least(1, 4 * CASE WHEN len(g) > 0 THEN 1 - len(list_distinct(g)) / len(g) ELSE 0 END)), 8)::DOUBLE AS concision FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n, {_GRAM('w', 4)} AS g FROM (SELECT doc_id, text, {_TOK} AS w FROM documents))",
+    "t14_periodic_tail": "SELECT o_orderkey, len(list_filter(range(16, 34), lambda p: l[101 - p:100] = l[101 - 2 * p:100 - p] AND l[101 - p:100] = l[101 - 3 * p:100 - 2 * p])) > 0 AS periodic FROM (SELECT o_orderkey, list_transform(range(0, 100), lambda i: CASE o_orderkey % 4 WHEN 0 THEN i % 20 WHEN 1 THEN i % 40 WHEN 2 THEN CASE WHEN i < 40 THEN i + o_orderkey ELSE i % 17 END ELSE (i * i + o_orderkey) % 101 END) AS l FROM orders)",
     "t1_parse_response": f"SELECT conv_id, turn, CASE WHEN k IN (0, 1, 2) THEN t ELSE '' END AS reasoning, CASE WHEN k IN (0, 1, 2) THEN role WHEN k = 3 THEN '<think>' || t || '</think> no tags <|channel>' ELSE t END AS answer, ['xml', 'channel', 'boundary', 'mixed', 'plain'][k + 1] AS format, k <= 2 AS well_formed FROM ({_R})",
     "t2_candidate": f"SELECT conv_id, turn, CASE k WHEN 0 THEN role WHEN 1 THEN '<|channel>thought' || chr(10) || t || '<channel|>' || role WHEN 2 THEN t || chr(10) || '</think>' || chr(10) || role WHEN 3 THEN '<think>' || t || '</think> no tags <|channel>' ELSE t END AS candidate FROM ({_R})",
     "t3_render_response": f"SELECT conv_id, turn, '<think>' || chr(10) || t || chr(10) || '</think>' || chr(10) || '<answer>' || chr(10) || role || chr(10) || '</answer>' AS xml FROM ({_R}) WHERE k = 1",
@@ -335,11 +362,11 @@ ORACLE_SQL = {
     "t8_html_fields": "SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), chr(10) || chr(9) || chr(13) || ' ') AS title, len(regexp_extract_all(html, '(?i)<p[ >]'))::INT AS paragraphs FROM pages",
     "t9_html_paragraphs": "SELECT page_id, (i - 1)::INT AS position, md5(x) AS paragraph FROM (SELECT page_id, i, trim(regexp_replace(regexp_replace(p[i], '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<p(?: [^>]*)?>(.*?)</p>', 1) AS p FROM pages))) WHERE x <> ''",
     "t10_shared_windows": f"WITH b AS (SELECT item_id, unnest(list_distinct({_GRAM('w', 8)})) AS g FROM (SELECT item_id, {_TOK} AS w FROM benchmark)), d AS (SELECT doc_id, unnest(list_distinct({_GRAM('w', 8)})) AS g FROM (SELECT doc_id, {_TOK} AS w FROM documents)) SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (g) GROUP BY ALL",
-    "t11_ngram_overlap": f"WITH c AS (SELECT conv_id, turn, {_GRAM('w', 2)} AS g FROM (SELECT conv_id, turn, regexp_extract_all(lower(substring(text, 1, 60)), '[a-z0-9]+') AS w FROM conversations)) SELECT a.conv_id, len(list_intersect(a.g, b.g))::INT AS shared, len(list_distinct(a.g))::INT AS own FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1",
+    "t11_ngram_overlap": f"WITH c AS (SELECT conv_id, turn, {_GRAM('w', 2)} AS g FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations)) SELECT a.conv_id, len(list_intersect(a.g, b.g))::INT AS shared, len(list_distinct(a.g))::INT AS own FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1",
     "t12_repetition_penalty": f"SELECT doc_id, round(CASE WHEN len(g) > len(list_distinct(g)) THEN (1 - len(list_distinct(g)) / len(g)) * -1.0 ELSE 0 END, 8)::DOUBLE AS penalty FROM (SELECT doc_id, {_GRAM('w', 3)} AS g FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents))",
     "t13_repetition_rate": f"SELECT doc_id, round(CASE WHEN len(g) > 0 THEN 1 - len(list_distinct(g)) / len(g) ELSE 0 END, 8)::DOUBLE AS rate FROM (SELECT doc_id, {_GRAM('w', 3)} AS g FROM (SELECT doc_id, {_TOK} AS w FROM documents))",
     "t15_degeneration": f"SELECT doc_id, f AS failures, f = '' AS valid FROM (SELECT doc_id, array_to_string(list_filter([CASE WHEN len(g) > 0 AND 1 - len(list_distinct(g)) / len(g) >= 0.5 THEN 'repetition' END, CASE WHEN length(text) > 8000 THEN 'cap' END, CASE WHEN NOT ends_with(trim(text), '.') THEN 'eos' END], lambda x: x IS NOT NULL), ',') AS f FROM (SELECT doc_id, text, {_GRAM('w', 4)} AS g FROM (SELECT doc_id, text, {_TOK} AS w FROM documents)))",
-    "t16_lexical_jaccard": "WITH c AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(substring(text, 1, 60)), '[a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ('the', 'and', 'of', 'to', 'in', 'que', 'les', 'der', 'die'))) AS w FROM conversations) SELECT a.conv_id, round(CASE WHEN len(list_distinct(list_concat(a.w, b.w))) > 0 THEN len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) ELSE 0 END, 8)::DOUBLE AS jaccard FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1",
+    "t16_lexical_jaccard": "WITH c AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ('the', 'and', 'of', 'to', 'in', 'que', 'les', 'der', 'die'))) AS w FROM conversations) SELECT a.conv_id, round(CASE WHEN len(list_distinct(list_concat(a.w, b.w))) > 0 THEN len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) ELSE 0 END, 8)::DOUBLE AS jaccard FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1",
     "t20_polarity": f"SELECT doc_id, round((p - n) / greatest(1, p + n), 8)::DOUBLE AS polarity FROM (SELECT doc_id, len(list_filter(w, lambda x: x IN ('the', 'and', 'que'))) AS p, len(list_filter(w, lambda x: x IN ('of', 'les', 'der'))) AS n FROM (SELECT doc_id, {_TOK} AS w FROM documents))",
     "t21_lexicon_stance": f"SELECT doc_id, CASE WHEN len(w) > 0 THEN round((len(regexp_extract_all(text, '\\bthe\\b')) - len(regexp_extract_all(text, '\\bof\\b'))) / len(w), 8) END AS stance FROM (SELECT doc_id, text, {_TOK} AS w FROM documents)",
     "t22_numbers": "SELECT o_orderkey, 3::INT AS n, round(o_totalprice, 2) AS first FROM orders",
@@ -347,12 +374,12 @@ ORACLE_SQL = {
     "t24_display_precision": "SELECT o_orderkey, round(v, 1) = round(round(v, 2), 1) AS same, round(v, 1)::DOUBLE AS shown FROM (SELECT o_orderkey, o_totalprice::DECIMAL(18, 4) AS v FROM orders)",
     "t25_numeric_support": "SELECT count(*) FILTER (WHERE abs(o_totalprice * (1 + 1e-7) - o_totalprice) <= greatest(1.0, abs(o_totalprice)) * 1e-6) AS supported, count(*) AS n FROM orders",
     "t27_format_check": f"SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN k <> 0 THEN 'order' END, CASE WHEN (CASE k WHEN 0 THEN 69 + length(role) WHEN 1 THEN 58 + length(role) WHEN 2 THEN 42 + length(role) WHEN 3 THEN 67 ELSE 34 END) > 90 THEN 'long' END, CASE WHEN k IN (1, 3) THEN 'forbidden' END], lambda x: x IS NOT NULL), ',') AS failures FROM ({_R})",
-    "t28_single_deletion": "SELECT o_orderkey, true AS single_deletion, o_orderpriority AS deleted FROM orders",
+    "t28_single_deletion": "SELECT o_orderkey, k IS NOT NULL AS single_deletion, CASE WHEN k IS NOT NULL THEN substr(a, k + 1, length(a) - length(b)) END AS deleted FROM (SELECT o_orderkey, a, b, list_max(list_filter(range(0, length(b) + 1), lambda k: left(a, k) || right(a, length(b) - k) = b)) AS k FROM (SELECT o_orderkey, 'head ' || o_orderpriority || ' tail' AS a, CASE o_orderkey % 4 WHEN 0 THEN 'head  tail' WHEN 1 THEN 'head tail' WHEN 2 THEN 'head  tale' ELSE 'head ' || substr(o_orderpriority, 3) || ' tail' END AS b FROM orders))",
     "t30_top_level_split": "SELECT o_orderkey, 'GDP (real, yearly)|' || o_orderpriority || '|CPI' AS parts FROM orders",
-    "t32_window_cover": f"SELECT doc_id, n::INT AS tokens, n AS covered, (CASE WHEN n > 48 THEN 2 ELSE 1 END)::BIGINT AS most FROM (SELECT doc_id, len({_TOK}) AS n FROM documents WHERE doc_id < 200) WHERE n > 0",
+    "t32_window_cover": f"WITH n AS (SELECT doc_id, len({_TOK}) AS n FROM documents), w AS (SELECT doc_id, n, unnest(range(0, n, 48)) AS low FROM n WHERE n > 0), x AS (SELECT doc_id, low, least(low + 64, n) AS high, unnest(range(low, least(low + 64, n))) AS i FROM w), c AS (SELECT doc_id, i, count(*) AS c FROM x GROUP BY ALL) SELECT doc_id, low, high, round(sum(1.0 / c), 6)::DOUBLE AS weight FROM x JOIN c USING (doc_id, i) GROUP BY ALL",
     "t33_token_budget": "SELECT CASE WHEN n + 200 <= 512 THEN 'fits' WHEN n <= 512 THEN 'no room' ELSE 'too long' END AS gate, count(*) AS n FROM (SELECT CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) END AS n FROM documents) GROUP BY 1",
     "t34_answer_projection": f"SELECT conv_id, turn, CASE k WHEN 0 THEN '<answer>' || chr(10) || role || chr(10) || '</answer>' WHEN 2 THEN role ELSE 'no tags <|channel>' END AS answer FROM ({_R}) WHERE k IN (0, 2, 3)",
-    "t35_completion_policy": "SELECT CASE WHEN conv_id % 6 = 0 THEN 'excluded' ELSE 'scored' END AS status, count(*) AS n FROM conversations GROUP BY ALL",
+    "t35_completion_policy": f"SELECT CASE WHEN len > 80 AND k <> 0 THEN 'length' WHEN k IN (3, 4) THEN 'no boundary' WHEN role = '' THEN 'no answer' ELSE 'scored' END AS status, role, count(*) AS n FROM (SELECT role, k, CASE k WHEN 0 THEN 69 + length(role) WHEN 1 THEN 58 + length(role) WHEN 2 THEN 42 + length(role) WHEN 3 THEN 67 ELSE 34 END AS len FROM ({_R})) GROUP BY ALL",
     "t36_decision_json": f"SELECT o_orderkey, CASE k WHEN 0 THEN 'hike' WHEN 1 THEN 'cut' WHEN 2 THEN 'hold' END AS direction, (CASE k WHEN 0 THEN 25 WHEN 1 THEN 50 WHEN 2 THEN 0 END)::INT AS magnitude_bp FROM ({_J})",
     "r1_format": f"SELECT conv_id, turn, (k <= 2)::INT::DOUBLE AS reward FROM ({_R})",
     "r2_tag_count": f"SELECT conv_id, turn, [1.0, 0.0, 0.25, 0.5, 0.0][k + 1]::DOUBLE AS reward FROM ({_R})",
@@ -363,13 +390,13 @@ ORACLE_SQL = {
     "r8_code_format": "SELECT o_orderkey, (o_orderkey % 2 = 0)::INT::DOUBLE AS reward FROM orders",
     "r11_decision_v2": f"SELECT o_orderkey, round({_STRICT}, 8)::DOUBLE AS reward FROM ({_J})",
     "r12_decision_v3": f"SELECT o_orderkey, round(CASE WHEN k = 3 THEN 0.25 * ({_SCORE(chr(39) + 'hold' + chr(39), 0)} - 0.05) ELSE {_STRICT} END, 8)::DOUBLE AS reward FROM ({_J})",
-    "r13_grounded": "SELECT o_orderkey, round(0.5 * (o_orderkey % 7) / 7 + 0.25 * (o_orderkey % 5) / 5 + 0.15 * (o_orderkey % 3) / 3 + 0.05 * (o_orderkey % 4) / 4 + 0.05 * (o_orderkey % 2) / 2 - least(0.5, (o_orderkey % 9) / 9), 8)::DOUBLE AS reward FROM orders",
+    "r13_grounded": f"SELECT doc_id, round(0.5 * quality + 0.25 * CASE WHEN n > 0 THEN len(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))) / n ELSE 0 END + 0.15 * ends_with(text, '.')::INT + 0.05 * greatest(0, least(1, (600 - n) / 300)) + 0.05 * (1 - CASE WHEN len(g) > 0 THEN 1 - len(list_distinct(g)) / len(g) ELSE 0 END) - least(0.5, len(list_filter(string_split(text, ' '), lambda x: ends_with(x, '!!'))) / len(string_split(text, ' '))), 8)::DOUBLE AS reward FROM (SELECT doc_id, quality, text, w, len(w) AS n, {_GRAM('w', 3)} AS g FROM (SELECT doc_id, quality, text, {_TOK} AS w FROM documents JOIN labels USING (doc_id)))",
     "r15_violation_quotes": "SELECT doc_id, contains(lower(regexp_replace(text, '\\s', '', 'g')), lower(regexp_replace(substring(text, 3, 9) || CASE WHEN doc_id % 3 = 0 THEN 'ZZZ' ELSE '' END, '\\s', '', 'g'))) AS valid FROM documents",
-    "r16_reward_replay": "SELECT count(*) AS groups, round(avg(n2 - o2), 8) AS change, count(*) FILTER (WHERE n2 > o2) AS better FROM (SELECT avg(l_discount) AS o2, avg(l_tax) AS n2, count(*) AS n FROM lineitem GROUP BY l_orderkey) WHERE n >= 4",
+    "r16_reward_replay": f"SELECT target, count(*) AS n, round(avg(o), 8) AS old, round(avg(w), 8) AS new, count(*) FILTER (WHERE w > o) AS better, count(*) FILTER (WHERE w < o) AS worse FROM (SELECT td AS target, ({_STRICT})::DOUBLE AS o, (CASE WHEN k = 3 THEN 0.25 * ({_SCORE(chr(39) + 'hold' + chr(39), 0)} - 0.05) ELSE {_STRICT} END)::DOUBLE AS w FROM ({_J})) GROUP BY ALL",
     "v1_cosine": "SELECT a.vec_id, round(list_dot_product(a.e, b.e) / greatest(1e-6, sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS cosine FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON b.vec_id = a.vec_id + 1",
     "v2_mean_pooling": "SELECT label, (i - 1)::INT AS k, round(sum(x * w) / sum(w), 6) AS mean FROM (SELECT label, vec_id % 3 + 1 AS w, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL",
-    "v3_leave_one_out": "SELECT o_orderkey, round((o_orderkey % 11) / 11 - (o_orderkey % 7) / 7, 8) AS delta, round(1 - (o_orderkey % 11) / 11, 8) AS distance_full, round(1 - (o_orderkey % 7) / 7, 8) AS distance_masked FROM orders",
+    "v3_leave_one_out": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), r AS (SELECT a.vec_id, list_dot_product(a.e, c.e) / greatest(1e-6, sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(c.e, c.e))) AS f, list_dot_product(b.e, c.e) / greatest(1e-6, sqrt(list_dot_product(b.e, b.e)) * sqrt(list_dot_product(c.e, c.e))) AS m, list_dot_product(a.e, b.e) / greatest(1e-6, sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS s FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 JOIN e c ON c.vec_id = a.vec_id + 2) SELECT vec_id, round(f - m, 6) AS delta, round(1 - f, 6) AS distance_full, round(1 - m, 6) AS distance_masked, round(1 - s, 6) AS self_distance FROM r",
     "v4_distinct_text_cache": f"SELECT doc_id, len({_TOK})::INT AS score FROM documents",
-    "v5_marginal": "SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity / count(*) OVER (PARTITION BY l_orderkey), 8) AS marginal FROM lineitem",
+    "v5_marginal": "SELECT l_orderkey, l_linenumber, l_partkey, round(max(l_extendedprice) OVER (PARTITION BY l_orderkey) - coalesce(greatest(max(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), max(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)), 0), 4) AS marginal FROM lineitem",
     "v6_welch": "WITH q AS (SELECT l_returnflag, avg(l_quantity) AS m, var_samp(l_quantity) AS v, count(*) AS n FROM lineitem GROUP BY 1) SELECT a.l_returnflag, round((a.m - b.m) / b.m * 100, 6) AS delta_percent, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t, round(pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)), 3) AS df FROM q a, q b WHERE b.l_returnflag = 'N' AND a.l_returnflag <> 'N'",
 }
