@@ -206,3 +206,18 @@ def hex_mod(hex_text: Column, modulus: int) -> Column:
     """A hexadecimal text as a whole number modulo `modulus`, folded digit by digit."""
     digits = F.transform(F.split(hex_text, ""), lambda d: F.instr(F.lit("0123456789abcdef"), d) - 1)
     return F.aggregate(F.filter(digits, lambda d: d >= 0), F.lit(0).cast("long"), lambda a, d: (a * 16 + d) % modulus)
+
+
+def release_evidence(df, html: str, day: str):
+    """Adds evidence, release_date and lag_days to pages of a calendar.
+
+    Only what follows the link of the exact day's minutes, up to the end of its paragraph,
+    counts; one date there is the release, several different ones are ambiguous.
+    """
+    link = F.concat(F.lit(r'(?is)<a\s[^>]*href="[^"]*minutes'), F.date_format(day, "yyyyMMdd"), F.lit(r'\.html?"[^>]*>[^<]*</a>(.*?)</p>'))
+    own = F.regexp_extract_all(F.col(html), link, F.lit(1))
+    said = F.flatten(F.transform(own, lambda x: F.regexp_extract_all(x, F.lit(r"(?i)released\s+([a-z]+ \d{1,2}, \d{4})"), F.lit(1))))
+    dates = F.array_distinct(F.transform(said, lambda x: F.to_date(x, "MMMM d, yyyy")))
+    kind = F.when(F.size(own) == 0, "none").when(F.size(dates) == 0, "link only").when(F.size(dates) > 1, "ambiguous").otherwise("released")
+    out = df.withColumn("evidence", kind).withColumn("release_date", F.when(F.col("evidence") == "released", F.element_at(dates, 1)))
+    return out.withColumn("lag_days", F.datediff("release_date", day))

@@ -61,6 +61,12 @@ def sign_flip(df: DataFrame, group: str, key: str, value: str, exact_upto: int =
     return exact.unionByName(counted)
 
 
+def label_swap(df: DataFrame, group: str, unit: str, a: Column, b: Column, weight: Column | None = None) -> DataFrame:
+    """Exact p per group over all swaps of two models' labels within units (at most 20): the share whose weighted difference is as large."""
+    own = df.select(group, unit, ((a - b) * (F.lit(1.0) if weight is None else weight)).alias("_w"))
+    return exact_sign_flip(own.groupBy(group, unit).agg(F.sum("_w").alias("_w")), group, "_w")
+
+
 def _incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta by its continued fraction."""
     if x <= 0 or x >= 1:
@@ -135,12 +141,15 @@ def ols(df: DataFrame, by: str, y: str, xs: list[str], order: str, lags: int | N
 
 
 def mcnemar(a_only: Column, b_only: Column) -> Column:
-    """Exact two-sided binomial p of the discordant counts."""
+    """Exact two-sided binomial p of the discordant counts; terms are relative to the largest, so that no count underflows."""
     n, k = a_only + b_only, F.least(a_only, b_only)
-    # Sum of C(n, i) / 2**n for i up to k, by the running ratio of terms.
-    start = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.pow(F.lit(0.5), n).alias("sum"))
-    tail = F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1)).cast("int")), start, lambda s, i: F.when(i <= k, F.struct((s["term"] * (n - i + 1) / i).alias("term"), (s["sum"] + s["term"] * (n - i + 1) / i).alias("sum"))).otherwise(s), lambda s: s["sum"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    steps = F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1)).cast("long"))
+    log_top = F.aggregate(steps, F.lit(0.0), lambda s, i: F.when(i <= k, s + F.log((n - k + i) / i)).otherwise(s)) - n * F.log(F.lit(2.0))
+    # C(n, k - i) / C(n, k - i + 1), from the largest term down.
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    lower = lambda s, i: s["term"] * (k - i + 1) / (n - k + i)
+    tail = F.aggregate(steps, start, lambda s, i: F.when(i <= k, F.struct(lower(s, i).alias("term"), (s["sum"] + lower(s, i)).alias("sum"))).otherwise(s), lambda s: s["sum"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail * F.exp(log_top)))
 
 
 def argmax_label(labels: list[str], probabilities: Column, slack: float = 1e-12) -> Column:

@@ -147,9 +147,10 @@ def e6(spark, d):
 
 def x4(spark, d):
     o = table(spark, d, "orders")
-    a, b = F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 2 == 0
-    n = o.groupBy("o_orderpriority").agg(F.count_if(a & ~b).alias("a_only"), F.count_if(b & ~a).alias("b_only"), F.count_if(a & b).alias("both")).withColumn("p", I.mcnemar(F.least(F.col("a_only"), F.lit(12)), F.least(F.col("b_only"), F.lit(9))))
-    return I.holm(n.withColumn("panel", F.lit(1)), "p", ["panel"], ["o_orderpriority"]).select("o_orderpriority", "a_only", "b_only", "both", F.round("p", 8).alias("p"))
+    a, b = F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 3 == 1
+    n = o.groupBy("o_orderpriority").agg(F.count_if(a & ~b).alias("a_only"), F.count_if(b & ~a).alias("b_only"), F.count_if(a & b).alias("n_both")).withColumn("p", I.mcnemar(F.col("a_only"), F.col("b_only")))
+    out = I.holm(n.withColumn("panel", F.lit(1)), "p", ["panel"], ["o_orderpriority"])
+    return out.select("o_orderpriority", "a_only", "b_only", "n_both", F.round("p", 8).alias("p"), F.round("p_adjusted", 8).alias("p_adjusted"))
 
 
 def x6(spark, d):
@@ -226,6 +227,7 @@ _NUM = lambda s: f"unnest(regexp_extract_all({s}, '[-+]?[0-9]+'))"
 _REWRITTEN = "replace(replace(text, '17', '18'), '-', ' ')"
 
 ORACLE_SQL = {
+    "x4_mcnemar": "WITH n AS (SELECT o_orderpriority, count(*) FILTER (WHERE o_orderkey % 3 = 0 AND o_custkey % 3 <> 1) AS a_only, count(*) FILTER (WHERE o_custkey % 3 = 1 AND o_orderkey % 3 <> 0) AS b_only, count(*) FILTER (WHERE o_orderkey % 3 = 0 AND o_custkey % 3 = 1) AS n_both FROM orders GROUP BY ALL), t AS (SELECT o_orderpriority, a_only + b_only AS n, unnest(range(0, least(a_only, b_only) + 1)) AS i FROM n), p AS (SELECT o_orderpriority, least(1, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))) AS p FROM t GROUP BY ALL), h AS (SELECT *, least(1, p * (count(*) OVER () + 1 - row_number() OVER (ORDER BY p, o_orderpriority))) AS q FROM n JOIN p USING (o_orderpriority)) SELECT o_orderpriority, a_only, b_only, n_both, round(p, 8) AS p, round(max(q) OVER (ORDER BY p, o_orderpriority), 8) AS p_adjusted FROM h",
     "x15_tolerance_winner": "WITH s AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey DESC) AS r, row_number() OVER (PARTITION BY s_nationkey ORDER BY (s_suppkey % 5 = 0) DESC, s_acctbal DESC, s_suppkey DESC) AS f FROM supplier), b AS (SELECT s_nationkey, max(s_acctbal) FILTER (WHERE r = 1) AS best, max(s_suppkey) FILTER (WHERE r = 1) AS winner, max(s_acctbal) FILTER (WHERE f = 1 AND s_suppkey % 5 = 0) AS fixed, max(s_suppkey) FILTER (WHERE f = 1 AND s_suppkey % 5 = 0) AS k FROM s GROUP BY ALL) SELECT s_nationkey, CASE WHEN fixed >= best * 0.95 THEN k ELSE winner END AS selected FROM b",
     "b7_futures_moves": "WITH o AS (SELECT o_orderkey, day(o_orderdate) AS d, day(last_day(o_orderdate)) AS n, 5 + (o_orderkey % 40) / 100 AS m FROM orders), p AS (SELECT o_orderkey, round(100 * ((n * m - d * 5.1::DOUBLE) / (n - d) - 5.1::DOUBLE), 6) + 0 AS bp FROM o WHERE n > d), q AS (SELECT o_orderkey, bp, greatest(-100, least(100, bp)) AS w FROM p) SELECT o_orderkey, bp, (floor(w / 25) * 25)::INT AS low, round(1 - (w - floor(w / 25) * 25) / 25, 8) AS p_low, round((w - floor(w / 25) * 25) / 25, 8) AS p_high FROM q",
     "i1_one_sample_t": "SELECT c_nationkey, count(*) AS n, round(avg(e), 6) AS mean, CASE WHEN stddev_samp(e) <> 0 THEN round(avg(e) / (stddev_samp(e) / sqrt(count(*))), 6) END AS t FROM (SELECT c_nationkey, c_acctbal - 4500 AS e FROM customer) GROUP BY ALL",

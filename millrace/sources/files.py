@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,3 +112,60 @@ def vintages_long(df: DataFrame, date: str, series: str) -> DataFrame:
     wide = [c for c in df.columns if c.startswith(f"{series}_")]
     long = df.unpivot([date], wide, "vintage", "value")
     return long.select(date, F.to_date(F.regexp_extract("vintage", r"_(\d{8})$", 1), "yyyyMMdd").alias("vintage_date"), "value")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which executors share; a local one only for a local master that names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(root or '/tmp/checkpoints/millrace').rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("member", T.StringType()), T.StructField("text", T.StringType())])))
+def zip_members(content: pd.Series) -> pd.Series:
+    """Name and text of the files in each archive."""
+
+    def members(raw):
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            return [{"member": n, "text": z.read(n).decode("utf-8-sig")} for n in sorted(z.namelist())]
+
+    return content.map(lambda raw: None if raw is None else members(raw))
+
+
+def zipped_vintages(archives: DataFrame, content: str = "content") -> DataFrame:
+    """(date, vintage_date, value) of archives of CSV files, each with a date column and SERIES_YYYYMMDD columns.
+
+    Columns of all files are rows at once, so no wide table has to be merged; a vintage and
+    date that two files give with different values is an error.
+    """
+    files = archives.select(F.explode(zip_members(F.col(content))).alias("m")).select(F.split(F.trim("m.text"), "\r?\n").alias("lines"))
+    rows = files.select(F.split(F.col("lines")[0], ",").alias("head"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line")).select("head", F.split("line", ",").alias("cells"))
+    cells = rows.select(F.to_date(F.col("cells")[0]).alias("date"), F.posexplode(F.arrays_zip(F.slice("head", 2, F.size("head")).alias("name"), F.slice("cells", 2, F.size("head")).alias("text"))).alias("k", "c"))
+    value = finite_number(F.when(~F.trim("c.text").isin(*MISSING), F.trim("c.text")))
+    long = cells.select("date", F.to_date(F.regexp_extract("c.name", r"_(\d{8})$", 1), "yyyyMMdd").alias("vintage_date"), value.alias("value")).where("value is not null")
+    one = long.groupBy("date", "vintage_date").agg(F.min("value").alias("value"), F.max("value").alias("_high"))
+    return one.select("date", "vintage_date", F.when(F.col("value") == F.col("_high"), F.col("value")).otherwise(F.raise_error(F.lit("two values of one vintage")).cast("double")).alias("value"))
+
+
+def table_hash(df: DataFrame) -> str:
+    """A hash of a table's rows in any order: rows are hashed where they are and only 32 hexadecimal sums meet."""
+    digest = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
+    parts = [F.sum(F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"p{k}") for k in range(8)]
+    return df.agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *(p.cast("string") for p in parts)), 256)).first()[0]
+
+
+def write_plan(df: DataFrame, path: str) -> str:
+    """A plan table and its hash beside it; neither may exist."""
+    df.write.mode("error").parquet(path)
+    found = table_hash(df.sparkSession.read.parquet(path))
+    df.sparkSession.createDataFrame([(found,)], "hash string").coalesce(1).write.mode("error").json(f"{path}.hash")
+    return found
+
+
+def read_plan(spark: SparkSession, path: str) -> DataFrame:
+    """The plan, if it still has the hash that was written with it; an error else."""
+    df = spark.read.parquet(path)
+    if table_hash(df) != spark.read.schema("hash string").json(f"{path}.hash").first()[0]:
+        raise ValueError(f"{path} is not the plan that was written")
+    return df

@@ -33,7 +33,7 @@ def test_query(spark, con, name):
     if name in SQL:
         assert compare(spark, con, FOUND[name], SQL[name], SF) == ""
     else:
-        assert FOUND[name](spark, SF).columns
+        assert FOUND[name](spark, SF).collect() is not None
 
 
 def test_sql_has_queries():
