@@ -6,8 +6,10 @@ the method: the words around a seed are lexical patterns, "a b _" (two words bef
 the same contexts.  Spark scores the graph of patterns and instances in rounds: a
 pattern's score for a kind is the share of its occurrences that are instances of that
 kind, shrunk towards 0 by SHRINK; a candidate's score is the best of its patterns'.
-Patterns of score CONFIDENT or more that at least SUPPORT different seeds back name the
-candidates that fit the kind's characters; those spans are added to the base ones.
+A candidate of score CONFIDENT or more is an instance like a seed: it backs the patterns
+around it, so the next round may score patterns that no seed has.  Patterns of score
+CONFIDENT or more that at least SUPPORT different instances back name the candidates that
+fit the kind's characters; those spans are added to the base ones.
 Contexts that all kinds share score low for each, so ordinary prose names nothing.
 
 Null texts are empty.  Every input row gives one output row, repeated rows and null ids
@@ -30,9 +32,10 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 5
 CONFIDENT = 0.8
 SHRINK = 0.5
-ROUNDS = 3
-#: Characters on either side that a context is taken from, and the longest candidate.
-AROUND, LONGEST = 48, 64
+#: Rounds at most; they end when no score changes by SETTLED.
+ROUNDS, SETTLED = 8, 1e-3
+#: Characters on either side that a context is taken from.
+AROUND = 48
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,7 +44,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){15,}")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_NUMBER = re.compile(r"(?<![\w+.@-])[(]?[0-9][0-9\x20().:-]{4,40}[0-9](?![\w@])")
+_NUMBER = re.compile(r"(?<![\w+.@-])[(]?[0-9][0-9\x20().:-]{4,}[0-9](?![\w@])")
 _WORD = re.compile(r"[^\W\d_]+|[=:#]")
 
 
@@ -102,9 +105,9 @@ def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     at = text.find("@")
     while at >= 0:
         s, e = at, at + 1
-        while s > 0 and at - s < LONGEST and not text[s - 1].isspace() and text[s - 1] != "@":
+        while s > 0 and not text[s - 1].isspace() and text[s - 1] != "@":
             s -= 1
-        while e < len(text) and e - at < LONGEST and not text[e].isspace() and text[e] != "@":
+        while e < len(text) and not text[e].isspace() and text[e] != "@":
             e += 1
         if s < at < e - 1:
             found.append((s, e))
@@ -170,24 +173,30 @@ def _scan(docs: DataFrame, extra: list[str]) -> DataFrame:
 
 
 def confident_patterns(found: DataFrame) -> DataFrame:
-    """(pattern, kind) of confident patterns; found: (value, seed, fits, patterns) occurrences."""
+    """(pattern, kind, score) of confident patterns; found: (value, seed, fits, patterns) occurrences."""
     edges = found.select("value", "seed", "fits", F.explode("patterns").alias("pattern"))
     edges = settle(edges.groupBy("pattern", "value", "seed").agg(F.count("*").alias("n"), F.first("fits").alias("fits")), "edges")
-    seeds = edges.where("seed >= 0")
-    backing = seeds.groupBy("pattern", F.col("seed").alias("kind")).agg(F.countDistinct("value").alias("support")).where(F.col("support") >= SUPPORT)
     total = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
-    # Patterns that no kind backs can never become confident, so the rounds go on without them.
-    live = backing.join(total, "pattern")
-    live = settle(live, "live")
-    mine = settle(edges.join(live, "pattern").select("pattern", "kind", "value", "n", "total", (F.col("seed") == F.col("kind")).alias("is_seed"), F.array_contains("fits", F.col("kind")).alias("fit"), (F.col("seed") < 0).alias("open")), "mine")
-    instance = None
+    kinds = F.when(F.col("seed") >= 0, F.array("seed")).otherwise(F.col("fits"))
+    own = edges.select("pattern", "value", "n", (F.col("seed") >= 0).alias("is_seed"), F.explode(kinds).alias("kind"))
+    # A pattern with fewer values of a kind's characters than SUPPORT cannot be backed in any round.
+    able = own.groupBy("pattern", "kind").agg(F.countDistinct("value").alias("values")).where(F.col("values") >= SUPPORT).join(total, "pattern").select("pattern", "kind", "total")
+    mine = settle(own.join(able, ["pattern", "kind"]), "mine")
+    instance, pattern, before = None, None, None
     for _ in range(ROUNDS):
-        own = mine if instance is None else mine.join(instance, ["value", "kind"], "left")
+        now = mine if instance is None else mine.join(instance, ["value", "kind"], "left")
         guess = F.lit(0.0) if instance is None else F.coalesce("instance", F.lit(0.0))
-        weight = F.when(F.col("is_seed"), F.lit(1.0)).when(F.col("open") & F.col("fit"), guess).otherwise(F.lit(0.0))
-        pattern = settle(own.groupBy("pattern", "kind", "total").agg((F.sum(weight * F.col("n")) / (F.col("total") + SHRINK)).alias("score")).select("pattern", "kind", "score"), "pattern")
-        instance = mine.where("open and fit").join(pattern, ["pattern", "kind"]).groupBy("value", "kind").agg(F.max("score").alias("instance"))
-    return pattern.where(F.col("score") >= CONFIDENT).select("pattern", "kind", "score")
+        weight = F.when(F.col("is_seed"), F.lit(1.0)).otherwise(guess)
+        score = F.sum(F.col("weight") * F.col("n")) / (F.first("total") + SHRINK)
+        backed = F.countDistinct(F.when(F.col("weight") >= CONFIDENT, F.col("value"))) >= SUPPORT
+        rows = now.withColumn("weight", weight).groupBy("pattern", "kind").agg(score.alias("score"), backed.alias("backed"))
+        pattern = settle(rows.where("backed").select("pattern", "kind", "score"), "pattern")
+        state = pattern.agg(F.count("*"), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+        if before is not None and state[0] == before[0] and abs(state[1] - before[1]) <= SETTLED:
+            break
+        before = state
+        instance = mine.where("not is_seed").join(pattern, ["pattern", "kind"]).groupBy("value", "kind").agg(F.max("score").alias("instance"))
+    return pattern.where(F.col("score") >= CONFIDENT)
 
 
 def find(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

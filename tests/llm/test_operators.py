@@ -209,6 +209,33 @@ def test_pii_context(spark):
     assert red[99].text == "other words reach desk phone <phone> now and again" and red[99].n_chars == len(red[99].text)
 
 
+def test_pii_patterns_of_found_instances(spark):
+    """Numbers found in the seeds' context induce a context that no seed has, and that one names others."""
+    rows = [f"some words reach desk phone +1 (555) 010-{k:04d} now and then" for k in range(12)]
+    rows += [f"some words reach desk phone 0555 01{k:05d} now and then" for k in range(8)]
+    rows += [f"leave it for night porter 0555 01{k:05d} says he" for k in range(8)] * 2
+    rows += ["leave it for night porter 0777 0300001 says she", "in room number 0888 0300001 of the hall", "x" * 100 + "@" + "y" * 100]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(rows)], DOC)
+    out = {r.doc_id: r.spans for r in pii.digest(pii.find(df)).collect()}
+    assert out[12].startswith("phone:")
+    assert out[36].startswith("phone:") and out[37] == "" and out[38] == ""
+    columns = ("doc_id", "text", "lang", "source", "n_chars")
+    by_map = {r.doc_id: r.text for r in pii.redacted(df, columns).collect()}
+    assert "<phone> says she" in by_map[36]
+    monkey, pii.SEND_PATTERNS = pii.SEND_PATTERNS, 0
+    try:
+        assert {r.doc_id: r.text for r in pii.redacted(df, columns).collect()} == by_map
+    finally:
+        pii.SEND_PATTERNS = monkey
+
+
+def test_pii_of_odd_rows(spark):
+    rows = [(None, "a@b.co"), (1, "a@b.co"), (1, "a@b.co"), (2, None), (3, "z " * 50_000 + "a@b.co")]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOC).selectExpr("*", "1 as row", "2 as kind", "3 as base", "4 as found")
+    out = sorted((str(r.doc_id), r.n_email, r.spans) for r in pii.digest(pii.find(df)).collect())
+    assert out == [("1", 1, "email:0:6")] * 2 + [("2", 0, ""), ("3", 1, "email:100000:100006"), ("None", 1, "email:0:6")]
+
+
 def test_quality(spark):
     rng = random.Random(2)
     good = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + rng.choice(WORDS)[1:].translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(60)) + "." for _ in range(300)]
