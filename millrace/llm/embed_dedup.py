@@ -1,25 +1,31 @@
 """Exact cosine near-duplicates by PCA-ordered tiled comparison.
 
 Vectors are scaled to unit length and turned into the basis of their second-moment
-matrix, leading dimensions first.  Vectors of one label that lie in one cell of the two
-leading dimensions are dealt into tiles of at most TILE_ROWS.  Linked vectors differ by
-at most sqrt(2 (1 - t)) in any dimension, so only tiles of neighbouring cells whose
-boxes come that close are compared.  A tile pair accumulates the products of the leading
-dimensions first; the rest of a product is at most the product of the suffix norms, and
-a pair stops as soon as that bound cannot reach the threshold.  What remains is decided
-by the cosine of the vectors as given, in double precision.
+matrix, leading dimensions first.  Linked vectors differ by at most reach =
+sqrt(2 (1 - t)) in any dimension, so vectors of one label lie in a grid of that width over
+the leading dimensions, more of them for a label of more vectors, and only neighbouring
+cells are met.  A cell is dealt into tiles of at most TILE_ROWS with boxes over the first
+dimensions.  Of two tiles whose boxes come as close as reach, those rows of the one move
+that come as close to the box of the other.  There the products of the leading dimensions
+are accumulated first; the rest of a product is at most the product of the suffix norms,
+and a pair stops as soon as that bound cannot reach the threshold.  What remains is
+decided by the cosine of the vectors as given, in double precision; they are scaled by a
+power of two, which changes no quotient, so that no square overflows.
 
 Equal vectors of a label are one class, compared once.  A tile pair returns degrees and
 a spanning forest, never its pairs, so groups of near copies stay linear in what moves.
 
 Null, zero-length or all-zero vectors, vectors with null or non-finite components and
 vectors without a label link with nothing.  Vectors of different lengths never link.
-Null ids keep their row with null component and kept.  Repeated ids are one node.
+Null ids keep their row with null component and kept.  Rows that share an id are one node
+of the components; n_links counts the rows that link with the row's own vector.  Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -27,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _forest, components, forget, per_batch, record, settle, spread
+from .common import _forest, arrow_rows, components, exchange, forget, per_batch, per_task, record, settle, shuffle_width, spread
 
 TILE_ROWS = 512
+#: Leading dimensions of the grid, at most, and tiles that a group of one tile's comparisons meets.
+MOST_DIMS, GROUP = 5, 64
 #: Dimensions after which the bound is tested.
 STEPS = (4, 8, 16, 32)
 #: Room for rounding in bounds; the final test has none.
@@ -49,13 +57,16 @@ def _vectors(batch: pa.RecordBatch, column: str):
     for d in np.unique(size[ok]):
         rows = np.flatnonzero(ok & (size == d))
         x = values[spread(starts[rows], np.full(len(rows), d))].reshape(len(rows), d)
-        with np.errstate(over="ignore"):
-            norm = np.sqrt((x * x).sum(axis=1))
-        good = np.isfinite(x).all(axis=1) & (norm > 0) & np.isfinite(norm)
+        good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
         if good.any():
             yield rows[good], x[good]
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, their largest component between 0.5 and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -89,49 +100,66 @@ def _keys(rows: DataFrame) -> DataFrame:
         keys, vectors = [None] * n, [None] * n
         labels = batch.column(1).to_pylist()
         for at, x in _vectors(batch, "embedding"):
-            for i, v in zip(at.tolist(), x, strict=True):
+            for i, v, scaled in zip(at.tolist(), x, _scaled(x), strict=True):
                 if labels[i] is not None:
-                    raw = (v + 0.0).tobytes()
-                    keys[i], vectors[i] = hashlib.blake2b(f"{labels[i]}\0".encode() + raw, digest_size=16).digest(), raw
+                    keys[i] = hashlib.blake2b(f"{labels[i]}\0".encode() + (v + 0.0).tobytes(), digest_size=16).digest()
+                    vectors[i] = (scaled + 0.0).tobytes()
         yield record(vec_id=batch.column(0), label=batch.column(1), key=pa.array(keys, pa.binary()), vector=pa.array(vectors, pa.binary()))
 
     return per_batch(rows, "vec_id long, label string, key binary, vector binary", run)
 
 
 def _cells(classes: DataFrame, basis, width: float) -> DataFrame:
+    """Classes with their cell: whole coordinates of the first `dims` dimensions, comma-joined."""
+
     def run(batch):
-        raws = [np.frombuffer(v) for v in batch.column(batch.schema.get_field_index("vector")).to_pylist()]
-        c1, c2 = np.empty(len(raws), np.int64), np.empty(len(raws), np.int64)
+        raws = [np.frombuffer(v) for v in batch.column(3).to_pylist()]
+        dims = batch.column(4).to_numpy()
         size = np.array([len(v) for v in raws])
+        cell = [""] * len(raws)
         for d in np.unique(size):
             at = np.flatnonzero(size == d)
-            y = _unit(np.stack([raws[i] for i in at])) @ basis.value[int(d)][:, :2]
-            c1[at] = np.floor(y[:, 0] / width)
-            c2[at] = np.floor(y[:, 1] / width) if d > 1 else 0
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int32()), pa.array(c1), pa.array(c2)], [*batch.schema.names, "d", "c1", "c2"])
+            y = np.floor(_unit(np.stack([raws[i] for i in at])) @ basis.value[int(d)][:, :MOST_DIMS] / width).astype(np.int64)
+            for i, row in zip(at.tolist(), y.tolist(), strict=True):
+                cell[i] = ",".join(map(str, row[: dims[i]]))
+        yield record(label=batch.column(0), node=batch.column(1), class_size=batch.column(2), vector=batch.column(3), d=pa.array(size, pa.int32()), cell=pa.array(cell))
 
-    return per_batch(classes.select("label", "node", "class_size", "vector"), "label string, node long, class_size long, vector binary, d int, c1 long, c2 long", run)
+    count = classes.groupBy("label").agg(F.greatest(F.lit(1), F.least(F.lit(MOST_DIMS), F.ceil(F.log(4.0, F.count("*") / F.lit(TILE_ROWS))))).cast("int").alias("dims"))
+    return per_batch(classes.join(count, "label").select("label", "node", "class_size", "vector", "dims"), "label string, node long, class_size long, vector binary, d int, cell string", run)
 
 
 def _tiles(cells: DataFrame, basis) -> DataFrame:
     """One row per tile: its cell, box over the leading dimensions, nodes, class sizes and vectors."""
-    count = cells.groupBy("label", "d", "c1", "c2").agg(F.ceil(F.count("*") / F.lit(TILE_ROWS)).cast("int").alias("tiles"))
-    dealt = cells.join(count, ["label", "d", "c1", "c2"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    tiles = dealt.groupBy("label", "d", "c1", "c2", "tile").agg(F.collect_list(F.struct("node", "class_size", "vector")).alias("rows"))
+    count = cells.groupBy("label", "d", "cell").agg(F.ceil(F.count("*") / F.lit(TILE_ROWS)).cast("int").alias("tiles"))
+    dealt = cells.join(count, ["label", "d", "cell"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    tiles = dealt.groupBy("label", "d", "cell", "tile").agg(F.collect_list(F.struct("node", "class_size", "vector")).alias("rows"))
 
     def run(batch):
-        for label, d, c1, c2, tile, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for label, d, cell, tile, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             x = np.stack([np.frombuffer(r["vector"]) for r in rows])
-            y = _unit(x) @ basis.value[d]
-            # Order inside a tile does not matter; boxes are over the first dimensions.
-            box = np.concatenate([y[:, : STEPS[1]].min(axis=0), y[:, : STEPS[1]].max(axis=0)])
-            name = f"{label}\0{d}\0{c1}\0{c2}\0{tile}"
+            y = (_unit(x) @ basis.value[d])[:, : STEPS[1]]
             yield record(
-                id=pa.array([name]), label=pa.array([label]), d=pa.array([d], pa.int32()), c1=pa.array([c1]), c2=pa.array([c2]), box=pa.array([box.tolist()], pa.list_(pa.float64())),
+                id=pa.array([f"{label}\0{d}\0{cell}\0{tile}"]), label=pa.array([label]), d=pa.array([d], pa.int32()), cell=pa.array([cell]), box=pa.array([np.concatenate([y.min(axis=0), y.max(axis=0)]).tolist()], pa.list_(pa.float64())),
                 nodes=pa.array([np.array([r["node"] for r in rows], np.int64).tobytes()], pa.binary()), sizes=pa.array([np.array([r["class_size"] for r in rows], np.int64).tobytes()], pa.binary()), vectors=pa.array([x.tobytes()], pa.binary()),
             )
 
-    return per_batch(tiles, "id string, label string, d int, c1 long, c2 long, box array<double>, nodes binary, sizes binary, vectors binary", run)
+    return per_batch(tiles, "id string, label string, d int, cell string, box array<double>, nodes binary, sizes binary, vectors binary", run)
+
+
+def _near_tiles(meta: DataFrame, reach: float) -> DataFrame:
+    """(a, b, box): tiles of neighbouring cells whose boxes come as close as reach, a <= b; box is that of a."""
+
+    def around(batch):
+        for tile, label, d, cell, box in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = np.array(cell.split(","), np.int64)
+            cells = [",".join(map(str, row)) for row in (own + np.array(list(itertools.product((-1, 0, 1), repeat=len(own))))).tolist()]
+            n = len(cells)
+            yield record(a=pa.array([tile] * n), label=pa.array([label] * n), d=pa.array([d] * n, pa.int32()), cell=pa.array(cells), box=pa.array([box] * n, pa.list_(pa.float64())))
+
+    asked = per_batch(meta, "a string, label string, d int, cell string, box array<double>", around)
+    met = asked.join(meta.select(F.col("id").alias("b"), "label", "d", "cell", F.col("box").alias("other")), ["label", "d", "cell"]).where("a <= b")
+    gap = F.expr("aggregate(sequence(0, size(box) div 2 - 1), 0D, (s, k) -> s + pow(greatest(0D, other[k] - box[k + size(box) div 2], box[k] - other[k + size(box) div 2]), 2))")
+    return met.where(gap <= reach * reach + SLACK).select("a", "b", "box")
 
 
 def linked(x: np.ndarray, z: np.ndarray, basis: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -157,52 +185,89 @@ def linked(x: np.ndarray, z: np.ndarray, basis: np.ndarray, t: float) -> tuple[n
     return i[on], j[on]
 
 
-def _compare(pairs: DataFrame, basis, t: float) -> DataFrame:
-    """(node, degree, parent): links to other classes weighted by their size, and forest edges (degree 0)."""
+def _moved(near: DataFrame, tiles: DataFrame, basis, reach: float) -> DataFrame:
+    """(a, g, b, nodes, sizes, vectors, d): of tile b the rows that come as close as reach to the box of a."""
 
     def run(batch):
-        for same, na, sa, va, nb, sb, vb, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            na, sa, nb, sb = (np.frombuffer(v, np.int64) for v in (na, sa, nb, sb))
-            x, z = np.frombuffer(va).reshape(-1, d), np.frombuffer(vb).reshape(-1, d)
-            i, j = linked(x, z, basis.value[d], t)
-            if same:
-                on = i < j
-                i, j = i[on], j[on]
-            on = na[i] != nb[j]
-            i, j = i[on], j[on]
-            if not len(i):
-                continue
-            da, db = np.bincount(i, sb[j], len(na)).astype(np.int64), np.bincount(j, sa[i], len(nb)).astype(np.int64)
-            u, v = _forest(na[i], nb[j])
-            node = np.concatenate([na[da > 0], nb[db > 0], u])
-            yield record(node=node, degree=np.concatenate([da[da > 0], db[db > 0], np.zeros(len(u), np.int64)]), parent=pa.array([*([None] * (len(node) - len(u))), *v.tolist()], pa.int64()))
-
-    return per_batch(pairs, "node long, degree long, parent long", run)
+        for a, g, b, box, nodes, sizes, vectors, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if a != b:
+                x, box = np.frombuffer(vectors).reshape(-1, d), np.array(box).reshape(2, -1)
+                y = (_unit(x) @ basis.value[d])[:, : box.shape[1]]
+                on = (np.maximum(np.maximum(box[0] - y, y - box[1]), 0) ** 2).sum(axis=1) <= reach * reach + SLACK
+                if not on.any():
+                    continue
+                nodes, sizes, vectors = np.frombuffer(nodes, np.int64)[on].tobytes(), np.frombuffer(sizes, np.int64)[on].tobytes(), x[on].tobytes()
+            yield record(a=pa.array([a]), g=pa.array([g], pa.int32()), b=pa.array([b]), nodes=pa.array([nodes], pa.binary()), sizes=pa.array([sizes], pa.binary()), vectors=pa.array([vectors], pa.binary()), d=pa.array([d], pa.int32()))
+
+    rows = near.join(tiles.withColumnRenamed("id", "b").drop("label", "cell", "box"), "b")
+    return per_batch(rows.select("a", "g", "b", "box", "nodes", "sizes", "vectors", "d"), "a string, g int, b string, nodes binary, sizes binary, vectors binary, d int", run)
+
+
+def _compare(near: DataFrame, tiles: DataFrame, basis, t: float, reach: float, width: int) -> DataFrame:
+    """(node, degree, parent): links to other classes weighted by their size, and forest edges (degree 0).
+
+    A tile travels once for each group of GROUP tiles that it is compared with.
+    """
+    groups = near.groupBy("a").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("groups"))
+    near = settle(near.join(groups, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int")), "near")
+    moved = settle(_moved(near, tiles, basis, reach), "moved")
+    own = tiles.select(F.col("id").alias("a"), "nodes", "sizes", "vectors", "d").join(moved.select("a", "g").distinct(), "a").select("a", "g", F.lit(None).cast("string").alias("b"), "nodes", "sizes", "vectors", "d")
+    part = F.pmod(F.xxhash64("a", "g"), F.lit(width)).cast("int")
+    rows = exchange(moved.union(own).withColumn("part", part), "part", width).sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
+
+    def run(batches):
+        key, centre = None, None
+        for batch in batches:
+            for a, g, b, nodes, sizes, vectors, d, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tile = np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(vectors).reshape(-1, d)
+                if b is None:
+                    key, centre = (a, g), tile
+                    continue
+                assert key == (a, g)
+                (na, sa, x), (nb, sb, z) = centre, tile
+                i, j = linked(x, z, basis.value[d], t)
+                if a == b:
+                    on = i < j
+                    i, j = i[on], j[on]
+                if not len(i):
+                    continue
+                da, db = np.bincount(i, sb[j], len(na)).astype(np.int64), np.bincount(j, sa[i], len(nb)).astype(np.int64)
+                u, v = _forest(na[i], nb[j])
+                node = np.concatenate([na[da > 0], nb[db > 0], u])
+                yield record(node=node, degree=np.concatenate([da[da > 0], db[db > 0], np.zeros(len(u), np.int64)]), parent=pa.array([*([None] * (len(node) - len(u))), *v.tolist()], pa.int64()))
+
+    return per_task(rows, "node long, degree long, parent long", run)
 
 
 def near_duplicates(embeddings: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", threshold: float = 0.98) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = embeddings.sparkSession
+    width = shuffle_width(spark)
     rows = embeddings.select(F.col(id_column).cast("long").alias("vec_id"), F.col(label_column).cast("string").alias("label"), F.col(vector_column).cast("array<double>").alias("embedding"))
     keyed = settle(_keys(rows), "keyed")
     usable = keyed.where("key is not null and vec_id is not null")
-    classes = settle(usable.groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("class_size"), F.first("label").alias("label"), F.first("vector").alias("vector")), "classes")
+    classes = usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("class_size"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+    # A class is named by 64 bits of its key: ids may repeat.
+    classes = settle(classes.withColumn("node", F.xxhash64("key")), "classes")
     basis = spark.sparkContext.broadcast(_moments(classes))
     reach = math.sqrt(max(0.0, 2 * (1 - threshold))) + SLACK
-    tiles = settle(_tiles(_cells(classes, basis, max(reach, 1e-6)), basis), "tiles")
-    meta = tiles.select("id", "label", "d", "c1", "c2", "box")
-    near = meta.select(F.col("id").alias("a"), "label", "d", F.col("box").alias("box_a"), F.explode(F.expr("flatten(transform(sequence(c1 - 1, c1 + 1), x -> transform(sequence(c2 - 1, c2 + 1), y -> struct(x as c1, y as c2))))")).alias("c"))
-    near = near.select("a", "label", "d", "box_a", "c.c1", "c.c2").join(meta.withColumnRenamed("id", "b"), ["label", "d", "c1", "c2"]).where("a <= b")
-    gap = F.expr("aggregate(sequence(0, size(box) div 2 - 1), 0D, (s, k) -> s + pow(greatest(0D, box[k] - box_a[k + size(box) div 2], box_a[k] - box[k + size(box) div 2]), 2))")
-    near = near.where(gap <= reach * reach + SLACK).select("a", "b", "d")
-    side = lambda x: tiles.select(F.col("id").alias(x), F.col("nodes").alias(f"n{x}"), F.col("sizes").alias(f"s{x}"), F.col("vectors").alias(f"v{x}"))
-    pairs = near.join(side("a"), "a").join(side("b"), "b").select((F.col("a") == F.col("b")).alias("same"), "na", "sa", "va", "nb", "sb", "vb", "d")
-    found = settle(_compare(pairs, basis, threshold), "found")
+    # A tile is a row of some hundred kilobytes, so Python gets a few at a time.
+    cells = settle(_cells(classes, basis, max(reach, 1e-6)), "cells")
+    tiles = settle(_tiles(cells, basis), "tiles")
+    near = _near_tiles(tiles.select("id", "label", "d", "cell", "box"), reach)
+    with arrow_rows(spark, 8):
+        found = settle(_compare(near, tiles, basis, threshold, reach, width), "found")
     degree = found.where("parent is null").groupBy("node").agg(F.sum("degree").alias("degree"))
-    component = components(found.where("parent is not null").select(F.col("node").alias("u"), F.col("parent").alias("v")))
-    member = classes.select("key", "node", "class_size").join(degree, "node", "left").join(component, "node", "left")
-    member = member.select("key", (F.coalesce("degree", F.lit(0)) + F.col("class_size") - 1).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    forget(tiles)
+    held = usable.select("vec_id", F.xxhash64("key").alias("node"))
+    several = held.groupBy("vec_id").agg(F.min("node").alias("v"), F.max("node").alias("high")).where("v < high")
+    one_id = held.join(several, "vec_id").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    component = components(found.where("parent is not null").select(F.col("node").alias("u"), F.col("parent").alias("v")).union(one_id))
+    member = classes.select("key", "node", "rep", "class_size").join(degree, "node", "left").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    low = member.groupBy("component").agg(F.min("rep").alias("component_id"))
+    member = member.join(low, "component").select("key", (F.coalesce("degree", F.lit(0)) + F.col("class_size") - 1).cast("long").alias("n_links"), "component_id")
+    member = settle(member, "member")
+    for old in (cells, tiles, found, classes):
+        forget(old)
     out = keyed.select("vec_id", "key").join(member, "key", "left")
     linkable = F.col("vec_id").isNotNull()
     component_id = F.when(linkable, F.coalesce("component_id", "vec_id"))

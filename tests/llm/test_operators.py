@@ -285,7 +285,19 @@ def _vectors():
     return rows
 
 
-def test_embedding_dedup(spark):
+def test_embedding_dedup_of_odd_rows(spark):
+    v, w = [3.0, 4.0, 0.0], [0.0, 0.0, 7.0]
+    rows = [(0, v, 1), (1, v, 1), (1, w, 1), (2, w, 1), (3, [1e200 * x for x in v], 1), (4, [1e-200 * x for x in w], 1), (5, [5e-324, 0.0, 0.0], 1), (None, v, 1), (7, v * 700, 1), (8, v * 700, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as key", "2 as node", "3 as d", "4 as rep")
+    out = sorted((str(r.vec_id), r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect())
+    assert out == sorted([("0", 2, 0), ("1", 2, 0), ("1", 2, 0), ("2", 2, 0), ("3", 2, 0), ("4", 2, 0), ("5", 0, 5), ("None", 0, None), ("7", 1, 7), ("8", 1, 7)])
+
+
+@pytest.mark.parametrize("tile", [512, 3])
+def test_embedding_dedup(spark, monkeypatch, tile):
+    # Tiles of three rows make grids of several dimensions and groups of many tiles.
+    monkeypatch.setattr(embed_dedup, "TILE_ROWS", tile)
+    monkeypatch.setattr(embed_dedup, "GROUP", 5)
     rows = _vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     out = {r.vec_id: r for r in embed_dedup.near_duplicates(df).collect()}
