@@ -21,9 +21,24 @@ def dedup_agreeing(df: DataFrame, keys: list[str], label: str, order: list[Colum
     return first_per(checked, keys, order)
 
 
+def ranked(df: DataFrame, order: list[Column], coarse: Column, descending: bool = False) -> DataFrame:
+    """df with _rank (from 1) under a total order and _n, the number of rows, without sorting all rows in one task.
+
+    `coarse` never falls (with `descending` never rises) along the order and has few values
+    beside the rows: each value's rows are ranked by themselves, and one small table holds
+    how many rows come before.
+    """
+    own = df.withColumn("_coarse", coarse)
+    counts = own.groupBy("_coarse").agg(F.count("*").alias("_c"))
+    before = W.orderBy(F.desc_nulls_last("_coarse") if descending else F.asc_nulls_first("_coarse")).rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_coarse").alias("_at"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(W.partitionBy(F.lit(1))).alias("_n"))
+    rows = own.withColumn("_rank", F.row_number().over(W.partitionBy("_coarse").orderBy(*order)))
+    return rows.join(offsets, F.col("_coarse").eqNullSafe(F.col("_at"))).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_coarse", "_at", "_before")
+
+
 def chronological_split(df: DataFrame, key: str, sizes: dict[str, int]) -> DataFrame:
-    """Splits by the rank of the key's distinct values; what follows the last size is dropped."""
-    keys = df.select(key).distinct().withColumn("_rank", F.row_number().over(W.orderBy(key)))
+    """Splits by the rank of the key's distinct dates; what follows the last size is dropped."""
+    keys = ranked(df.select(key).distinct(), [F.col(key)], F.year(key)).drop("_n")
     split, low = None, 0
     for name, n in sizes.items():
         test = (F.col("_rank") > low) & (F.col("_rank") <= low + n)
@@ -39,10 +54,10 @@ def hash_split(df: DataFrame, key: str, seed: int, shares: tuple[float, float] =
     """
     order = F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256)
     keys = df.select(key).distinct().withColumn("_h", order)
-    ranked = keys.withColumn("_rank", F.row_number().over(W.orderBy("_h", key))).withColumn("_n", F.count("*").over(W.partitionBy(F.lit(1))))
+    placed = ranked(keys, [F.col("_h"), F.col(key)], F.substring("_h", 1, 3))
     a, b = F.floor(F.col("_n") * shares[0]), F.floor(F.col("_n") * shares[1])
     split = F.when(F.col("_rank") <= a, "train").when(F.col("_rank") <= a + b, "eval").otherwise("test")
-    return df.join(ranked.select(key, split.alias("split")), key)
+    return df.join(placed.select(key, split.alias("split")), key)
 
 
 def hash_role(key: Column) -> Column:
@@ -56,18 +71,17 @@ def row_seed(text: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
-def top_share(df: DataFrame, order: list[Column], share: float, cap: int | None = None) -> DataFrame:
-    """The first floor(share * n) rows, at most `cap`, under a total order, with `rank`."""
-    n = F.count("*").over(W.partitionBy(F.lit(1)))
-    most = F.floor(n * share)
+def top_share(df: DataFrame, order: list[Column], share: float, coarse: Column, descending: bool = False, cap: int | None = None) -> DataFrame:
+    """The first floor(share * n) rows, at most `cap`, under a total order, with `rank`; coarse: see ranked()."""
+    most = F.floor(F.col("_n") * share)
     most = F.least(most, F.lit(cap)) if cap is not None else most
-    return df.withColumn("rank", F.row_number().over(W.orderBy(*order))).withColumn("_most", most).where("rank <= _most").drop("_most")
+    return ranked(df, order, coarse, descending).where(F.col("_rank") <= most).withColumnRenamed("_rank", "rank").drop("_n")
 
 
-def every_kth(df: DataFrame, order: list[Column], k: int, share: float) -> DataFrame:
-    """Every k-th row under the order, at most floor(share * n) of them."""
-    ranked = df.withColumn("_rn", F.row_number().over(W.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(W.partitionBy(F.lit(1))))
-    return ranked.where((F.col("_rn") % k == 0) & (F.floor(F.col("_rn") / k) < F.floor(F.col("_n") * share))).drop("_rn", "_n")
+def every_kth(df: DataFrame, order: list[Column], k: int, share: float, coarse: Column) -> DataFrame:
+    """Every k-th row under the order, at most floor(share * n) of them; coarse: see ranked()."""
+    at = F.col("_rank") - 1
+    return ranked(df, order, coarse).where((at % k == 0) & (F.floor(at / k) < F.floor(F.col("_n") * share))).drop("_rank", "_n")
 
 
 def hash_sample(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
@@ -133,9 +147,12 @@ def greedy_projection(df: DataFrame, group: str, rank: str, cost: str, required:
 
 
 def expanding_training(df: DataFrame, end: str, start: str) -> DataFrame:
-    """(target, n): for each target how many rows ended strictly before it starts, by one sort and no pairs."""
-    ends = df.select(F.col(end).alias("_at"), F.lit(0).alias("_k"), F.lit(1).alias("_one"), F.lit(None).cast(df.schema[start].dataType).alias("target"))
-    starts = df.select(F.col(start).alias("_at"), F.lit(0).alias("_k"), F.lit(0).alias("_one"), F.col(start).alias("target"))
-    w = W.partitionBy("_k").orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
-    both = ends.withColumn("_at", F.date_add("_at", 1)).unionByName(starts)
-    return both.withColumn("n_train", F.sum("_one").over(w)).where("target is not null").select("target", "n_train").distinct()
+    """(target, n): for each target how many rows ended strictly before it starts.
+
+    Rows are counted by day first, so the running sum goes over days and not over rows.
+    """
+    ends = df.groupBy(F.date_add(end, 1).alias("_at")).agg(F.count("*").alias("_ended")).where("_at is not null")
+    starts = df.select(F.col(start).alias("_at"), F.lit(0).cast("long").alias("_ended"), F.col(start).alias("target")).where("target is not null").distinct()
+    days = ends.withColumn("target", F.lit(None).cast(df.schema[start].dataType)).select("_at", "_ended", "target").unionByName(starts)
+    w = W.orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    return days.withColumn("n_train", F.sum("_ended").over(w)).where("target is not null").select("target", "n_train")

@@ -71,18 +71,18 @@ def d9(spark, d):
 
 def d10(spark, d):
     o = table(spark, d, "customer").withColumn("h", F.sha2(F.col("c_custkey").cast("string"), 256))
-    return S.top_share(o, [F.col("h"), F.col("c_custkey")], 0.8).select("c_custkey", F.col("rank").cast("long").alias("rank"))
+    return S.top_share(o, [F.col("h"), F.col("c_custkey")], 0.8, F.substring("h", 1, 3)).select("c_custkey", F.col("rank").cast("long").alias("rank"))
 
 
 def d11(spark, d):
-    return S.every_kth(table(spark, d, "customer"), [F.col("c_custkey")], 7, 0.1).select("c_custkey", F.lit("sft_mix").alias("tag"))
+    return S.every_kth(table(spark, d, "customer"), [F.col("c_custkey")], 7, 0.1, F.floor(F.col("c_custkey") / 65536)).select("c_custkey", F.lit("sft_mix").alias("tag"))
 
 
 def d12(spark, d):
     o = table(spark, d, "customer").withColumn("h", F.sha2(F.concat(F.lit("mix"), F.col("c_custkey").cast("string")), 256))
-    primary = S.top_share(o, [F.col("h"), F.col("c_custkey")], 0.2).withColumn("role", F.lit("primary")).drop("rank")
+    primary = S.top_share(o, [F.col("h"), F.col("c_custkey")], 0.2, F.substring("h", 1, 3)).withColumn("role", F.lit("primary")).drop("rank")
     rest = o.join(primary.select("c_custkey"), "c_custkey", "left_anti")
-    replay = S.top_share(rest, [F.desc("h"), F.col("c_custkey")], 0.1).withColumn("role", F.lit("replay")).drop("rank")
+    replay = S.top_share(rest, [F.desc("h"), F.col("c_custkey")], 0.1, F.substring("h", 1, 3), True).withColumn("role", F.lit("replay")).drop("rank")
     return primary.unionByName(replay).select("c_custkey", "role")
 
 
