@@ -3,7 +3,8 @@
 Only documents have labels, but sentences are what offends.  A sentence is a bag of
 hashed features (its letter runs and their first characters); its score is a logistic
 function of them, and a document's score the noisy-or of its sentences,
-1 - prod(1 - p).  Training maximises the documents' likelihood, so that credit goes to
+1 - prod(1 - p), where all sentences without a feature count as one, so that a long clean
+text scores like a short one.  Training maximises the documents' likelihood, so that credit goes to
 the sentences that explain a label; the same scores then locate offending sentences.
 
 Features are chosen first by how much more often toxic training documents hold them,
@@ -111,7 +112,7 @@ def _train_rows(rows: DataFrame, place) -> DataFrame:
 
 def fit(label: np.ndarray, number: np.ndarray, entries: list[np.ndarray], size: int, steps: int = 250) -> np.ndarray:
     """Weights, the bias last, that make the labels likely under the noisy-or of sentences."""
-    # Sentences without a chosen feature differ only by document, so they are kept as a count.
+    # Sentences without a chosen feature say nothing, however many: those of a document count as one, its leak.
     doc, what, sentence, seen = [], [], [], 0
     plain = number.astype(np.float64)
     for k, e in enumerate(entries):
@@ -120,6 +121,7 @@ def fit(label: np.ndarray, number: np.ndarray, entries: list[np.ndarray], size:
             plain[k] -= len(own)
             doc.append(np.full(len(own), k)), what.append(e[:, 1]), sentence.append(inv + seen)
             seen += len(own)
+    plain = np.minimum(plain, 1)
     cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64)
     doc, what, sentence = cat(doc), cat(what), cat(sentence)
     w, opt = np.zeros(size + 1), Adam(size + 1, 0.1)
@@ -159,8 +161,10 @@ def score_documents(documents: DataFrame, labels: DataFrame, id_column: str = "d
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
     known = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label_column).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(~held)
     known = first_by_hash(known.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", TRAIN_ROWS)
-    # At most TRAIN_ROWS ids, so they can be sent to the texts; ids may repeat there, so rows are limited too.
-    sample = settle(docs.join(F.broadcast(known), "doc_id").select("text", "label").limit(TRAIN_ROWS).repartition(shuffle_width(spark)), "sample")
+    # At most TRAIN_ROWS ids, so they can be sent to the texts.  Ids that repeat there may give more rows; only then those are cut.
+    sample = settle(docs.join(F.broadcast(known), "doc_id").select("text", "label"), "sample")
+    if sample.count() > TRAIN_ROWS:
+        sample = settle(sample.limit(TRAIN_ROWS).repartition(shuffle_width(spark)), "sample")
     flat = summed_counters(_presence(sample), 2 * DIMS + 16)
     docs_by_label = flat[2 * DIMS : 2 * DIMS + 2]
     place = choose(flat[: 2 * DIMS].reshape(2, DIMS), docs_by_label)
@@ -176,7 +180,10 @@ def score_documents(documents: DataFrame, labels: DataFrame, id_column: str = "d
             which, what, doc, head = _bags(runs, sent.value, len(raws))
             w = weights.value
             p = sigmoid(np.bincount(which, w[what], len(doc)) + w[-1])
-            score = -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(raws)))
+            says = np.bincount(which, minlength=len(doc)) > 0
+            clean = np.bincount(doc, np.where(says, np.log1p(-np.minimum(p, 1 - 1e-12)), 0), len(raws))
+            leak = np.bincount(doc, ~says, len(raws)) > 0
+            score = -np.expm1(clean + leak * np.log1p(-sigmoid(w[-1:])[0]))
             found = [[] for _ in raws]
             number = np.cumsum(np.concatenate([[0], np.bincount(doc, minlength=len(raws))]))
             for s in np.flatnonzero(p >= threshold):

@@ -639,6 +639,43 @@ def test_toxicity(spark):
     assert toxicity.score_documents(df.limit(0), lab).count() == 0
 
 
+def test_toxicity_of_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 200)
+    rng = random.Random(26)
+    rows = [(k, _text(rng, 30) + (". you are a vilewretch." if k % 4 == 0 else ".")) for k in range(200)]
+    rows += [(8, rows[8][1])] * 300 + [(None, "you are a vilewretch."), (900, "fine words. " * 20_000), (901, None)]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOC).selectExpr("*", "1 as label", "2 as score", "3 as part")
+    lab = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(200)] + [(5, 1, None), (None, 1, 1), (7777, 1, 1)], "doc_id long, quality int, toxic int")
+    out = toxicity.score_documents(df, lab).collect()
+    assert len(out) == len(rows)
+    assert {r.predicted for r in out if r.doc_id in (8, None)} == {1} and {r.predicted for r in out if r.doc_id in (900, 901)} == {0}
+
+
+def test_sharding_of_odd_rows(spark):
+    assert sharding.shard_rows(spark.createDataFrame([], DOC), [1.0] * 16, [1.0] * 17).count() == 0
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, None), (2, "é" * 100_000)]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOC).selectExpr("*", "1 as shard", "2 as slot", "3 as size")
+    out = sharding.shard_rows(df, [1.0] * 16, [1.0] * 17).collect()
+    assert len(out) == 5 and len({r.shard for r in out if r.doc_id == 1}) == 1
+    assert {r["size"] for r in out if r.doc_id == 2} == {200_001} and {r["size"] for r in out if r.doc_id is None} == {1}
+
+
+def test_packing_decontamination_and_passages_of_odd_rows(spark):
+    rng = random.Random(27)
+    item = _text(rng, 30)
+    long_text = _text(rng, 30_000)
+    rows = [(None, item), (1, "x " + item), (1, "x " + item), (2, ""), (3, None), (4, long_text + " " + item), (5, long_text)]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOC).selectExpr("*", "1 as item", "2 as part", "3 as word", "4 as pos")
+    hits = decontaminate.contaminated(df, spark.createDataFrame([(7, item), (7, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in hits} == {None, 1, 4} and {r.item_id for r in hits} == {7}
+    pieces = packing.pack_documents(df, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert len([r for r in pieces if r.doc_id == 1]) == 2 and sum(r.length for r in pieces if r.doc_id == 5) == next(r.doc_tokens for r in pieces if r.doc_id == 5)
+    assert [(r.start, r.length, r.doc_tokens) for r in pieces if r.doc_id in (2, 3)] == [(0, 1, 1)] * 2
+    spans = substring_dedup.repeated_passages(df).collect()
+    covered = {k: {w for r in spans if r.doc_id == k for w in range(r.start_word, r.end_word)} for k in (4, 5)}
+    assert all(len(c) > 29_900 for c in covered.values()) and not any(r.doc_id is None for r in spans)
+
+
 def test_word_hashes_match_words():
     w = W.Words([b"The the THE", b"", b"\ta  b\n"])
     assert w.counts.tolist() == [3, 0, 2] and len(set(w.hash[:3].tolist())) == 1
