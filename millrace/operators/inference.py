@@ -102,42 +102,62 @@ def one_sample_t(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return s.withColumn("p", F.when(flat & (F.col("mean") == 0), 1.0).when(flat, 0.0).otherwise(p("t", "n")))
 
 
-def cluster_bootstrap(df: DataFrame, by: str, cluster: str, value: str, draws: int, seed: int) -> DataFrame:
-    """Mean of cluster means with its 95 % interval and both p values; clusters are drawn with replacement."""
-    means = df.groupBy(by, cluster).agg(F.avg(value).alias("_m"))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _solved(moments: pd.Series) -> pd.Series:
+    """Of X'X (row by row), X'y and n: the coefficients and the inverse; null where X has no full rank."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(cluster)
-        m = own["_m"].to_numpy()
-        rng = np.random.default_rng(seed)
-        sample = m[rng.integers(0, len(m), size=(draws, len(m)))].mean(axis=1)
-        low, high = np.quantile(sample, [0.025, 0.975])
-        return pd.DataFrame({by: [own[by].iloc[0]], "estimate": [m.mean()], "low": [low], "high": [high], "draws": [sample.tolist()]})
+    def solve(m):
+        k = int(round(math.sqrt(len(m) - 0.75) - 0.5))
+        xx, xy = np.array(m[: k * k]).reshape(k, k), np.array(m[k * k : k * k + k])
+        scale = np.sqrt(np.diag(xx))
+        if m[-1] <= k or (scale == 0).any() or np.linalg.matrix_rank(xx / np.outer(scale, scale)) < k:
+            return None
+        inv = np.linalg.inv(xx / np.outer(scale, scale)) / np.outer(scale, scale)
+        return [*(inv @ xy), *inv.reshape(-1)]
 
-    kind = dict(df.dtypes)[by]
-    return means.groupBy(by).applyInPandas(run, f"{by} {kind}, estimate double, low double, high double, draws array<double>")
+    return moments.map(lambda m: None if m is None or any(x is None for x in m) else solve(m))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _errors(solved: pd.Series, meat: pd.Series, n: pd.Series) -> pd.Series:
+    def errors(s, m, rows):
+        k = int(round(math.sqrt(len(m))))
+        inv = np.array(s[k:]).reshape(k, k)
+        return np.sqrt(np.diag(inv @ np.array(m).reshape(k, k) @ inv * rows / (rows - k))).tolist()
+
+    return pd.Series([None if s is None else errors(s, m, r) for s, m, r in zip(solved, meat, n, strict=True)])
 
 
 def ols(df: DataFrame, by: str, y: str, xs: list[str], order: str, lags: int | None = None) -> DataFrame:
-    """Coefficients and standard errors per group: HC1, or Newey-West with Bartlett weights where lags are given."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(order)
-        x = np.column_stack([np.ones(len(own)), *(own[c].to_numpy(float) for c in xs)])
-        n, k = x.shape
-        if n <= k or np.linalg.matrix_rank(x) < k:
-            return pd.DataFrame({by: [own[by].iloc[0]] * k, "term": ["const", *xs], "beta": [None] * k, "se": [None] * k})
-        inv = np.linalg.inv(x.T @ x)
-        beta = inv @ x.T @ own[y].to_numpy(float)
-        score = x * (own[y].to_numpy(float) - x @ beta)[:, None]
-        meat = score.T @ score
-        for lag in range(1, (lags or 0) + 1):
-            gamma = score[lag:].T @ score[:-lag]
-            meat += (1 - lag / (lags + 1)) * (gamma + gamma.T)
-        cov = inv @ meat @ inv * n / (n - k)
-        return pd.DataFrame({by: [own[by].iloc[0]] * k, "term": ["const", *xs], "beta": beta, "se": np.sqrt(np.diag(cov))})
+    """Coefficients and standard errors per group: HC1, or Newey-West with Bartlett weights where lags are given.
 
-    return df.select(by, y, *xs, order).groupBy(by).applyInPandas(run, f"{by} {dict(df.dtypes)[by]}, term string, beta double, se double")
+    Products are summed where the rows are; only lags need a group's order, by a window.
+    Python sees one row of k * k sums for each group.
+    """
+    terms = ["const", *xs]
+    k = len(terms)
+    rows = df.select(by, F.col(order).alias("_o"), F.col(y).cast("double").alias("_y"), *(F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs, 1))).withColumn("_x0", F.lit(1.0))
+    x = [F.col(f"_x{i}") for i in range(k)]
+    moments = F.array(*(F.sum(a * b) for a in x for b in x), *(F.sum(a * F.col("_y")) for a in x), F.count("*").cast("double"))
+    solved = rows.groupBy(by).agg(moments.alias("m"), F.count("*").alias("_n")).select(F.col(by).alias("_by"), _solved("m").alias("_s"), "_n")
+    met = rows.join(solved, F.col(by).eqNullSafe(F.col("_by")))
+    residual = F.col("_y") - sum((F.col("_s")[i] * x[i] for i in range(1, k)), F.col("_s")[0])
+    scored = met.select("_by", "_s", "_n", "_o", *((x[i] * residual).alias(f"_u{i}") for i in range(k)))
+    w = W.partitionBy("_by").orderBy("_o")
+    for lag in range(1, (lags or 0) + 1):
+        scored = scored.withColumns({f"_l{lag}_{i}": F.lag(f"_u{i}", lag).over(w) for i in range(k)})
+
+    def product(i, j):
+        out = F.col(f"_u{i}") * F.col(f"_u{j}")
+        for lag in range(1, (lags or 0) + 1):
+            both = F.col(f"_u{i}") * F.col(f"_l{lag}_{j}") + F.col(f"_u{j}") * F.col(f"_l{lag}_{i}")
+            out = out + (1 - lag / (lags + 1)) * F.coalesce(both, F.lit(0.0))
+        return F.sum(out)
+
+    meat = scored.groupBy("_by").agg(F.array(*(product(i, j) for i in range(k) for j in range(k))).alias("_m"), F.first("_s").alias("_s"), F.first("_n").alias("_n"))
+    found = meat.select(F.col("_by").alias(by), "_s", _errors("_s", "_m", "_n").alias("_e"))
+    at = F.posexplode(F.array(*map(F.lit, terms))).alias("_k", "term")
+    return found.select(by, "_s", "_e", at).select(by, "term", F.col("_s")[F.col("_k")].alias("beta"), F.col("_e")[F.col("_k")].alias("se"))
 
 
 def mcnemar(a_only: Column, b_only: Column) -> Column:

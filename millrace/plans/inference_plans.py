@@ -19,10 +19,6 @@ def i1(spark, d):
     return I.one_sample_t(_effects(spark, d), ["c_nationkey"], "effect").select("c_nationkey", "n", F.round("mean", 6).alias("mean"), F.round("t", 6).alias("t"))
 
 
-def i3(spark, d):
-    return I.cluster_bootstrap(_effects(spark, d), "c_mktsegment", "c_nationkey", "effect", 500, 20).select("c_mktsegment", "estimate", "low", "high")
-
-
 def i9(spark, d):
     draws = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: (k * 7 + F.col("c_custkey")) % 41 - F.lit(12.0))
     c = table(spark, d, "customer").select("c_custkey", draws.alias("draws"))
@@ -215,7 +211,7 @@ def x24(spark, d):
 
 
 QUERIES = {
-    "i1_one_sample_t": i1, "i3_cluster_bootstrap": i3, "i9_bootstrap_p": i9, "i10_sign_flip": i10, "i11_holm": i11, "i12_contrast": i12, "i13_ols_hac": i13, "i14_ols_slope": i14,
+    "i1_one_sample_t": i1, "i9_bootstrap_p": i9, "i10_sign_flip": i10, "i11_holm": i11, "i12_contrast": i12, "i13_ols_hac": i13, "i14_ols_slope": i14,
     "b2_majority_lag": b2, "b3_multinomial_logit": b3, "b5_isotonic": b5, "b7_futures_moves": b7, "b8_argmax": b8, "b11_market_normalize": b11, "b12_information_set": b12,
     "e1_point_in_time": e1, "e2_missing_operands": e2, "e4_overlay_diff": e4, "e6_resume_state": e6,
     "x4_mcnemar": x4, "x6_trailing_se": x6, "x7_series_changes": x7, "x9_midpoint_quota": x9, "x12_median_rank": x12, "x14_ranked_candidate": x14, "x15_tolerance_winner": x15, "x18_number_multiset": x18, "x21_label_move": x21, "x22_train_overlap": x22, "x24_strip_evidence": x24,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import inference as I
 from ..operators import resampling as B
 from ..session import table
 
@@ -26,6 +27,16 @@ def i2(spark, d):
     return B.interval(draws, "mean").select(_r("low").alias("low"), _r("high").alias("high"), "draws")
 
 
+def i3(spark, d):
+    """Means of nation means by market segment, nations drawn within each: estimate, interval and both p values."""
+    c = table(spark, d, "customer").withColumn("effect", F.col("c_acctbal") - 4500.0)
+    means = c.groupBy(F.col("c_mktsegment").alias("stratum"), F.col("c_nationkey").alias("unit")).agg(F.avg("effect").alias("m"))
+    drawn = B.plan(c, "c_nationkey", "c_mktsegment", DRAWS).join(means, ["stratum", "unit"])
+    draws = drawn.groupBy("stratum", "draw").agg((F.sum(F.col("m") * F.col("times")) / F.sum("times")).alias("x"))
+    found = B.interval(draws, "x", ["stratum"]).join(draws.groupBy("stratum").agg(F.collect_list("x").alias("xs")), "stratum").join(means.groupBy("stratum").agg(F.avg("m").alias("estimate")), "stratum")
+    return found.select(F.col("stratum").alias("c_mktsegment"), _r("estimate").alias("estimate"), _r("low").alias("low"), _r("high").alias("high"), _r(I.bootstrap_p(F.col("xs"))).alias("p"), _r(I.null_centred_p(F.col("xs"), F.col("estimate"))).alias("p_null"))
+
+
 def i4(spark, d):
     """Several metrics of nations under the same draws."""
     n = table(spark, d, "nation")
@@ -83,7 +94,7 @@ def x5(spark, d):
     return B.interval(macro, "x").select(_r("low").alias("low"), _r("high").alias("high"), "draws")
 
 
-QUERIES = {"i2_bootstrap_means": i2, "i4_joint_bootstrap": i4, "i5_split_stratified_plan": i5, "i6_block_bootstrap": i6, "i7_class_stratified": i7, "i8_paired_contrast": i8, "x1_hierarchical": x1, "x5_direction_stratified": x5}
+QUERIES = {"i2_bootstrap_means": i2, "i3_cluster_bootstrap": i3, "i4_joint_bootstrap": i4, "i5_split_stratified_plan": i5, "i6_block_bootstrap": i6, "i7_class_stratified": i7, "i8_paired_contrast": i8, "x1_hierarchical": x1, "x5_direction_stratified": x5}
 
 
 def _plan(units: str, seed: str = "s") -> str:
@@ -104,6 +115,7 @@ _DIRECTION = "['cut', 'hold', 'hike'][p_size % 3 + 1]"
 
 ORACLE_SQL = {
     "i2_bootstrap_means": f"SELECT {_CUTS} FROM (SELECT draw, sum(s_acctbal * times) / sum(times) AS x FROM {_plan(_units('s_suppkey', _ALL, 'supplier'))} JOIN supplier ON unit = s_suppkey GROUP BY ALL)",
+    "i3_cluster_bootstrap": f"WITH m AS (SELECT c_mktsegment AS stratum, c_nationkey AS unit, avg(c_acctbal - 4500) AS m FROM customer GROUP BY ALL), d AS (SELECT p.stratum, draw, sum(m * times) / sum(times) AS x FROM {_plan(_units('c_nationkey', 'c_mktsegment', 'customer'))} p JOIN m ON m.stratum = p.stratum AND m.unit = p.unit GROUP BY ALL), e AS (SELECT stratum, avg(m) AS e FROM m GROUP BY ALL) SELECT stratum AS c_mktsegment, round(any_value(e), 6) AS estimate, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high, round(least(1, 2 * (least(count(*) FILTER (WHERE x <= 0), count(*) FILTER (WHERE x >= 0)) + 1) / (count(*) + 1)), 6)::DOUBLE AS p, round((1 + count(*) FILTER (WHERE abs(x - e) >= abs(e))) / (count(*) + 1), 6)::DOUBLE AS p_null FROM d JOIN e USING (stratum) GROUP BY ALL",
     "i4_joint_bootstrap": f"SELECT draw::INT AS draw, round(sum(length(n_name) * times) / sum(times), 6) AS a, round(sum(n_regionkey * times) / sum(times), 6) AS b FROM {_plan(_units('n_nationkey', _ALL, 'nation'))} JOIN nation ON unit = n_nationkey GROUP BY ALL",
     "i5_split_stratified_plan": f"SELECT draw::INT AS draw, round(sum(m * w) / sum(w), 6) AS mean FROM (SELECT draw, n_regionkey, sum(c_acctbal * times) / sum(times) AS m FROM {_plan(_units('c_nationkey', 'n_regionkey::VARCHAR', _CN))} JOIN ({_units('c_nationkey', 'n_regionkey', _CN)}) u(k, n_regionkey) ON unit = k JOIN customer ON c_nationkey = unit GROUP BY ALL) JOIN (SELECT n_regionkey, count(DISTINCT c_nationkey) AS w FROM {_CN} GROUP BY ALL) USING (n_regionkey) GROUP BY ALL",
     "i6_block_bootstrap": f"WITH o AS {_MONTHS} SELECT draw::INT AS draw, round(sum(o_totalprice * times) FILTER (WHERE o_orderstatus = 'F') / sum(times) FILTER (WHERE o_orderstatus = 'F') - sum(o_totalprice * times) FILTER (WHERE o_orderstatus = 'O') / sum(times) FILTER (WHERE o_orderstatus = 'O'), 6) AS difference FROM {_plan(_units('block', _ALL, 'o'))} JOIN o ON unit = block GROUP BY ALL",
