@@ -64,8 +64,10 @@ _MEETINGS = "(SELECT unnest(generate_series(a::TIMESTAMP, (b + 5)::TIMESTAMP, IN
 
 
 def _by_type(spark, d, step=3):
+    # The meetings are one row, an array, until they are beside each type.
+    every = _meetings(spark, d, step).agg(F.array_sort(F.collect_list("meeting")).alias("meetings"))
     types = _rates(spark, d).select("event_type").distinct()
-    return _meetings(spark, d, step).join(F.broadcast(types))
+    return types.join(F.broadcast(every)).select(F.explode("meetings").alias("meeting"), "event_type")
 
 
 def j7(spark, d):
