@@ -156,3 +156,29 @@ def expanding_training(df: DataFrame, end: str, start: str) -> DataFrame:
     days = ends.withColumn("target", F.lit(None).cast(df.schema[start].dataType)).select("_at", "_ended", "target").unionByName(starts)
     w = W.orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
     return days.withColumn("n_train", F.sum("_ended").over(w)).where("target is not null").select("target", "n_train")
+
+
+def balanced_selection(df: DataFrame, group: str, topic: str, salt: str) -> DataFrame:
+    """(group, topic): each group in order takes, of its topics, the one taken least so far; ties by the salted hash of group and topic.
+
+    What a group takes depends on all groups before it, so the distinct pairs, and nothing
+    else, go through one sequential loop.
+    """
+    kinds = dict(df.dtypes)
+    pairs = df.select(group, topic).where(F.col(topic).isNotNull()).distinct().withColumn("_h", F.sha2(F.concat_ws("|", F.lit(salt), F.col(group).cast("string"), F.col(topic).cast("string")), 256))
+
+    def choose(batches):
+        held = [b for b in batches if len(b)]
+        used: dict = {}
+        if held:
+            import pandas as pd
+
+            rows = pd.concat(held).sort_values([group, "_h"])
+            out = []
+            for g, own in rows.groupby(group, sort=True):
+                best = min(zip(own[topic], own["_h"], strict=True), key=lambda x: (used.get(x[0], 0), x[1]))[0]
+                used[best] = used.get(best, 0) + 1
+                out.append((g, best))
+            yield pd.DataFrame(out, columns=[group, topic])
+
+    return pairs.coalesce(1).mapInPandas(choose, f"{group} {kinds[group]}, {topic} {kinds[topic]}")

@@ -165,6 +165,10 @@ def d27(spark, d):
     return S.expanding_training(m, "end", "start")
 
 
+def x8(spark, d):
+    return S.balanced_selection(table(spark, d, "customer"), "c_nationkey", "c_mktsegment", "x8")
+
+
 def d28(spark, d):
     o = _o(spark, d).groupBy(F.year("day").alias("year")).agg(F.count("*").alias("n"), *(F.count_if(F.col("o_orderstatus") == s).alias(s.lower()) for s in "FOP"))
     return o.withColumn("eligible", (F.col("n") >= 30) & (F.least("f", "o", "p") >= 3))
@@ -175,13 +179,14 @@ QUERIES = {
     "d1_decision_dedup": d1, "d2_counted_dedup": d2, "d3_first_after_sort": d3, "d4_canonical_collapse": d4, "d5_identity_conflict": d5, "d6_key_conflict_profile": d6, "d7_chronological_split": d7,
     "d8_hash_split": d8, "d9_hash_role": d9, "d10_top_share": d10, "d11_replay_stride": d11, "d12_primary_replay": d12, "d13_reproducible_sort": d13, "d14_row_manifest": d14, "d15_seeded_sample": d15,
     "d16_quantile_pick": d16, "d17_balanced_schedule": d17, "d18_schedule_order": d18, "d19_row_seed": d19, "d20_stable_ids": d20, "d21_sequential_ids": d21, "d22_intervention_subset": d22,
-    "d23_frequency_sampling": d23, "d24_calendar_lookback": d24, "d25_recent_n": d25, "d26_budgeted_projection": d26, "d27_expanding_window": d27, "d28_eligibility": d28,
+    "d23_frequency_sampling": d23, "d24_calendar_lookback": d24, "d25_recent_n": d25, "d26_budgeted_projection": d26, "d27_expanding_window": d27, "d28_eligibility": d28, "x8_balanced_selection": x8,
 }
 
 _HOLD = "CASE o_orderstatus WHEN 'F' THEN 'cut' WHEN 'O' THEN 'hold' ELSE 'hike' END"
 _SCHEDULE = f"""SELECT position, step, label, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY position) - 1 AS use FROM (SELECT i AS position, (i // 8)::INT AS step, ['hold', 'hike', 'hold', 'cut', 'hold', 'hike', 'hold', 'cut'][i % 8 + 1] AS label FROM range(192) t(i))) JOIN (SELECT o_orderkey, {_HOLD} AS label, row_number() OVER (PARTITION BY {_HOLD} ORDER BY sha256('cycle|' || o_orderkey), o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY {_HOLD}) AS n FROM orders) USING (label) WHERE use % n = pos"""
 
 ORACLE_SQL = {
+    "x8_balanced_selection": "WITH RECURSIVE g AS (SELECT c_nationkey, row_number() OVER (ORDER BY c_nationkey) AS i FROM (SELECT DISTINCT c_nationkey FROM customer)), p AS (SELECT DISTINCT i, c_nationkey, c_mktsegment, sha256('x8|' || c_nationkey || '|' || c_mktsegment) AS h FROM customer JOIN g USING (c_nationkey)), s AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS used UNION ALL SELECT s.i + 1, list_append(used, (SELECT arg_min(p.c_mktsegment, lpad(len(list_filter(s.used, lambda u: u = p.c_mktsegment))::VARCHAR, 12, '0') || p.h) FROM p WHERE p.i = s.i + 1)) FROM s WHERE s.i < (SELECT max(i) FROM g)) SELECT c_nationkey, used[i] AS c_mktsegment FROM g, (SELECT used FROM s ORDER BY i DESC LIMIT 1)",
     "p1_d1_w1_a4_meeting_panel": "SELECT month, count(*) AS actions, round(avg(m), 4) AS mean_price FROM (SELECT month, lag_action, avg(o_totalprice) AS m FROM (SELECT *, lag(o_orderstatus, 1, 'No change') OVER (PARTITION BY month ORDER BY meeting_date) AS lag_action FROM (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS meeting_date, strftime(o_orderdate, '%Y-%m') AS month FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderdate::DATE ORDER BY (trim(o_orderpriority) = '')::INT, o_orderkey) = 1)) GROUP BY ALL) GROUP BY month",
     "d1_decision_dedup": "SELECT o_orderdate::DATE AS day, min(o_orderkey) AS o_orderkey, min(dayofweek(o_orderdate) + 1)::INT AS label FROM orders GROUP BY 1",
     "d2_counted_dedup": "SELECT day, o_orderkey, deduplicated_from FROM (SELECT o_orderdate::DATE AS day, o_orderkey, count(*) OVER (PARTITION BY o_orderdate::DATE) AS deduplicated_from, row_number() OVER (PARTITION BY o_orderdate::DATE ORDER BY (o_orderstatus = 'P')::INT, o_custkey, o_orderkey) AS rn FROM orders) WHERE rn = 1",

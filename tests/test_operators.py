@@ -111,3 +111,9 @@ def test_label_swap(spark):
     rows = [("a", k, float(x), float(y)) for k, (x, y) in enumerate([(1, 0), (1, 0), (0, 0), (1, 0)])]
     got = I.label_swap(spark.createDataFrame(rows, "g string, u int, x double, y double"), "g", "u", F.col("x"), F.col("y")).first()
     assert got.p == 0.25 and got.masks == 16
+
+
+def test_balanced_selection(spark):
+    rows = [(g, t) for g in range(12) for t in ("x", "y", "z")] + [(50, "x"), (51, "x"), (52, None), (60, "y"), (60, "x")]
+    got = {r.g: r.t for r in S.balanced_selection(spark.createDataFrame(rows, "g int, t string"), "g", "t", "s").collect()}
+    assert sorted(list(got.values())[:12]).count("x") == 4 and got[50] == got[51] == "x" and got[60] == "y" and 52 not in got
