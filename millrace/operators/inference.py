@@ -160,6 +160,23 @@ def ols(df: DataFrame, by: str, y: str, xs: list[str], order: str, lags: int | N
     return found.select(by, "_s", "_e", at).select(by, "term", F.col("_s")[F.col("_k")].alias("beta"), F.col("_e")[F.col("_k")].alias("se"))
 
 
+def beta_bootstrap(rows: DataFrame, arm: str, y: str, xs: list[str], block: str, drawn: DataFrame) -> DataFrame:
+    """(draw, arm, n, betas, status): the regression of every arm on the blocks of every draw of a plan that all arms share.
+
+    Sums of products are taken per block once and only weighted by a draw, so a draw costs
+    blocks and not rows.  Where rows have a column `draw` (scores drawn anew), sums are taken for
+    each.  betas are of the constant and xs in order; a draw without full rank is rejected.
+    """
+    x = [F.lit(1.0), *(F.col(c).cast("double") for c in xs)]
+    k, keys = len(x), ["draw"] if "draw" in rows.columns else []
+    products = [*(a * b for a in x for b in x), *(a * F.col(y).cast("double") for a in x), F.lit(1.0)]
+    sums = rows.groupBy(*keys, F.col(arm).alias("arm"), F.col(block).alias("unit")).agg(*(F.sum(p).alias(f"m{i}") for i, p in enumerate(products)))
+    met = drawn.select("draw", "unit", "times").join(sums, ["unit", *keys])
+    weighted = met.groupBy("draw", "arm").agg(F.array(*(F.sum(F.col(f"m{i}") * F.col("times")) for i in range(len(products)))).alias("m"))
+    solved = weighted.select("draw", "arm", F.element_at("m", -1).cast("long").alias("n"), _solved("m").alias("s"))
+    return solved.select("draw", "arm", "n", F.slice("s", 1, k).alias("betas"), F.when(F.col("s").isNull(), "rank deficient").otherwise("ok").alias("status"))
+
+
 def mcnemar(a_only: Column, b_only: Column) -> Column:
     """Exact two-sided binomial p of the discordant counts; terms are relative to the largest, so that no count underflows."""
     n, k = a_only + b_only, F.least(a_only, b_only)

@@ -123,12 +123,67 @@ def chunks_udf(budget: int):
     return chunk
 
 
-# Marks of drafts that must not stay in a cleaned text.
-CONTAMINATION = {"evidence_id": r"\[E\d+\]", "citation": r"\(\d{4}\)", "control": r"</?(?:think|answer)>", "heading": r"(?m)^#+ ", "bullet": r"(?m)^\s*[-*] "}
+def chunk_pairs(df, a: str, b: str, budget: int):
+    """Rows of df with `chunk_a`, `chunk_b` and `weight`: the k-th chunk of one text beside the k-th of the other.
+
+    The weight is the larger word count; a chunk without a partner meets null.  Texts without words leave no row.
+    """
+    cut, words = chunks_udf(budget), lambda c: F.when(c.isNull(), 0).otherwise(F.size(F.split(c, r"\s+")))
+    pairs = df.select("*", F.explode(F.arrays_zip(F.coalesce(cut(a), F.array()).alias("x"), F.coalesce(cut(b), F.array()).alias("y"))).alias("_c"))
+    pairs = pairs.select(*df.columns, F.col("_c.x").alias("chunk_a"), F.col("_c.y").alias("chunk_b"))
+    return pairs.withColumn("weight", F.greatest(words(F.col("chunk_a")), words(F.col("chunk_b"))))
+
 
+def chunk_weighted(df, key: str, a: str, b: str, budget: int, scorer):
+    """(key, pairs, score): the scorer's mean over chunk pairs by weight, 0 for a chunk without a partner; score 0 where no text has words."""
+    scored = chunk_pairs(df.select(key, a, b), a, b, budget)
+    both = F.col("chunk_a").isNotNull() & F.col("chunk_b").isNotNull()
+    scored = scored.withColumn("_s", F.when(both, scorer(F.coalesce("chunk_a", F.lit("")), F.coalesce("chunk_b", F.lit("")))).otherwise(0.0))
+    mean = scored.groupBy(key).agg(F.count("*").alias("pairs"), (F.sum(F.col("_s") * F.col("weight")) / F.sum("weight")).alias("score"))
+    return df.select(key).join(mean, key, "left").select(key, F.coalesce("pairs", F.lit(0)).alias("pairs"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
-def contamination(c):
-    """Names of the categories whose mark occurs, in order; unmatched double quotes count as one."""
+
+# Marks of drafts that must not stay in a cleaned text.
+_HEADINGS = r"plan|outline|reasoning|analysis|checking|check|draft|final(?:\s+answer)?|rewrite|fidelity(?:\s+check)?|steps?|claims?|quantities|dates?|directions?|comparisons?|uncertainty"
+CONTAMINATION = {
+    "evidence_id": r"(?i)\bev-[0-9a-f]+\b",
+    "ev_citation_phrase": r"(?i)\b(?:ev[- ]citations?|evidence[- ]citations?)\b",
+    "control_marker": r"</?think>|</?answer>|<\|(?:begin|end)_of_sentence\|>",
+    "heading": rf"(?im)^\s*(?:#{{1,6}}\s*)?(?:{_HEADINGS})\s*(?::|$)",
+    "bullet_marker": r"(?m)^\s*(?:[-*+•]|\d+[.)]|[A-Za-z][.)])\s+",
+    "meta:transport_or_role": r"(?i)\b(?:prompt|instruction|task|user|teacher|student|assistant|json|api|schema|field|key|response|final answer|answer tag|control tag|output (?:format|contract|text|answer|response)|the output)\b",
+    "meta:fidelity_inventory": r"(?i)\b(?:silent fidelity ledger|fidelity ledger|quantity occurrences?|date markers?|required dates?|numeric multiset|all quantities|every occurrence|correction notes?|source surface forms?)\b",
+    "meta:checking": r"(?i)(?:^|\b)(?:check(?:ing|ed)?|verify|verification|ensure|double[- ]check|confirm(?:ing|ed)?|make sure|all (?:quantities|dates|claims|directions|comparisons) (?:are |remain )?(?:present|preserved)|good\.?$)",
+    "meta:drafting": r"(?i)\b(?:draft(?:ing|ed)?|rewrite|rephrase|reword|formulation|one formal paragraph|one paragraph|single paragraph|word limit|token limit|minutes[- ]style|formal (?:fomc )?minutes|formal tone|passive voice|past tense|prose should|sentence should|fomc minutes)\b",
+    "meta:instruction_recap": r"(?i)\b(?:must|need(?:s)? to|should|do not|don['’]?t|avoid|remove|preserve|retain|include|mention|use exactly|must appear|no extra|without adding|not add|never add|not introduce|no new facts?|no extra information|no rounding|no conversion|no derived quantities|use exact numbers?)\b",
+    "meta:self_narration": r"(?i)\b(?:let['’]?s|we\s+(?:need|should|must|will|can)|we['’]?ll|so\s+we['’]?ll|i['’]?ll|i\s+(?:need|should|must|will|can|have|haven['’]?t)|now\s+(?:craft|write|produce|check|rewrite))\b",
+    "meta:citation_process": r"(?i)\b(?:citations?|ev[- ]citations?|according to (?:the )?(?:data|source))\b",
+    "meta:source_narration": r"(?i)\b(?:(?:provided|source|original|supplied)\s+(?:analysis|text|passage)|the analysis|this analysis)\b",
+    "meta:evaluation_chatter": r"(?i)\b(?:seems? faithful|that is faithful|this is faithful|this seems fine|construct (?:a )?(?:cohesive )?paragraph|perhaps\s*:|modal verb may|may is (?:not )?a month)",
+}
+SENTENCE_END = r"([.!?])[\"'”’)\]]*\s+|\n+"
+QUOTED_FROM = 80  # characters from which a normalised source counts as quoted
+REPEATED_FROM = 5  # words from which a sentence counts as repeated
+
+
+def normalized(c):
+    """Lower-case words, digits and `%$.-`, single spaces between."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_%$.-]+", " "))
+
+
+def contamination(c, sources: dict | None = None):
+    """Sorted names of the marks in a draft; null has none.
+
+    Besides the fixed patterns: quotes that do not pair, whole sources (by name) that the
+    draft repeats, and sentences of five words or more that come twice.
+    """
     marks = [F.when(c.rlike(p), F.lit(name)) for name, p in CONTAMINATION.items()]
-    odd = F.when(F.regexp_count(c, F.lit('"')) % 2 == 1, F.lit("unmatched_quote"))
-    return F.array_compact(F.array(*marks, odd))
+    odd = (F.regexp_count(c, F.lit('"')) % 2 == 1) | (F.regexp_count(c, F.lit("“")) != F.regexp_count(c, F.lit("”")))
+    marks.append(F.when(odd, F.lit("unmatched_quote")))
+    for name, source in (sources or {}).items():
+        whole = normalized(source)
+        marks.append(F.when((F.length(whole) >= QUOTED_FROM) & normalized(c).contains(whole), F.lit(f"quoted_or_repeated:{name}")))
+    sentences = F.transform(F.split(F.regexp_replace(c, SENTENCE_END, "$1\n"), "\n"), normalized)
+    long = F.filter(sentences, lambda s: F.size(F.split(s, " ")) >= REPEATED_FROM)
+    marks.append(F.when(F.size(long) > F.size(F.array_distinct(long)), F.lit("duplicate_sentence")))
+    return F.array_sort(F.array_compact(F.array(*marks)))

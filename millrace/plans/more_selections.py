@@ -20,13 +20,6 @@ def b1(spark, d):
     return out.select("o_orderkey", "a", F.lag("o_orderstatus", 1, "No change").over(W.partitionBy(F.year("day")).orderBy("day", "o_orderkey")).alias("previous"))
 
 
-def b6(spark, d):
-    """Hazard 1 / (1 + exp(-(a + b x))) and action probabilities of hold, raise and cut."""
-    h = 1 / (1 + F.exp(-(F.lit(-1.0) + 0.5 * F.col("l_discount") * 10)))
-    up = F.col("l_tax") / (F.col("l_tax") + F.col("l_discount") + 0.01)
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg(1 - h), 8).alias("hold"), F.round(F.avg(h * up), 8).alias("raise"), F.round(F.avg(h * (1 - up)), 8).alias("cut"))
-
-
 def b13(spark, d):
     """Contract panel: per month the price of the h-th live contract, h 1 and 2."""
     c = table(spark, d, "lineitem").groupBy(F.last_day("l_shipdate").alias("last_trade")).agg(F.round(F.avg("l_extendedprice"), 4).alias("price"))
@@ -40,11 +33,6 @@ def e3(spark, d):
     return table(spark, d, "documents").groupBy(F.array_join(codes, ",").alias("codes")).agg(F.count("*").alias("n"))
 
 
-def e5(spark, d):
-    o = table(spark, d, "orders")
-    return o.agg(F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("ids"), F.sha2(F.max(F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority"), 256)), 256).alias("seal"))
-
-
 def x3(spark, d):
     a, b = F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 2 == 0
     return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("a_only"), F.count_if(b & ~a).alias("b_only"), F.count_if(~a & ~b).alias("neither"))
@@ -142,17 +130,15 @@ def t29(spark, d):
 
 
 QUERIES = {
-    "b1_feature_table": b1, "b6_hazard_actions": b6, "b13_contract_panel": b13, "e3_candidate_codes": e3, "e5_release_seal": e5, "x3_discordance": x3, "x10_quota_fill": x10, "x11_proportional_sample": x11, "x13_length_buckets": x13,
+    "b1_feature_table": b1, "b13_contract_panel": b13, "e3_candidate_codes": e3, "x3_discordance": x3, "x10_quota_fill": x10, "x11_proportional_sample": x11, "x13_length_buckets": x13,
     "x16_monetary_scale": x16, "x17_copy_metrics": x17, "x19_structure_gate": x19, "x20_majority_value": x20, "x23_increment_union": x23, "r6_repetition": r6, "r10_pass_rates": r10, "r14_judge_scores": r14, "t26_directions": t26, "t29_neutral_block": t29,
 }
 
 ORACLE_SQL = {
     "r6_repetition": "SELECT doc_id, round(CASE WHEN len(g) > len(list_distinct(g)) THEN (1 - len(list_distinct(g)) / len(g)) * -0.5 ELSE 0 END, 8)::DOUBLE AS reward FROM (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) ELSE [] END AS g FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents))",
     "b1_feature_table": "WITH a AS (SELECT l_shipdate::DATE AS obs, round(sum(l_quantity), 2) AS a FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), o AS (SELECT o_orderkey, o_orderdate::DATE AS day, o_orderstatus FROM orders) SELECT o_orderkey, a.a, lag(o_orderstatus, 1, 'No change') OVER (PARTITION BY year(day) ORDER BY day, o_orderkey) AS previous FROM o ASOF LEFT JOIN a ON o.day >= a.obs",
-    "b6_hazard_actions": "SELECT l_returnflag, round(avg(1 - h), 8) AS hold, round(avg(h * u), 8) AS raise, round(avg(h * (1 - u)), 8) AS cut FROM (SELECT l_returnflag, 1 / (1 + exp(-(-1.0 + 0.5 * l_discount * 10))) AS h, l_tax / (l_tax + l_discount + 0.01) AS u FROM lineitem) GROUP BY ALL",
     "b13_contract_panel": "SELECT last_trade, price, lead(last_trade) OVER (ORDER BY last_trade) AS next_trade, lead(price) OVER (ORDER BY last_trade) AS next_price FROM (SELECT last_day(l_shipdate::DATE) AS last_trade, round(avg(l_extendedprice), 4) AS price FROM lineitem GROUP BY 1)",
     "e3_candidate_codes": "SELECT array_to_string(list_filter([CASE WHEN contains(text, 'password') THEN 'forbidden token' END, CASE WHEN length(text) > 9000 THEN 'too long' END, CASE WHEN NOT regexp_matches(trim(text), '[.!?]$') THEN 'unfinished' END], lambda x: x IS NOT NULL), ',') AS codes, count(*) AS n FROM documents GROUP BY 1",
-    "e5_release_seal": "SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS ids, sha256(max(sha256(o_orderkey || '|' || o_orderpriority))) AS seal FROM orders",
     "x3_discordance": "SELECT o_orderstatus, count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS a_only, count(*) FILTER (WHERE b AND NOT a) AS b_only, count(*) FILTER (WHERE NOT a AND NOT b) AS neither FROM (SELECT o_orderstatus, o_orderkey % 3 = 0 AS a, o_custkey % 2 = 0 AS b FROM orders) GROUP BY ALL",
     "x10_quota_fill": "SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0) QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY (o_orderkey % 50 <> 0)::INT, sha256('salt|' || o_orderkey)) <= 7",
     "x11_proportional_sample": "SELECT o_orderpriority, o_orderkey FROM (SELECT *, greatest(1, floor(n * 40 / total)) AS quota FROM (SELECT *, count(*) OVER (PARTITION BY o_orderpriority) AS n, count(*) OVER () AS total, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) - 1 AS k FROM orders)) WHERE floor((k + 1) * quota / n) > floor(k * quota / n)",

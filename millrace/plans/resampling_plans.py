@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import inference as I
@@ -94,7 +95,28 @@ def x5(spark, d):
     return B.interval(macro, "x").select(_r("low").alias("low"), _r("high").alias("high"), "draws")
 
 
-QUERIES = {"i2_bootstrap_means": i2, "i3_cluster_bootstrap": i3, "i4_joint_bootstrap": i4, "i5_split_stratified_plan": i5, "i6_block_bootstrap": i6, "i7_class_stratified": i7, "i8_paired_contrast": i8, "x1_hierarchical": x1, "x5_direction_stratified": x5}
+def i15(spark, d):
+    """Regression of a month's mean price on a score and its lag, for two arms, over years drawn as blocks.
+
+    The score of a month is the mean of its replicates, which every draw takes anew; months of a
+    year are drawn together and both arms share the draws.
+    """
+    o = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), (F.col("o_custkey") % 4).alias("replicate"), (F.col("o_orderkey") % 2).cast("int").alias("arm"), (F.col("o_totalprice") / 1000).alias("price"), (F.col("o_custkey") % 11 / 10.0).alias("s"))
+    full = o.groupBy("month").agg(F.count_distinct("arm", "replicate").alias("k")).where("k = 8").select("month")
+    o = o.join(full, "month", "left_semi")
+    outcome = o.groupBy("month").agg(F.avg("price").alias("y"))
+    replicates = o.groupBy("arm", "month", "replicate").agg(F.avg("s").alias("s"))
+    drawn = B.plan(replicates, "replicate", "month", DRAWS, "replicate").select("draw", F.col("stratum").alias("month"), F.col("unit").alias("replicate"), "times")
+    scores = drawn.join(replicates, ["month", "replicate"]).groupBy("draw", "arm", "month").agg((F.sum(F.col("s") * F.col("times")) / F.sum("times")).alias("score"))
+    lagged = scores.withColumn("lag", F.lag("score").over(W.partitionBy("draw", "arm").orderBy("month"))).where("lag is not null")
+    rows = lagged.join(outcome, "month").withColumn("block", F.substring("month", 1, 4))
+    blocks = B.plan(full.select(F.substring("month", 1, 4).alias("block")), "block", None, DRAWS, "block")
+    fits = I.beta_bootstrap(rows, "arm", "y", ["score", "lag"], "block", blocks).where("status = 'ok'")
+    a, b = (fits.where(F.col("arm") == k).select("draw", F.col("betas")[1].alias(f"beta_{k}"), F.col("n").alias(f"n_{k}")) for k in (0, 1))
+    return a.join(b, "draw").select("draw", "n_0", _r("beta_0").alias("beta_0"), _r("beta_1").alias("beta_1"), _r(F.col("beta_1") - F.col("beta_0")).alias("contrast"))
+
+
+QUERIES = {"i2_bootstrap_means": i2, "i3_cluster_bootstrap": i3, "i4_joint_bootstrap": i4, "i5_split_stratified_plan": i5, "i6_block_bootstrap": i6, "i7_class_stratified": i7, "i8_paired_contrast": i8, "i15_beta_bootstrap": i15, "x1_hierarchical": x1, "x5_direction_stratified": x5}
 
 
 def _plan(units: str, seed: str = "s") -> str:
@@ -113,6 +135,10 @@ _MONTHS = "(SELECT *, strftime(o_orderdate, '%Y-%m') AS block FROM orders WHERE
 _CLASS = "CASE WHEN s_acctbal < 3000 THEN 'low' ELSE 'high' END"
 _DIRECTION = "['cut', 'hold', 'hike'][p_size % 3 + 1]"
 
+# Least squares of two regressors from weighted sums.
+_BETA = "((sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz))"
+_SUMS = ", ".join(f"sum(w * {a} * {b}) - sum(w * {a}) * sum(w * {b}) / sum(w) AS s{a}{b}" for a, b in ("xx", "xz", "zz", "xy", "zy"))
+
 ORACLE_SQL = {
     "i2_bootstrap_means": f"SELECT {_CUTS} FROM (SELECT draw, sum(s_acctbal * times) / sum(times) AS x FROM {_plan(_units('s_suppkey', _ALL, 'supplier'))} JOIN supplier ON unit = s_suppkey GROUP BY ALL)",
     "i3_cluster_bootstrap": f"WITH m AS (SELECT c_mktsegment AS stratum, c_nationkey AS unit, avg(c_acctbal - 4500) AS m FROM customer GROUP BY ALL), d AS (SELECT p.stratum, draw, sum(m * times) / sum(times) AS x FROM {_plan(_units('c_nationkey', 'c_mktsegment', 'customer'))} p JOIN m ON m.stratum = p.stratum AND m.unit = p.unit GROUP BY ALL), e AS (SELECT stratum, avg(m) AS e FROM m GROUP BY ALL) SELECT stratum AS c_mktsegment, round(any_value(e), 6) AS estimate, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high, round(least(1, 2 * (least(count(*) FILTER (WHERE x <= 0), count(*) FILTER (WHERE x >= 0)) + 1) / (count(*) + 1)), 6)::DOUBLE AS p, round((1 + count(*) FILTER (WHERE abs(x - e) >= abs(e))) / (count(*) + 1), 6)::DOUBLE AS p_null FROM d JOIN e USING (stratum) GROUP BY ALL",
@@ -123,4 +149,5 @@ ORACLE_SQL = {
     "i8_paired_contrast": f"SELECT {_CUTS} FROM (SELECT draw, sum((c_acctbal - (c_acctbal * 0.9 + c_custkey % 7 * 100)) * times) / sum(times) AS x FROM {_plan(_units('c_nationkey', _ALL, 'customer'))} JOIN customer ON unit = c_nationkey GROUP BY ALL)",
     "x1_hierarchical": f"WITH i AS (SELECT draw, stratum, sum((unit % 3 = 0)::INT * times) / sum(times) AS m FROM {_plan(_units('c_custkey', 'c_nationkey::VARCHAR', 'customer'), 'inner')} GROUP BY ALL) SELECT o.draw::INT AS draw, round(sum(m * times) / sum(times), 6) AS accuracy FROM {_plan(_units('c_nationkey', 'n_regionkey::VARCHAR', _CN), 'outer')} o JOIN i ON i.draw = o.draw AND i.stratum = o.unit::VARCHAR GROUP BY ALL",
     "x5_direction_stratified": f"SELECT {_CUTS} FROM (SELECT draw, avg(m) AS x FROM (SELECT draw, stratum, sum((p_partkey % 4 <> 1)::INT * times) / sum(times) AS m FROM {_plan(_units('p_partkey', _DIRECTION, 'part'))} JOIN part ON unit = p_partkey GROUP BY ALL) GROUP BY ALL)",
+    "i15_beta_bootstrap": f"WITH o0 AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_custkey % 4 AS replicate, o_orderkey % 2 AS arm, o_totalprice / 1000 AS price, o_custkey % 11 / 10.0::DOUBLE AS s FROM orders), k AS (SELECT month FROM o0 GROUP BY ALL HAVING count(DISTINCT (arm, replicate)) = 8), o AS (SELECT o0.* FROM o0 JOIN k USING (month)), yy AS (SELECT month, avg(price) AS y FROM o GROUP BY ALL), r AS (SELECT arm, month, replicate, avg(s) AS s FROM o GROUP BY ALL), c AS (SELECT draw, arm, r.month, sum(s * times) / sum(times) AS x FROM {_plan(_units('replicate', 'month', 'o'), 'replicate')} p JOIN r ON r.month = p.stratum AND r.replicate = p.unit GROUP BY ALL), g AS (SELECT *, lag(x) OVER (PARTITION BY draw, arm ORDER BY month) AS z FROM c), f AS (SELECT g.draw, arm, x, z, y, times AS w FROM g JOIN yy USING (month) JOIN {_plan(_units('month[1:4]', _ALL, 'k'), 'block')} b ON b.draw = g.draw AND b.unit = month[1:4] WHERE z IS NOT NULL), m AS (SELECT draw, arm, sum(w)::BIGINT AS n, {_SUMS} FROM f GROUP BY ALL) SELECT a.draw::INT AS draw, a.n AS n_0, round(a.b, 6) AS beta_0, round(b.b, 6) AS beta_1, round(b.b - a.b, 6) AS contrast FROM (SELECT draw, n, {_BETA} AS b FROM m WHERE arm = 0) a JOIN (SELECT draw, {_BETA} AS b FROM m WHERE arm = 1) b ON a.draw = b.draw",
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
+import sqlite3
 import uuid
 import zipfile
 
@@ -169,3 +171,45 @@ def read_plan(spark: SparkSession, path: str) -> DataFrame:
     if table_hash(df) != spark.read.schema("hash string").json(f"{path}.hash").first()[0]:
         raise ValueError(f"{path} is not the plan that was written")
     return df
+
+
+def sqlite_snapshot(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, content): each report table as the bytes of a SQLite database, made by one task; reports are small by nature.
+
+    Column types follow the schema; columns that may not be null say so.
+    """
+    out = None
+    for name, df in tables.items():
+        own = df.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(_snapshot(name, df.schema), "table string, content binary")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _snapshot(name: str, schema: T.StructType):
+    kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "string": "TEXT"}
+    columns = ", ".join(f'"{f.name}" {kinds[f.dataType.simpleString()]}{"" if f.nullable else " NOT NULL"}' for f in schema.fields)
+    marks = ", ".join("?" * len(schema.fields))
+
+    def snapshot(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns="_one").astype(object)
+        with contextlib.closing(sqlite3.connect(":memory:")) as con:
+            con.execute(f'CREATE TABLE "{name}" ({columns})')
+            con.executemany(f'INSERT INTO "{name}" VALUES ({marks})', rows.where(rows.notna(), None).itertuples(index=False))
+            con.commit()
+            return pd.DataFrame({"table": [name], "content": [con.serialize()]})
+
+    return snapshot
+
+
+def sqlite_rows(snapshots: DataFrame, sql: str, schema: str) -> DataFrame:
+    """Rows of a SQL query over every snapshot, answered where the snapshot is."""
+
+    def answer(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                with contextlib.closing(sqlite3.connect(":memory:")) as con:
+                    con.deserialize(bytes(content))
+                    got = con.execute(sql)
+                    yield pd.DataFrame(got.fetchall(), columns=[c[0] for c in got.description])
+
+    return snapshots.select("content").mapInPandas(answer, schema)
