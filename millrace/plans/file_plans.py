@@ -158,9 +158,39 @@ def x2(spark, d):
     return I.label_swap(s, "panel", "s_suppkey", a, b, F.when(F.col("s_acctbal") > 0, 0.5).otherwise(1.0)).select("panel", F.round("p", 8).alias("p"), "masks")
 
 
+def s5(spark, d):
+    """A workbook of customers' reports by nation, with nulls, texts that need escapes and numbers; written and read."""
+    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.max("c_acctbal"), 2).alias("most"))
+    name = F.when(F.col("c_nationkey") % 4 == 0, None).otherwise(F.concat(F.lit(" <a & b> "), F.col("c_nationkey").cast("string")))
+    at = files.scratch(spark)
+    files.write_workbook(c.select(F.col("c_nationkey").cast("long").alias("nation"), name.alias("name"), "n", F.when(F.col("c_nationkey") % 3 != 0, F.col("most")).alias("most")), f"{at}/book")
+    return files.read_workbooks(spark.read.parquet(f"{at}/book"), "nation long, name string, n long, most double")
+
+
+def s13(spark, d):
+    """Batches of keys by nation, asked of a source that refuses batches with a bad key; refused ones are halved."""
+
+    def ask(batches):
+        for batch in batches:
+            for nation, keys in zip(batch["nation"], batch["keys"], strict=True):
+                answers = files.bisected(list(keys), lambda b: None if any(k % 37 == 0 for k in b) else b)
+                got = [(int(nation), int(k), "unusable" if a is None else "available") for b, a in answers for k in b]
+                yield pd.DataFrame(got, columns=["nation", "key", "outcome"])
+
+    groups = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("nation"), F.floor(F.col("c_custkey") / 500).alias("part")).agg(F.array_sort(F.collect_list(F.col("c_custkey").cast("long"))).alias("keys"))
+    return groups.select("nation", "keys").mapInPandas(ask, "nation long, key long, outcome string")
+
+
+def s20(spark, d):
+    """Links of the pages that a download would follow: those of the same site, in full."""
+    links = files.page_links(table(spark, d, "pages").select("page_id", "url", "html"), "url", "html")
+    host = lambda c: F.regexp_extract(c, r"^[a-z]+://([^/?#]+)", 1)
+    return links.select("page_id", "link", (host(F.col("link")) == host(F.col("url"))).alias("same_site")).distinct()
+
+
 QUERIES = {
-    "s1_jsonl_scan": s1, "s2_jsonl_sink": s2, "s3_json_objects": s3, "s4_csv_series": s4, "s6_glob_provenance": s6, "s7_split_discovery": s7, "s8_extension_dispatch": s8, "s11_zip_vintages": s11,
-    "s16_json_sql": s16, "s17_create_only_publish": s17, "s18_fingerprint": s18, "s23_gzip_csv": s23, "s24_plan_table": s24, "t37_release_evidence": t37, "x2_label_swap": x2,
+    "s1_jsonl_scan": s1, "s2_jsonl_sink": s2, "s3_json_objects": s3, "s4_csv_series": s4, "s5_workbook": s5, "s6_glob_provenance": s6, "s7_split_discovery": s7, "s8_extension_dispatch": s8, "s11_zip_vintages": s11,
+    "s13_request_bisection": s13, "s16_json_sql": s16, "s17_create_only_publish": s17, "s18_fingerprint": s18, "s20_link_index": s20, "s23_gzip_csv": s23, "s24_plan_table": s24, "t37_release_evidence": t37, "x2_label_swap": x2,
 }
 
 _BALANCES = "SELECT c_nationkey AS nation, count(*) AS n, round(sum(c_acctbal) FILTER (WHERE c_custkey % 7 > 1), 4) AS balance FROM customer GROUP BY ALL"
@@ -171,6 +201,9 @@ ORACLE_SQL = {
     "s3_json_objects": "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY ALL",
     "s4_csv_series": _BALANCES,
     "s23_gzip_csv": _BALANCES,
+    "s5_workbook": "SELECT c_nationkey::BIGINT AS nation, CASE WHEN c_nationkey % 4 <> 0 THEN ' <a & b> ' || c_nationkey END AS name, count(*) AS n, CASE WHEN c_nationkey % 3 <> 0 THEN round(max(c_acctbal), 2) END AS most FROM customer GROUP BY c_nationkey",
+    "s13_request_bisection": "SELECT c_nationkey::BIGINT AS nation, c_custkey::BIGINT AS key, CASE WHEN c_custkey % 37 = 0 THEN 'unusable' ELSE 'available' END AS outcome FROM customer",
+    "s20_link_index": r"""WITH h AS (SELECT DISTINCT page_id, url, trim(unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1))) AS href FROM pages), l AS (SELECT page_id, url, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN split_part(url, ':', 1) || ':' || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || href ELSE regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '[^/]*$', '') || href END AS link FROM h WHERE href <> '' AND NOT regexp_matches(href, '(?i)^(#|javascript:|mailto:)')) SELECT DISTINCT page_id, link, split_part(link, '/', 3) = split_part(url, '/', 3) AS same_site FROM l""",
     "s6_glob_provenance": "SELECT CASE o_orderstatus WHEN 'F' THEN 'a_train' WHEN 'O' THEN 'b_validation' ELSE 'c_rest' END || '.jsonl' AS file, count(*) AS n, min(o_orderstatus) AS status, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY ALL",
     "s7_split_discovery": "SELECT CASE o_orderstatus WHEN 'F' THEN 'train' ELSE 'validation' END AS split, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL",
     "s8_extension_dispatch": "SELECT kind, n_nationkey AS key, n_name FROM nation, (VALUES ('jsonl'), ('parquet'), ('csv')) t(kind)",

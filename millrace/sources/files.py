@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import io
+import re
 import sqlite3
 import uuid
+import xml.etree.ElementTree as ET
 import zipfile
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -213,3 +216,116 @@ def sqlite_rows(snapshots: DataFrame, sql: str, schema: str) -> DataFrame:
                     yield pd.DataFrame(got.fetchall(), columns=[c[0] for c in got.description])
 
     return snapshots.select("content").mapInPandas(answer, schema)
+
+
+# Names of the spreadsheet format.
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_RELS = "http://schemas.openxmlformats.org/package/2006/relationships"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_TYPES = "http://schemas.openxmlformats.org/package/2006/content-types"
+_SHEET = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+_ILLEGAL = re.compile("[\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]")
+
+
+def workbook(names: list[str], rows) -> bytes:
+    """A workbook of one sheet with a header; texts are inline, null cells are left out."""
+
+    def cell(v):
+        if v is None or v != v:
+            return "<c/>"
+        if isinstance(v, bool):
+            return f'<c t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, (int, float)):
+            return f"<c><v>{v!r}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_ILLEGAL.sub("", str(v)))}</t></is></c>'
+
+    lines = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [names, *rows])
+    members = {
+        "[Content_Types].xml": f'<Types xmlns="{_TYPES}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{_SHEET}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{_SHEET}.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{_RELS}"><Relationship Id="r1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_RELS}"><Relationship Id="r1" Type="{_OFFICE}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{_MAIN}"><sheetData>{lines}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in members.items():
+            z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
+    return out.getvalue()
+
+
+def sheet_cells(content: bytes) -> list[dict[str, str | None]]:
+    """Rows of the first sheet as texts by header; shared and inline texts, gaps and cells without a reference are read."""
+    tag = lambda name: f"{{{_MAIN}}}{name}"
+    whole = lambda e: "".join(t.text or "" for t in e.iter(tag("t")))
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared = [whole(e) for e in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(tag("si"))] if "xl/sharedStrings.xml" in z.namelist() else []
+        sheet = next(iter(ET.fromstring(z.read("xl/workbook.xml")).iter(tag("sheet")))).get(f"{{{_OFFICE}}}id")
+        target = next(e.get("Target") for e in ET.fromstring(z.read("xl/_rels/workbook.xml.rels")) if e.get("Id") == sheet)
+        root = ET.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
+    head, out = None, []
+    for row in root.iter(tag("row")):
+        values, at = {}, 0
+        for c in row.iter(tag("c")):
+            if c.get("r"):
+                at = 0
+                for letter in filter(str.isalpha, c.get("r")):
+                    at = at * 26 + ord(letter.upper()) - 64
+                at -= 1
+            v = c.find(tag("v"))
+            values[at] = whole(c) if c.get("t") == "inlineStr" else None if v is None else shared[int(v.text)] if c.get("t") == "s" else v.text
+            at += 1
+        if head is None:
+            head = values
+        else:
+            out.append({name: values.get(k) for k, name in head.items() if name})
+    return out
+
+
+def write_workbook(df: DataFrame, path: str) -> None:
+    """A report table as one workbook, made by one task and stored with its name as a binary table; never over an existing path."""
+    names = df.columns
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        plain = [[v.item() if hasattr(v, "item") else v for v in r] for r in rows[names].itertuples(index=False)]
+        return pd.DataFrame({"content": [workbook(names, plain)]})
+
+    df.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(pack, "content binary").write.mode("error").parquet(path)
+
+
+def read_workbooks(books: DataFrame, schema: str, content: str = "content") -> DataFrame:
+    """Rows of the first sheets of workbooks (as binaryFile reads them, or write_workbook stores them); cells that do not fit the schema fail."""
+
+    @F.pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
+    def cells(c: pd.Series) -> pd.Series:
+        return c.map(lambda raw: None if raw is None else sheet_cells(bytes(raw)))
+
+    rows = books.select(F.explode(cells(content)).alias("r"))
+    return rows.select(*(F.col("r")[f.name].cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema).fields))
+
+
+def page_links(df: DataFrame, url: str, html: str) -> DataFrame:
+    """df with one row per distinct link of a page: `href` as written and `link` in full; links within a page and scripts are left out."""
+    hrefs = F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1)))
+    rows = df.select("*", F.explode(F.transform(hrefs, lambda h: F.trim(h))).alias("href")).where("href <> '' and not (href rlike '(?i)^(#|javascript:|mailto:)')")
+    base = F.regexp_extract(F.col(url), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    folder = F.regexp_extract(F.regexp_replace(F.col(url), r"[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]+(?:/.*)?/)[^/]*$", 1)
+    href = F.col("href")
+    full = F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(F.col(url), r"^([^:]+:)", 1), href)).when(href.startswith("/"), F.concat(base, href)).otherwise(F.concat(F.when(folder == "", F.concat(base, F.lit("/"))).otherwise(folder), href))
+    return rows.withColumn("link", full)
+
+
+def bisected(items: list, fetch) -> list[tuple[list, object]]:
+    """(items, answer) of the largest halves that fetch answers; one item that it does not answer has None.
+
+    fetch gives None for a batch that failed; halves keep the order of items.
+    """
+    out, open_batches = [], [items] if items else []
+    while open_batches:
+        batch = open_batches.pop()
+        if (got := fetch(batch)) is not None or len(batch) == 1:
+            out.append((batch, got))
+        else:
+            middle = len(batch) // 2
+            open_batches += [batch[middle:], batch[:middle]]
+    return out

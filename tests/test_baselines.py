@@ -124,3 +124,52 @@ def test_sqlite_snapshot(spark):
     assert sorted(r["table"] for r in both.collect()) == ["a", "b"]
     got = files.sqlite_rows(both.where("`table` = 'a'"), "SELECT k, t, v FROM a ORDER BY k", "k long, t string, v double").collect()
     assert sorted(map(tuple, got)) == [(1, "x", 0.5), (2, None, None)]
+
+
+def test_workbooks(spark, tmp_path):
+    rows = [(1, " a <b> & \x01é", 0.5, True), (2, None, None, None), (3, "", -1e300, False)]
+    book = files.workbook(["k", "t", "v", "b"], rows)
+    assert [r["t"] for r in files.sheet_cells(book)] == [" a <b> & é", None, ""]
+    (tmp_path / "a.xlsx").write_bytes(book)
+    got = files.read_workbooks(spark.read.format("binaryFile").load(f"{tmp_path}/a.xlsx"), "k long, t string, v double, b boolean").collect()
+    assert [tuple(r) for r in got] == [(1, " a <b> & é", 0.5, True), (2, None, None, None), (3, "", -1e300, False)]
+    assert files.sheet_cells(files.workbook(["k"], [])) == []
+    with pytest.raises(Exception):
+        files.read_workbooks(spark.createDataFrame([(bytearray(book),)], "content binary"), "t long").collect()
+
+
+def test_sheet_cells_of_other_writers():
+    import io
+    import zipfile
+
+    main, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    members = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="x" sheetId="3" r:id="rId7"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Target="/xl/worksheets/data.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{main}"><si><t>day</t></si><si><r><t>va</t></r><r><t>lue</t></r></si></sst>',
+        "xl/worksheets/data.xml": f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="AB1" t="s"><v>1</v></c></row><row r="2"><c r="AB2"><v>2.5</v></c></row></sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in members.items():
+            z.writestr(name, text)
+    assert files.sheet_cells(out.getvalue()) == [{"day": None, "value": "2.5"}]
+
+
+def test_page_links(spark):
+    html = """<a class=x href="/a.htm">1</a><A HREF='b.htm'>2</A><a href="#top">3</a><a href="https://o.org/c">4</a><a href="//o.org/d">5</a><a href="/a.htm">6</a><a href="javascript:x()">7</a>"""
+    df = spark.createDataFrame([("http://s.org/x/y.htm?q=/1", html), ("http://s.org", '<a href="b.htm">'), ("http://s.org/z", None)], "url string, html string")
+    got = sorted((r.url, r.link) for r in files.page_links(df, "url", "html").collect())
+    at = "http://s.org/x/y.htm?q=/1"
+    assert got == [("http://s.org", "http://s.org/b.htm"), (at, "http://o.org/d"), (at, "http://s.org/a.htm"), (at, "http://s.org/x/b.htm"), (at, "https://o.org/c")]
+
+
+def test_bisected():
+    asked = []
+
+    def fetch(batch):
+        asked.append(len(batch))
+        return None if 5 in batch else sum(batch)
+
+    assert files.bisected([1, 2, 3, 4, 5, 6, 7], fetch) == [([1, 2, 3], 6), ([4], 4), ([5], None), ([6, 7], 13)]
+    assert asked == [7, 3, 4, 2, 1, 1, 2] and files.bisected([], fetch) == []
