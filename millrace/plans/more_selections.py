@@ -9,6 +9,7 @@ from ..functions import responses as R
 from ..functions import text as T
 from ..operators import matching as M
 from ..operators import splits as S
+from ..operators import verification as V
 from ..session import table
 
 
@@ -27,10 +28,24 @@ def b13(spark, d):
     return c.select(F.col("last_trade"), "price", F.lead("last_trade", 1).over(w).alias("next_trade"), F.lead("price", 1).over(w).alias("next_price"))
 
 
+# What is put behind a candidate's reasoning, by the customer's key.
+_DEFECTS = ["", " <|im_end|>", " It fell due to rain.", " The FOMC decided so.", " It was 12,345.75 before.", " x" * 30, " And so on"]
+
+
 def e3(spark, d):
-    t = F.col("text")
-    codes = F.array_compact(F.array(F.when(t.contains("password"), F.lit("forbidden token")), F.when(F.length(t) > 9000, F.lit("too long")), F.when(~F.trim(t).rlike(r"[.!?]$"), F.lit("unfinished"))))
-    return table(spark, d, "documents").groupBy(F.array_join(codes, ",").alias("codes")).agg(F.count("*").alias("n"))
+    """Customers' cards with their orders as evidence; cards and candidates have defects by id."""
+    k, key = F.col("o_custkey"), F.col("o_orderkey")
+    o = table(spark, d, "orders")
+    evidence = o.select(k.alias("card"), F.when(key % 61 == 0, "").otherwise(F.concat(F.lit("e"), key)).alias("evidence_id"), F.when(key % 47 == 0, "short").otherwise(F.sha2(key.cast("string"), 256)).alias("sha256"), F.to_date("o_orderdate").alias("observed"), F.when(key % 53 != 0, key * 1.5).alias("value"))
+    c, low = F.col("c_custkey"), F.col("low")
+    added = F.element_at(F.array(*map(F.lit, _DEFECTS)), (c % len(_DEFECTS) + 1).cast("int"))
+    said = F.concat(F.lit("Demand rose to "), F.coalesce((low * 3 / 2).cast("decimal(18,1)").cast("string"), F.lit("nothing")), F.lit(" units in the last month of the year."))
+    cards = table(spark, d, "customer").select("c_custkey").join(o.groupBy(k.alias("c_custkey")).agg(F.min(key).alias("low")), "c_custkey", "left")
+    cutoff = F.when(c % 29 != 0, F.make_date(F.lit(1999), F.lit(1), F.lit(1))).alias("cutoff")
+    cited = F.when(c % 7 == 0, F.array(F.lit("e-1"))).when(low.isNotNull(), F.array(F.concat(F.lit("e"), low)))
+    rows = cards.select(c.alias("card"), F.concat(said, added).alias("reasoning"), F.when(c % 5 == 0, said).otherwise(F.lit("Demand rose.")).alias("final"), cited.alias("cited"), cutoff)
+    got = V.verify_candidates(rows, evidence, most_reasoning=30)
+    return got.select("card", F.array_join("codes", ",").alias("codes"), F.round("coverage", 8).alias("coverage"), F.size("unsupported").alias("unsupported"))
 
 
 def x3(spark, d):
@@ -134,11 +149,22 @@ QUERIES = {
     "x16_monetary_scale": x16, "x17_copy_metrics": x17, "x19_structure_gate": x19, "x20_majority_value": x20, "x23_increment_union": x23, "r6_repetition": r6, "r10_pass_rates": r10, "r14_judge_scores": r14, "t26_directions": t26, "t29_neutral_block": t29,
 }
 
+# The same rules over joined rows of evidence.
+_E3 = f"""
+WITH e AS (SELECT o_custkey AS card, CASE WHEN o_orderkey % 61 = 0 THEN '' ELSE 'e' || o_orderkey END AS id, o_orderkey % 47 <> 0 AS hashed, o_orderdate::DATE AS observed, CASE WHEN o_orderkey % 53 <> 0 THEN o_orderkey * 1.5::DOUBLE END AS value, o_orderkey FROM orders),
+g AS (SELECT card, min(o_orderkey) AS low, count(*) AS n, count(DISTINCT id) FILTER (WHERE id <> '') AS ids, bool_and(hashed) AS hashed, max(observed) AS last, bool_or(value IS NULL) AS blank FROM e GROUP BY ALL),
+c AS (SELECT c_custkey AS card, low, n, ids, hashed, last, blank, CASE WHEN c_custkey % 29 <> 0 THEN DATE '1999-01-01' END AS cutoff, 'Demand rose to ' || coalesce((low * 1.5)::DECIMAL(18,1)::VARCHAR, 'nothing') || ' units in the last month of the year.' AS said, {[*_DEFECTS]!r}[c_custkey % {len(_DEFECTS)} + 1] AS added, CASE WHEN c_custkey % 7 = 0 THEN 'e-1' ELSE 'e' || low END AS cited FROM customer LEFT JOIN g ON card = c_custkey),
+t AS (SELECT *, said || added AS r, CASE WHEN card % 5 = 0 THEN said ELSE 'Demand rose.' END AS f FROM c),
+v AS (SELECT t.*, lower(' ' || r || chr(10) || f || ' ') AS whole, e.id IS NOT NULL AS found, e.value AS allowed FROM t LEFT JOIN e ON e.card = t.card AND e.id = t.cited),
+u AS (SELECT *, len(list_filter([CASE WHEN low IS NOT NULL THEN low * 1.5::DOUBLE END, CASE WHEN card % {len(_DEFECTS)} = 4 THEN 12345.75 END, CASE WHEN card % 5 = 0 AND low IS NOT NULL THEN low * 1.5::DOUBLE END], lambda x: x IS NOT NULL AND NOT coalesce(abs(x - allowed) <= greatest(1e-6, abs(allowed) * 1e-6), false)))::INT AS unsupported FROM v)
+SELECT card, unsupported, coalesce(round(CASE WHEN ids > 0 AND found THEN 1 / ids ELSE 0 END, 8), 0)::DOUBLE AS coverage, array_to_string(list_filter([CASE WHEN cutoff IS NULL THEN 'fact_card_invalid_cutoff' END, CASE WHEN n IS NULL THEN 'fact_card_empty_evidence' END, CASE WHEN ids < n THEN 'fact_card_duplicate_or_empty_evidence_id' END, CASE WHEN NOT hashed THEN 'fact_card_invalid_source_hash' END, CASE WHEN last > cutoff THEN 'fact_card_post_cutoff_observation' END, CASE WHEN blank THEN 'fact_card_evidence_without_numeric_value' END, CASE WHEN contains(whole, '<|im_end|>') THEN 'candidate_forbidden_model_token' END, CASE WHEN len(regexp_extract_all(r, '[A-Za-z0-9]+')) > 30 THEN 'candidate_reasoning_too_long' END, CASE WHEN cited IS NOT NULL AND NOT found THEN 'candidate_unknown_evidence_id' END, CASE WHEN unsupported > 0 THEN 'candidate_unsupported_numeric_claim' END, CASE WHEN contains(whole, 'fomc decided') THEN 'candidate_external_policy_or_event' END, CASE WHEN contains(whole, ' due to ') THEN 'candidate_unlicensed_causal_claim' END, CASE WHEN contains(r, f) AND f = said THEN 'candidate_reasoning_final_duplication' END], lambda x: x IS NOT NULL), ',') AS codes FROM u
+"""
+
 ORACLE_SQL = {
+    "e3_candidate_codes": _E3,
     "r6_repetition": "SELECT doc_id, round(CASE WHEN len(g) > len(list_distinct(g)) THEN (1 - len(list_distinct(g)) / len(g)) * -0.5 ELSE 0 END, 8)::DOUBLE AS reward FROM (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) ELSE [] END AS g FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents))",
     "b1_feature_table": "WITH a AS (SELECT l_shipdate::DATE AS obs, round(sum(l_quantity), 2) AS a FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), o AS (SELECT o_orderkey, o_orderdate::DATE AS day, o_orderstatus FROM orders) SELECT o_orderkey, a.a, lag(o_orderstatus, 1, 'No change') OVER (PARTITION BY year(day) ORDER BY day, o_orderkey) AS previous FROM o ASOF LEFT JOIN a ON o.day >= a.obs",
     "b13_contract_panel": "SELECT last_trade, price, lead(last_trade) OVER (ORDER BY last_trade) AS next_trade, lead(price) OVER (ORDER BY last_trade) AS next_price FROM (SELECT last_day(l_shipdate::DATE) AS last_trade, round(avg(l_extendedprice), 4) AS price FROM lineitem GROUP BY 1)",
-    "e3_candidate_codes": "SELECT array_to_string(list_filter([CASE WHEN contains(text, 'password') THEN 'forbidden token' END, CASE WHEN length(text) > 9000 THEN 'too long' END, CASE WHEN NOT regexp_matches(trim(text), '[.!?]$') THEN 'unfinished' END], lambda x: x IS NOT NULL), ',') AS codes, count(*) AS n FROM documents GROUP BY 1",
     "x3_discordance": "SELECT o_orderstatus, count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS a_only, count(*) FILTER (WHERE b AND NOT a) AS b_only, count(*) FILTER (WHERE NOT a AND NOT b) AS neither FROM (SELECT o_orderstatus, o_orderkey % 3 = 0 AS a, o_custkey % 2 = 0 AS b FROM orders) GROUP BY ALL",
     "x10_quota_fill": "SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0) QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY (o_orderkey % 50 <> 0)::INT, sha256('salt|' || o_orderkey)) <= 7",
     "x11_proportional_sample": "SELECT o_orderpriority, o_orderkey FROM (SELECT *, greatest(1, floor(n * 40 / total)) AS quota FROM (SELECT *, count(*) OVER (PARTITION BY o_orderpriority) AS n, count(*) OVER () AS total, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) - 1 AS k FROM orders)) WHERE floor((k + 1) * quota / n) > floor(k * quota / n)",
