@@ -26,11 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINTS
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+#: Parquet's writer looks at the size of its pages and groups after 100 rows at the earliest, unless told so.
+WIDE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
+
+
+def settle(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out
@@ -46,15 +50,22 @@ def forget(df: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Python gets at most `rows` rows at a time from the jobs that run inside: for tables of very large rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+def arrow_rows(spark: SparkSession, rows: int, *more: str):
+    """Python gets at most `rows` rows at a time from the jobs that run inside: for tables of very large rows; so do the settings `more`."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", *more)
+    before = [spark.conf.get(name) for name in names]
+    for name in names:
+        spark.conf.set(name, rows)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, was in zip(names, before, strict=True):
+            spark.conf.set(name, was)
+
+
+def wide_rows(spark: SparkSession, rows: int):
+    """arrow_rows, also for the reader of Parquet, which else makes room for 4,096 rows of any size."""
+    return arrow_rows(spark, rows, "spark.sql.parquet.columnarReaderBatchSize")
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -4,13 +4,15 @@ Vectors are scaled to unit length and turned into the basis of their second-mome
 matrix, leading dimensions first.  Linked vectors differ by at most reach =
 sqrt(2 (1 - t)) in any dimension, so vectors of one label lie in a grid of that width over
 the leading dimensions, more of them for a label of more vectors, and only neighbouring
-cells are met.  A cell is dealt into tiles of at most TILE_ROWS with boxes over the first
-dimensions.  Of two tiles whose boxes come as close as reach, those rows of the one move
-that come as close to the box of the other.  There the products of the leading dimensions
-are accumulated first; the rest of a product is at most the product of the suffix norms,
-and a pair stops as soon as that bound cannot reach the threshold.  What remains is
-decided by the cosine of the vectors as given, in double precision; they are scaled by a
-power of two, which changes no quotient, so that no square overflows.
+cells are met.  A cell is dealt into tiles of at most TILE_ROWS and TILE_BYTES with boxes
+over the first dimensions.  Of two tiles whose boxes come as close as reach, those rows of
+the one move that come as close to the box of the other.  Where the spread is even over
+the dimensions no box prunes, and a vector moves about once for every two tiles of its
+label: large tiles keep that small, and few dimensions keep the cells from breaking them up.
+Two tiles are compared in blocks of at most PAIRS pairs: the product of the leading
+dimensions and the suffix norms bounds the cosine from above, by one matrix product, and
+what that leaves is decided by the cosine of the vectors as given, in double precision; they
+are scaled by a power of two, which changes no quotient, so that no square overflows.
 
 Equal vectors of a label are one class, compared once.  A tile pair returns degrees and
 a spanning forest, never its pairs, so groups of near copies stay linear in what moves.
@@ -33,13 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _forest, arrow_rows, components, exchange, forget, per_batch, per_task, record, settle, shuffle_width, spread
+from .common import WIDE_ROWS, _forest, components, exchange, forget, per_batch, per_task, record, settle, shuffle_width, spread, wide_rows
 
-TILE_ROWS = 512
+#: A tile's rows and bytes of vectors, at most (hashing deals rows a little unevenly).
+TILE_ROWS, TILE_BYTES = 4096, 2 << 20
 #: Leading dimensions of the grid, at most, and tiles that a group of one tile's comparisons meets.
-MOST_DIMS, GROUP = 5, 64
-#: Dimensions after which the bound is tested.
-STEPS = (4, 8, 16, 32)
+MOST_DIMS, GROUP = 5, 16
+#: Dimensions of a tile's box, and of the bound.
+BOX_DIMS, LEAD = 8, 16
+#: Pairs that are bounded at once, and components of vectors that are multiplied at once.
+PAIRS, PRODUCTS = 1 << 20, 1 << 20
 #: Room for rounding in bounds; the final test has none.
 SLACK = 1e-9
 
@@ -124,26 +129,42 @@ def _cells(classes: DataFrame, basis, width: float) -> DataFrame:
                 cell[i] = ",".join(map(str, row[: dims[i]]))
         yield record(label=batch.column(0), node=batch.column(1), class_size=batch.column(2), vector=batch.column(3), d=pa.array(size, pa.int32()), cell=pa.array(cell))
 
-    count = classes.groupBy("label").agg(F.greatest(F.lit(1), F.least(F.lit(MOST_DIMS), F.ceil(F.log(4.0, F.count("*") / F.lit(TILE_ROWS))))).cast("int").alias("dims"))
+    count = classes.groupBy("label").agg(F.greatest(F.lit(1), F.least(F.lit(MOST_DIMS), F.floor(F.log(8.0, F.count("*") / F.lit(TILE_ROWS))))).cast("int").alias("dims"))
     return per_batch(classes.join(count, "label").select("label", "node", "class_size", "vector", "dims"), "label string, node long, class_size long, vector binary, d int, cell string", run)
 
 
-def _tiles(cells: DataFrame, basis) -> DataFrame:
+def _tiles(cells: DataFrame, basis, width: int) -> DataFrame:
     """One row per tile: its cell, box over the leading dimensions, nodes, class sizes and vectors."""
-    count = cells.groupBy("label", "d", "cell").agg(F.ceil(F.count("*") / F.lit(TILE_ROWS)).cast("int").alias("tiles"))
+    most = F.greatest(F.lit(1), F.least(F.lit(TILE_ROWS), F.floor(F.lit(TILE_BYTES / 8) / F.col("d"))))
+    count = cells.groupBy("label", "d", "cell").agg(F.count("*").alias("n")).select("label", "d", "cell", F.ceil(F.col("n") / most).cast("int").alias("tiles"))
     dealt = cells.join(count, ["label", "d", "cell"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    tiles = dealt.groupBy("label", "d", "cell", "tile").agg(F.collect_list(F.struct("node", "class_size", "vector")).alias("rows"))
+    keys = ["label", "d", "cell", "tile"]
+    part = F.pmod(F.xxhash64(*keys), F.lit(width)).cast("int")
+    rows = exchange(dealt.select(*keys, "node", "class_size", "vector", part.alias("part")), "part", width).sortWithinPartitions(*keys)
+
+    def tile(key, nodes, sizes, vectors):
+        label, d, cell, k = key
+        x = np.frombuffer(b"".join(vectors)).reshape(-1, d)
+        y = (_unit(x) @ basis.value[d])[:, :BOX_DIMS]
+        return record(
+            id=pa.array([f"{label}\0{d}\0{cell}\0{k}"]), label=pa.array([label]), d=pa.array([d], pa.int32()), cell=pa.array([cell]), box=pa.array([np.concatenate([y.min(axis=0), y.max(axis=0)]).tolist()], pa.list_(pa.float64())),
+            nodes=pa.array([np.array(nodes, np.int64).tobytes()], pa.binary()), sizes=pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()), vectors=pa.array([x.tobytes()], pa.binary()),
+        )
 
-    def run(batch):
-        for label, d, cell, tile, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x = np.stack([np.frombuffer(r["vector"]) for r in rows])
-            y = (_unit(x) @ basis.value[d])[:, : STEPS[1]]
-            yield record(
-                id=pa.array([f"{label}\0{d}\0{cell}\0{tile}"]), label=pa.array([label]), d=pa.array([d], pa.int32()), cell=pa.array([cell]), box=pa.array([np.concatenate([y.min(axis=0), y.max(axis=0)]).tolist()], pa.list_(pa.float64())),
-                nodes=pa.array([np.array([r["node"] for r in rows], np.int64).tobytes()], pa.binary()), sizes=pa.array([np.array([r["class_size"] for r in rows], np.int64).tobytes()], pa.binary()), vectors=pa.array([x.tobytes()], pa.binary()),
-            )
+    def run(batches):
+        key, held = None, ([], [], [])
+        for batch in batches:
+            for label, d, cell, k, *row, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (label, d, cell, k) != key:
+                    if key is not None:
+                        yield tile(key, *held)
+                    key, held = (label, d, cell, k), ([], [], [])
+                for column, value in zip(held, row, strict=True):
+                    column.append(value)
+        if key is not None:
+            yield tile(key, *held)
 
-    return per_batch(tiles, "id string, label string, d int, cell string, box array<double>, nodes binary, sizes binary, vectors binary", run)
+    return per_task(rows, "id string, label string, d int, cell string, box array<double>, nodes binary, sizes binary, vectors binary", run)
 
 
 def _near_tiles(meta: DataFrame, reach: float) -> DataFrame:
@@ -162,27 +183,30 @@ def _near_tiles(meta: DataFrame, reach: float) -> DataFrame:
     return met.where(gap <= reach * reach + SLACK).select("a", "b", "box")
 
 
-def linked(x: np.ndarray, z: np.ndarray, basis: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs (i of x, j of z) of cosine at least t."""
-    a, b = _unit(x) @ basis, _unit(z) @ basis
-    d = a.shape[1]
-    steps = [s for s in STEPS if s < d]
-    tail = lambda m, s: np.sqrt(np.maximum((m[:, s:] ** 2).sum(axis=1), 0))
-    if steps:
-        s = steps[0]
-        acc = a[:, :s] @ b[:, :s].T
-        i, j = np.nonzero(acc + np.outer(tail(a, s), tail(b, s)) >= t - SLACK)
-        acc = acc[i, j]
-        for s, e in zip(steps, [*steps[1:], d], strict=True):
-            acc = acc + np.einsum("ij,ij->i", a[i, s:e], b[j, s:e])
-            on = acc + (tail(a, e)[i] * tail(b, e)[j] if e < d else 0) >= t - SLACK
-            i, j, acc = i[on], j[on], acc[on]
-    else:
-        i, j = np.nonzero(a @ b.T >= t - SLACK)
+def _lead(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Leading dimensions of the unit vectors and the norm of the rest: of two rows, their product is at least the cosine."""
+    y = _unit(x) @ basis
+    return np.hstack([y[:, :LEAD], np.sqrt((y[:, LEAD:] ** 2).sum(axis=1, keepdims=True))])
+
+
+def linked(x: np.ndarray, z: np.ndarray, lead_x: np.ndarray, lead_z: np.ndarray, t: float, same: bool):
+    """Blocks of row pairs (i of x, j of z) of cosine at least t; those with i < j where both are the same tile."""
     norm = lambda m: np.sqrt((m * m).sum(axis=1))
-    cosine = np.einsum("ij,ij->i", x[i], z[j]) / (norm(x)[i] * norm(z)[j])
-    on = cosine >= t
-    return i[on], j[on]
+    norm_x, norm_z = norm(x), norm(z)
+    rows, chunk = max(1, PAIRS // max(1, len(z))), max(1, PRODUCTS // x.shape[1])
+    for low in range(0, len(x), rows):
+        first = low if same else 0
+        i, j = np.nonzero(lead_x[low : low + rows] @ lead_z[first:].T >= t - SLACK)
+        i, j = i + low, j + first
+        if same:
+            on = i < j
+            i, j = i[on], j[on]
+        on = np.zeros(len(i), bool)
+        for k in range(0, len(i), chunk):
+            a, b = i[k : k + chunk], j[k : k + chunk]
+            on[k : k + chunk] = np.einsum("ij,ij->i", x[a], z[b]) / (norm_x[a] * norm_z[b]) >= t
+        if on.any():
+            yield i[on], j[on]
 
 
 def _moved(near: DataFrame, tiles: DataFrame, basis, reach: float) -> DataFrame:
@@ -208,10 +232,8 @@ def _compare(near: DataFrame, tiles: DataFrame, basis, t: float, reach: float, w
 
     A tile travels once for each group of GROUP tiles that it is compared with.
     """
-    groups = near.groupBy("a").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("groups"))
-    near = settle(near.join(groups, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int")), "near")
-    moved = settle(_moved(near, tiles, basis, reach), "moved")
-    own = tiles.select(F.col("id").alias("a"), "nodes", "sizes", "vectors", "d").join(moved.select("a", "g").distinct(), "a").select("a", "g", F.lit(None).cast("string").alias("b"), "nodes", "sizes", "vectors", "d")
+    own = tiles.select(F.col("id").alias("a"), "nodes", "sizes", "vectors", "d").join(near.select("a", "g").distinct(), "a").select("a", "g", F.lit(None).cast("string").alias("b"), "nodes", "sizes", "vectors", "d")
+    moved = _moved(near, tiles, basis, reach)
     part = F.pmod(F.xxhash64("a", "g"), F.lit(width)).cast("int")
     rows = exchange(moved.union(own).withColumn("part", part), "part", width).sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
 
@@ -220,19 +242,20 @@ def _compare(near: DataFrame, tiles: DataFrame, basis, t: float, reach: float, w
         for batch in batches:
             for a, g, b, nodes, sizes, vectors, d, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tile = np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(vectors).reshape(-1, d)
+                lead = _lead(tile[2], basis.value[d])
                 if b is None:
-                    key, centre = (a, g), tile
+                    key, centre = (a, g), (*tile, lead)
                     continue
                 assert key == (a, g)
-                (na, sa, x), (nb, sb, z) = centre, tile
-                i, j = linked(x, z, basis.value[d], t)
-                if a == b:
-                    on = i < j
-                    i, j = i[on], j[on]
-                if not len(i):
+                (na, sa, x, lead_x), (nb, sb, z) = centre, tile
+                da, db, forest = np.zeros(len(na), np.int64), np.zeros(len(nb), np.int64), []
+                for i, j in linked(x, z, lead_x, lead, t, a == b):
+                    da += np.bincount(i, sb[j], len(na)).astype(np.int64)
+                    db += np.bincount(j, sa[i], len(nb)).astype(np.int64)
+                    forest.append(_forest(na[i], nb[j]))
+                if not forest:
                     continue
-                da, db = np.bincount(i, sb[j], len(na)).astype(np.int64), np.bincount(j, sa[i], len(nb)).astype(np.int64)
-                u, v = _forest(na[i], nb[j])
+                u, v = _forest(*(np.concatenate(e) for e in zip(*forest, strict=True)))
                 node = np.concatenate([na[da > 0], nb[db > 0], u])
                 yield record(node=node, degree=np.concatenate([da[da > 0], db[db > 0], np.zeros(len(u), np.int64)]), parent=pa.array([*([None] * (len(node) - len(u))), *v.tolist()], pa.int64()))
 
@@ -251,11 +274,13 @@ def near_duplicates(embeddings: DataFrame, id_column: str = "vec_id", vector_col
     classes = settle(classes.withColumn("node", F.xxhash64("key")), "classes")
     basis = spark.sparkContext.broadcast(_moments(classes))
     reach = math.sqrt(max(0.0, 2 * (1 - threshold))) + SLACK
-    # A tile is a row of some hundred kilobytes, so Python gets a few at a time.
     cells = settle(_cells(classes, basis, max(reach, 1e-6)), "cells")
-    tiles = settle(_tiles(cells, basis), "tiles")
+    # A tile is a row of up to some megabytes: Parquet and Python get a few at a time.
+    tiles = settle(_tiles(cells, basis, width), "tiles", WIDE_ROWS)
     near = _near_tiles(tiles.select("id", "label", "d", "cell", "box"), reach)
-    with arrow_rows(spark, 8):
+    groups = near.groupBy("a").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("groups"))
+    near = settle(near.join(groups, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int")), "near")
+    with wide_rows(spark, 8):
         found = settle(_compare(near, tiles, basis, threshold, reach, width), "found")
     degree = found.where("parent is null").groupBy("node").agg(F.sum("degree").alias("degree"))
     held = usable.select("vec_id", F.xxhash64("key").alias("node"))
@@ -266,7 +291,7 @@ def near_duplicates(embeddings: DataFrame, id_column: str = "vec_id", vector_col
     low = member.groupBy("component").agg(F.min("rep").alias("component_id"))
     member = member.join(low, "component").select("key", (F.coalesce("degree", F.lit(0)) + F.col("class_size") - 1).cast("long").alias("n_links"), "component_id")
     member = settle(member, "member")
-    for old in (cells, tiles, found, classes):
+    for old in (cells, tiles, near, found, classes):
         forget(old)
     out = keyed.select("vec_id", "key").join(member, "key", "left")
     linkable = F.col("vec_id").isNotNull()

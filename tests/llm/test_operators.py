@@ -321,6 +321,21 @@ def test_embedding_dedup(spark, monkeypatch, tile):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_tiles_are_read_a_few_at_a_time(spark, monkeypatch):
+    # A reader that makes room for 4,096 rows of a tile's size takes gigabytes.
+    seen, compare = [], embed_dedup._compare
+
+    def watched(near, tiles, *rest):
+        seen.append(int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) * tiles.selectExpr("max(length(vectors)) n").first().n)
+        return compare(near, tiles, *rest)
+
+    monkeypatch.setattr(embed_dedup, "_compare", watched)
+    x = np.random.default_rng(1).standard_normal((600, 64))
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    assert embed_dedup.near_duplicates(df).where("kept").count() == 600
+    assert seen and max(seen) <= 64 << 20
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     items = [(k, _text(rng, 30)) for k in range(5)] + [(9, "too short"), (10, None)]
