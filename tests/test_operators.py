@@ -1,5 +1,7 @@
 """Operators whose queries have no SQL, or whose edge cases the tables do not hold, against values by hand."""
 
+import collections
+import hashlib
 import itertools
 import math
 
@@ -70,6 +72,24 @@ def test_plans(spark):
     assert sorted(map(tuple, rows)) != sorted(map(tuple, B.plan(units, "u", "s", 30, "other").collect()))
 
 
+@pytest.mark.parametrize("of", ["plan", "unit_means", "stratified_means"])
+def test_plans_of_many_units(spark, of):
+    """Several blocks of keys and chunks of positions, against md5 by hand; no table of units goes through the driver."""
+    units = spark.range(20_000).selectExpr("id * 7 - 60000 AS u", "IF(id < 12000, 'a', IF(id < 19999, 'b', NULL)) AS s", "double(id % 3) AS v")
+    keys = {"a": [k * 7 - 60000 for k in range(12_000)], "b": [k * 7 - 60000 for k in range(12_000, 19_999)]}
+    number = lambda d, s, p: int(hashlib.md5(f"s:{d}:{s}:{p}".encode()).hexdigest()[:12], 16) % len(keys[s])
+    taken = {(d, s): collections.Counter(keys[s][number(d, s, p)] for p in range(len(keys[s]))) for d in range(2) for s in keys}
+    value = {"unit_means": lambda u: u % 5, "stratified_means": lambda u: (u + 60000) // 7 % 3}
+    if of == "plan":
+        got = B.plan(units, "u", "s", 2)
+        assert {(r.draw, r.stratum, r.unit): r.times for r in got.collect()} == {(*k, u): n for k, c in taken.items() for u, n in c.items()}
+    else:
+        got = B.unit_means(units, "u", "s", 2, {"m": F.pmod("unit", F.lit(5)).cast("double")}) if of == "unit_means" else B.stratified_means(units, "u", "s", 2, {"m": F.col("v")})
+        want = {k: sum(value[of](u) * n for u, n in c.items()) / sum(c.values()) for k, c in taken.items()}
+        assert {(r.draw, r.stratum): r.m for r in got.collect()} == pytest.approx(want)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_plan_files(spark, tmp_path):
     plan = B.plan(spark.range(5).withColumnRenamed("id", "u"), "u", None, 4)
     files.write_plan(plan, f"{tmp_path}/plan")
