@@ -36,13 +36,53 @@ def null_centred_p(draws: Column, estimate: Column) -> Column:
     return (1 + F.size(F.filter(draws, lambda x: F.abs(x - estimate) >= F.abs(estimate)))) / (F.size(draws) + 1)
 
 
+def _sums_of_flips(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct sums, ascending; masks of each) over all sign masks; values of one size share their binomial counts."""
+    sums, masks = np.zeros(1), np.ones(1)
+    for size, n in zip(*np.unique(np.abs(values), return_counts=True), strict=True):
+        steps = np.arange(n + 1) if size else np.zeros(1, np.int64)
+        ways = np.array([float(math.comb(int(n), int(k))) for k in steps]) if size else np.array([2.0**n])
+        sums, inv = np.unique((sums[:, None] + size * (n - 2 * steps if size else steps)).ravel(), return_inverse=True)
+        masks = np.bincount(inv, (masks[:, None] * ways).ravel())
+    return sums, masks
+
+
+def flip_share(values: list[float], slack: float = 1e-12) -> float:
+    """The share of all sign masks whose absolute sum is at least that of the values.
+
+    The masks of two halves meet in sorted sums: 2**(n / 2) sums are held and never the 2**n
+    masks; sizes that repeat make it fewer.  Some 44 different sizes still fit a worker.
+    """
+    v = np.array(values, float)
+    total = abs(float(v.sum()))
+    if not math.isfinite(total):
+        # NaN is the largest number, as in SQL: only infinite sums are smaller, and only than NaN.
+        return 1.0 if math.isinf(total) or np.isnan(v).any() else 1.0 - 2.0 ** (1 - int(np.isinf(v).sum()))
+    # The masks add up in another order, so sums may differ by their rounding.
+    bound = total - slack - 2 * len(v) * np.finfo(float).eps * np.abs(v).sum()
+    sizes, n = np.unique(np.abs(v), return_counts=True)
+    # Sizes go whole to the half that has fewer sums so far: their repeats then count and are not told apart.
+    halves, room = ([], []), [1.0, 1.0]
+    for size, k in sorted(zip(sizes.tolist(), n.tolist(), strict=True), key=lambda x: -x[1]):
+        at = int(room[0] > room[1])
+        halves[at].extend([size] * k)
+        room[at] *= k + 1 if size else 1
+    (a, in_a), (b, in_b) = (_sums_of_flips(np.array(h)) for h in halves)
+    before = np.concatenate([[0.0], np.cumsum(in_b)])
+    high, low = before[-1] - before[np.searchsorted(b, bound - a, "left")], before[np.searchsorted(b, -bound - a, "right")]
+    as_large = np.where(bound > 0, high + low, before[-1])
+    return float((in_a * as_large).sum() / 2.0 ** len(v))
+
+
 def exact_sign_flip(df: DataFrame, group: str, value: str) -> DataFrame:
-    """p over all 2**n sign masks of a group's values (n at most 20): the share whose mean is at least as large."""
+    """p over all 2**n sign masks of a group's values (n at most 62, and sizes so few that flip_share holds them): the share whose sum is at least as large, and their number."""
     values = df.groupBy(group).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("_v"))
-    total = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x)
-    masks = values.withColumn("_t", F.abs(total)).withColumn("_mask", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.size("_v")).cast("int") - 1)))
-    flipped = F.expr("abs(aggregate(transform(_v, (x, i) -> IF((_mask & shiftleft(1, i)) = 0, x, -x)), 0D, (s, x) -> s + x))")
-    return masks.groupBy(group).agg(F.avg((flipped >= F.col("_t") - 1e-12).cast("double")).alias("p"), F.count("*").alias("masks"))
+
+    @F.pandas_udf("double")
+    def share(column: pd.Series) -> pd.Series:
+        return column.map(flip_share).astype(float)
+
+    return values.select(group, share("_v").alias("p"), F.pow(F.lit(2), F.size("_v")).cast("long").alias("masks"))
 
 
 def sign_flip(df: DataFrame, group: str, key: str, value: str, exact_upto: int = 13, draws: int = 100_000) -> DataFrame:
@@ -62,7 +102,7 @@ def sign_flip(df: DataFrame, group: str, key: str, value: str, exact_upto: int =
 
 
 def label_swap(df: DataFrame, group: str, unit: str, a: Column, b: Column, weight: Column | None = None) -> DataFrame:
-    """Exact p per group over all swaps of two models' labels within units (at most 20): the share whose weighted difference is as large."""
+    """Exact p per group over all swaps of two models' labels within units (at most 62): the share whose weighted difference is as large."""
     own = df.select(group, unit, ((a - b) * (F.lit(1.0) if weight is None else weight)).alias("_w"))
     return exact_sign_flip(own.groupBy(group, unit).agg(F.sum("_w").alias("_w")), group, "_w")
 

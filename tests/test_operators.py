@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,26 @@ def test_label_swap(spark):
     assert got.p == 0.25 and got.masks == 16
 
 
+def test_flips_of_large_groups(spark):
+    # 40 units have 2**40 masks: by hand from the binomial, and with different sizes from those of smaller ones.
+    rows = [("same", k, 1.0 if k < 30 else -1.0) for k in range(40)] + [("zeros", k, float(k < 2)) for k in range(40)] + [("powers", k, 2.0**k) for k in range(24)] + [("none", 0, None)]
+    df = spark.createDataFrame(rows, "g string, u int, x double")
+    got = {r.g: r for r in I.label_swap(df, "g", "u", F.col("x"), F.lit(0.0)).collect()}
+    assert got["same"].p == pytest.approx(sum(math.comb(40, k) for k in range(41) if abs(40 - 2 * k) >= 20) / 2**40, rel=1e-12)
+    assert (got["same"].masks, got["zeros"].p, got["powers"].p, got["powers"].masks) == (2**40, 0.5, 2 / 2**24, 2**24)
+    assert (got["none"].p, got["none"].masks) == (1.0, 1)
+
+
+def test_flip_share():
+    rng = random.Random(5)
+    for n in (0, 1, 2, 5, 9, 11):
+        for values in ([rng.choice([-1.0, -0.5, 0.0, 0.5, 1.0]) for _ in range(n)], [round(rng.uniform(-5000, 5000), 2) for _ in range(n)]):
+            t = abs(sum(values))
+            want = sum(abs(sum(s * v for s, v in zip(signs, values, strict=True))) >= t - 1e-9 for signs in itertools.product((1, -1), repeat=n)) / 2**n
+            assert I.flip_share(values) == want
+    assert [I.flip_share([math.nan, 1.0]), I.flip_share([math.inf, 1.0]), I.flip_share([math.inf, -math.inf, 1.0])] == [1.0, 1.0, 0.5]
+
+
 def test_balanced_selection(spark):
     rows = [(g, t) for g in range(12) for t in ("x", "y", "z")] + [(50, "x"), (51, "x"), (52, None), (60, "y"), (60, "x")]
     got = {r.g: r.t for r in S.balanced_selection(spark.createDataFrame(rows, "g int, t string"), "g", "t", "s").collect()}
