@@ -28,6 +28,30 @@ def closure(edges: DataFrame) -> DataFrame:
         known.union(further).distinct().write.parquet(f"{at}/{step}")
 
 
+def reached(edges: DataFrame, low: str, high: str, roots: DataFrame) -> DataFrame:
+    """The distinct values of roots(high) and of all that edges(low, high) lead to from them, however far.
+
+    A round goes on from what the last one found first: it joins the edges with these and drops
+    what is known, so cycles end and a value is written once.  Rounds are as many as the longest
+    of the shortest ways.
+    """
+    spark = edges.sparkSession
+    at, step = scratch(spark), 0
+    edges.select(F.col(low).alias("_low"), F.col(high).alias("_high")).where("_low is not null and _high is not null").distinct().write.parquet(f"{at}/edges")
+    edges = spark.read.parquet(f"{at}/edges")
+    roots.select(F.col(high).alias("_high")).where("_high is not null").distinct().write.parquet(f"{at}/found/0")
+    while True:
+        last = spark.read.parquet(f"{at}/found/{step}")
+        if last.isEmpty():
+            break
+        known = spark.read.parquet(*(f"{at}/found/{k}" for k in range(step + 1)))
+        # Tables of keys merge: packed as they are, their size is estimated far too low for a broadcast.
+        further = edges.hint("merge").join(last.select(F.col("_high").alias("_low")), "_low").select("_high").distinct()
+        further.hint("merge").join(known, "_high", "left_anti").write.parquet(f"{at}/found/{step + 1}")
+        step += 1
+    return spark.read.parquet(*(f"{at}/found/{k}" for k in range(step + 1))).select(F.col("_high").alias(high))
+
+
 def plan_stages(stages: DataFrame, edges: DataFrame) -> DataFrame:
     """(stage, position, seal, state, faults) of every stage of stages(stage, content, sealed) and edges(stage, needs).
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inference as I
 from ..operators import splits as S
+from ..operators.stages import reached
 from ..session import table
 
 
@@ -120,13 +121,7 @@ def e1(spark, d):
 def e2(spark, d):
     # Facts k depend on k div 2; missing roots spread to everything above them, round by round.
     facts = table(spark, d, "customer").select(F.col("c_custkey").alias("fact"), F.floor(F.col("c_custkey") / 2).alias("operand"))
-    facts.createOrReplaceTempView("millrace_facts")
-    closure = """WITH RECURSIVE gone(fact) AS (
-        SELECT fact FROM millrace_facts WHERE fact % 10 = 3
-        UNION ALL
-        SELECT f.fact FROM millrace_facts f JOIN gone g ON f.operand = g.fact)
-        SELECT DISTINCT fact FROM gone"""
-    return spark.sql(closure).agg(F.count("*").alias("missing"), F.sum("fact").alias("total"))
+    return reached(facts, "operand", "fact", facts.where("fact % 10 = 3").select("fact")).agg(F.count("*").alias("missing"), F.sum("fact").alias("total"))
 
 
 def e4(spark, d):

@@ -14,6 +14,8 @@ from millrace.operators import inference as I
 from millrace.operators import resampling as B
 from millrace.operators import splits as S
 from millrace.operators import text_udfs as U
+from millrace.operators.stages import reached
+from millrace.plans import inference_plans
 from millrace.sources import files
 
 
@@ -134,6 +136,26 @@ def test_label_swap(spark):
     assert got.p == 0.25 and got.masks == 16
 
 
+def test_reached(spark):
+    # Several operands of a fact, a cycle (6, 7), a row twice, nulls, and a root that no edge names.
+    rows = [(1, 2), (2, 3), (2, 3), (9, 3), (3, 4), (6, 7), (7, 6), (4, 6), (8, 10), (None, 8), (8, None)]
+    edges = spark.createDataFrame(rows, "operand long, fact long")
+    got = lambda *roots: sorted(r.fact for r in reached(edges, "operand", "fact", spark.createDataFrame([(k,) for k in roots], "fact long")).collect())
+    assert got(2, 11, None) == [2, 3, 4, 6, 7, 11]
+    assert got(7) == [6, 7] and got(9, 9) == [3, 4, 6, 7, 9] and got() == []
+
+
+def test_missing_operands_of_many_facts(spark, tmp_path):
+    # A recursive query ends with an error beyond a million rows, which it reaches before as many facts.
+    n = 600_000
+    spark.range(n).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    gone = [False] * n
+    for k in range(n):
+        gone[k] = k % 10 == 3 or gone[k // 2]
+    want = [k for k in range(n) if gone[k]]
+    assert tuple(inference_plans.e2(spark, str(tmp_path)).first()) == (len(want), sum(want))
+
+
 def test_flips_of_large_groups(spark):
     # 40 units have 2**40 masks: by hand from the binomial, and with different sizes from those of smaller ones.
     rows = [("same", k, 1.0 if k < 30 else -1.0) for k in range(40)] + [("zeros", k, float(k < 2)) for k in range(40)] + [("powers", k, 2.0**k) for k in range(24)] + [("none", 0, None)]
